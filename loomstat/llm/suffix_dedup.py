@@ -3,10 +3,10 @@
 A string of ``LENGTH`` bytes is repeated when it starts at two places of the corpus.  One task cannot index the
 corpus, so its windows are first dealt out by content:
 
-1. every window has one anchor, the least hash among its 32-byte grams; windows with one anchor stand side by side.
+1. every window has one anchor, the least hash among its 64-byte grams; windows with one anchor stand side by side.
    A window can only repeat where its anchor does, so unique anchors need no index.
-2. the windows of an anchor and what they cover are a snippet.  Snippets that are equal byte for byte repeat in all
-   their windows; anchors whose snippets differ go, one copy of each snippet, to the index.
+2. the windows of an anchor and what they cover are a snippet.  Snippets of one anchor and one 64-bit hash are equal
+   and repeat in all their windows; anchors whose snippets differ go, one copy of each snippet, to the index.
 3. each index is the run-compressed BWT of a batch of snippets with suffix-array samples at both ends of its runs.
    Between samples a position keeps its neighbour in suffix order and its match shrinks by one, so matching
    statistics of the batch against itself stream from the samples alone; windows matching ``LENGTH`` are marked.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import cut, read, text_key
 
 LENGTH = 200
-GRAM = 32
+GRAM = 64
 #: Differing snippets of an anchor that an index takes; the windows of other anchors are counted by hash.
 MAX_SNIPPETS = 2000
 #: Bytes of snippets in one index.
@@ -41,9 +41,9 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _grams(b: np.ndarray) -> np.ndarray:
-    """A hash of the 32 bytes from each place; ``b`` is uint64."""
+    """A hash of the 64 bytes from each place; ``b`` is uint64."""
     h, base = (b + np.uint64(1)) * _MIX, _ODD
-    for step in (1, 2, 4, 8, 16):
+    for step in (1, 2, 4, 8, 16, 32):
         h = h[:-step] * base + h[step:]
         base = base * base
     h ^= h >> np.uint64(32)
@@ -108,17 +108,22 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     key = np.zeros(n, "u8")
     for i in range(7):  # seven symbols of nine bits
         key = (key << np.uint64(9)) | wide[i : i + n]
-    reach, key = 7, key.view("i8")
+    order = np.argsort(key.view("i8"))
+    open_, keys, reach = np.arange(n), key[order], 7
+    rank = np.empty(n, "i8")
     while True:
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, "i8")
-        sorted_ = key[order]
-        rank[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
-        if rank[order[-1]] == n - 1 or reach >= n:
+        # A suffix ranks as the first of its equals so far; only suffixes with equals are sorted again.
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        rank[order[open_]] = open_[np.maximum.accumulate(np.where(new, np.arange(len(open_)), 0))]
+        tied = ~(new & np.append(new[1:], True))
+        open_ = open_[tied]
+        if not len(open_):
             return order
-        ahead = np.zeros(n, "i8")
-        ahead[: n - reach] = rank[reach:] + 1 if reach < n else 0
-        key = rank * (n + 1) + ahead
+        p = order[open_]
+        ahead = p + reach
+        keys = rank[p] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        by = np.argsort(keys)
+        order[open_], keys = p[by], keys[by]
         reach *= 2
 
 
@@ -275,35 +280,82 @@ def _windows(length: int):
 
 
 def texts(docs: DataFrame, text_col: str) -> DataFrame:
-    """Distinct texts ``k1``, ``k2``, ``text`` and how many rows have them (``copies``)."""
+    """Distinct texts ``k1``, ``k2``, ``text``."""
     k1, k2 = text_key(F.col(text_col))
     rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    return rows.groupBy("k1", "k2").agg(F.first("text").alias("text"))
 
 
-def repeated(distinct: DataFrame, length: int = LENGTH, max_snippets: int = MAX_SNIPPETS) -> DataFrame:
-    """Marked window starts ``lo`` to ``hi`` of each distinct text (repeats between or within distinct texts)."""
-    rows = distinct.filter("copies > 0").select("k1", "k2", "text").mapInArrow(_snippets(length), SNIPPET)
-    # One copy of each snippet stands for all: the one of least hash.
+#: Of a row that ``_classify`` gives: its snippet repeats; others of its anchor differ, and it stands for its equals;
+#: its anchor has too many snippets for an index; its anchor may go on in another partition.
+EQUAL, ASKED, HOT, OPEN = 1, 2, 4, 8
+KNOWN = "a long, s long, k1 long, k2 long, lo int, hi int, flag int"
+
+
+def _classify(max_snippets: int):
+    """Rows sorted by anchor, snippet and place.  The anchors at a partition's edges stay open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+        if table is None:
+            return
+        a, s = (table.column(i).to_numpy() for i in (0, 1))
+        new_a = np.concatenate([[True], a[1:] != a[:-1]])
+        new_s = new_a | np.concatenate([[True], s[1:] != s[:-1]])
+        in_a, in_s = np.cumsum(new_a) - 1, np.cumsum(new_s) - 1
+        rows, equal, kinds = np.bincount(in_a), np.bincount(in_s), np.bincount(in_a[new_s])
+        open_ = (a == a[0]) | (a == a[-1])
+        same = equal[in_s] > 1
+        asked = (kinds[in_a] > 1) & new_s
+        flag = np.where(open_, OPEN, same * EQUAL + asked * np.where(kinds[in_a] > max_snippets, ASKED | HOT, ASKED))
+        keep = np.flatnonzero(open_ | (rows[in_a] > 1) & (flag > 0))
+        out = table.take(pa.array(keep)).append_column("flag", pa.array(flag[keep].astype("i4")))
+        yield from out.to_batches(max_chunksize=50_000)
+
+    return run
+
+
+def repeated_snippets(docs: DataFrame, text_col: str, length: int = LENGTH, max_snippets: int = MAX_SNIPPETS) -> DataFrame:
+    """Snippets of all rows that repeat, or that share their anchor with others and stand for their equals."""
+    k1, k2 = text_key(F.col(text_col))
+    rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_snippets(length), SNIPPET)
+    order = ["a", "s", "k1", "k2", "lo"]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    # The place is part of the range: an anchor of many rows spreads over as many partitions as it needs.
+    sorted_ = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    known = cut(sorted_.mapInArrow(_classify(max_snippets), KNOWN))
+    shut = known.filter(f"flag <> {OPEN}").select("a", "k1", "k2", "lo", "hi", "flag")
+    # Two anchors a partition are open, or one that is hot: summed before they are shuffled.
+    open_ = known.filter(f"flag = {OPEN}")
     me = F.xxhash64("k1", "k2", "lo")
-    by_snippet = rows.groupBy("a", "s").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("rep"))
+    by_snippet = open_.groupBy("a", "s").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("rep"))
     by_anchor = by_snippet.groupBy("a").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("all > 1")
     shared = by_snippet.join(by_anchor.select("a", "kinds"), "a")
-    known = cut(rows.join(shared, ["a", "s"]).select("a", "k1", "k2", "lo", "hi", "n", "kinds", (me == F.col("rep")).alias("stands")))
-    equal = known.filter("n > 1").select("k1", "k2", "lo", "hi")
+    flag = (
+        F.when(F.col("n") > 1, EQUAL).otherwise(0)
+        + F.when((F.col("kinds") > 1) & (me == F.col("rep")), F.when(F.col("kinds") > max_snippets, ASKED | HOT).otherwise(ASKED)).otherwise(0)
+    )
+    rest = open_.join(shared, ["a", "s"]).select("a", "k1", "k2", "lo", "hi", flag.cast("int").alias("flag")).filter("flag > 0")
+    return shut.unionByName(rest)
+
+
+def repeated(docs: DataFrame, text_col: str, length: int = LENGTH, max_snippets: int = MAX_SNIPPETS) -> DataFrame:
+    """Marked window starts ``lo`` to ``hi`` of each text (``k1``, ``k2``)."""
+    known = repeated_snippets(docs, text_col, length, max_snippets)
+    equal = known.filter(F.col("flag").bitwiseAND(EQUAL) > 0).select("k1", "k2", "lo", "hi")
+    hot = F.col("flag").bitwiseAND(HOT) > 0
     todo = (
-        known.filter("kinds > 1 AND (n = 1 OR stands)")
+        known.filter(F.col("flag").bitwiseAND(ASKED) > 0)
         .groupBy("k1", "k2")
-        .agg(F.collect_list(F.struct("a", "lo", "hi", (F.col("kinds") > max_snippets).alias("hot"))).alias("todo"))
+        .agg(F.collect_set(F.struct("a", "lo", "hi", hot.alias("hot"))).alias("todo"))
     )
-    pieces = (
-        distinct.filter("copies > 0")
+    pieces = cut(
+        texts(docs, text_col)
         .join(todo, ["k1", "k2"])
         .select("k1", "k2", "text", "todo")
         .mapInArrow(_cut_out(length), "a long, k1 long, k2 long, lo int, snippet binary, hot boolean")
     )
-    pieces = cut(pieces)
-    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     indexed = pieces.filter("NOT hot").drop("hot").repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_index(length), MARKS)
     windows = pieces.filter("hot").drop("hot").mapInArrow(_windows(length), "h1 long, h2 long, k1 long, k2 long, at int")
     twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
@@ -331,14 +383,14 @@ def remove_repeats(
     each other and lose all; null ids pass; an empty table gives an empty result; other columns are not read.
     """
     distinct = texts(docs, text_col)
-    marks = repeated(distinct, length, max_snippets).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
+    marks = repeated(docs, text_col, length, max_snippets).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for k1, k2, text, copies, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), *(batch.column(i).to_pylist() for i in (3, 4)), strict=True):
+            for k1, k2, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes()
-                gone = [(0, len(raw))] if copies > 1 and len(raw) >= length else spans(own or [], length)
+                gone = spans(own or [], length)
                 ends = [0, *(x for s in gone for x in s), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
                 out.append((k1, k2, len(raw), len(raw) - len(kept), [{"start": a, "stop": b} for a, b in gone], hashlib.sha256(kept).hexdigest()))
@@ -348,7 +400,7 @@ def remove_repeats(
             )
 
     schema = "k1 long, k2 long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept_sha256 string"
-    done = distinct.join(marks, ["k1", "k2"], "left").select("k1", "k2", "text", "copies", "marks").mapInArrow(run, schema)
+    done = distinct.join(marks, ["k1", "k2"], "left").select("k1", "k2", "text", "marks").mapInArrow(run, schema)
     k1, k2 = text_key(F.col(text_col))
     ids = docs.select(F.col(id_col).alias(id_col), k1.alias("k1"), k2.alias("k2"))
     return ids.join(done, ["k1", "k2"]).drop("k1", "k2")
