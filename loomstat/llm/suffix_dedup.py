@@ -289,11 +289,15 @@ def texts(docs: DataFrame, text_col: str) -> DataFrame:
 #: Of a row that ``_classify`` gives: its snippet repeats; others of its anchor differ, and it stands for its equals;
 #: its anchor has too many snippets for an index; its anchor may go on in another partition.
 EQUAL, ASKED, HOT, OPEN = 1, 2, 4, 8
-KNOWN = "a long, s long, k1 long, k2 long, lo int, hi int, flag int"
+KNOWN = "a long, s long, k1 long, k2 long, lo int, hi int, flag int, n long"
 
 
 def _classify(max_snippets: int):
-    """Rows sorted by anchor, snippet and place.  The anchors at a partition's edges stay open."""
+    """Rows sorted by anchor, snippet and place.
+
+    The anchors at a partition's edges stay open: of each of their snippets one row, with the count ``n``, speaks
+    for all in the partition; where it has equals there, they are known to repeat.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
@@ -307,9 +311,9 @@ def _classify(max_snippets: int):
         open_ = (a == a[0]) | (a == a[-1])
         same = equal[in_s] > 1
         asked = (kinds[in_a] > 1) & new_s
-        flag = np.where(open_, OPEN, same * EQUAL + asked * np.where(kinds[in_a] > max_snippets, ASKED | HOT, ASKED))
+        flag = np.where(open_, np.where(new_s, OPEN, EQUAL), same * EQUAL + asked * np.where(kinds[in_a] > max_snippets, ASKED | HOT, ASKED))
         keep = np.flatnonzero(open_ | (rows[in_a] > 1) & (flag > 0))
-        out = table.take(pa.array(keep)).append_column("flag", pa.array(flag[keep].astype("i4")))
+        out = table.take(pa.array(keep)).append_column("flag", pa.array(flag[keep].astype("i4"))).append_column("n", pa.array(equal[in_s[keep]]))
         yield from out.to_batches(max_chunksize=50_000)
 
     return run
@@ -325,17 +329,17 @@ def repeated_snippets(docs: DataFrame, text_col: str, length: int = LENGTH, max_
     sorted_ = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     known = cut(sorted_.mapInArrow(_classify(max_snippets), KNOWN))
     shut = known.filter(f"flag <> {OPEN}").select("a", "k1", "k2", "lo", "hi", "flag")
-    # Two anchors a partition are open, or one that is hot: summed before they are shuffled.
-    open_ = known.filter(f"flag = {OPEN}")
+    # Two anchors a partition are open, and a row stands for each of their snippets there.
+    open_ = known.filter(f"flag = {OPEN}").drop("flag")
     me = F.xxhash64("k1", "k2", "lo")
-    by_snippet = open_.groupBy("a", "s").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("rep"))
+    by_snippet = open_.groupBy("a", "s").agg(F.sum("n").alias("n"), F.min(me).alias("rep"))
     by_anchor = by_snippet.groupBy("a").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("all > 1")
     shared = by_snippet.join(by_anchor.select("a", "kinds"), "a")
     flag = (
         F.when(F.col("n") > 1, EQUAL).otherwise(0)
         + F.when((F.col("kinds") > 1) & (me == F.col("rep")), F.when(F.col("kinds") > max_snippets, ASKED | HOT).otherwise(ASKED)).otherwise(0)
     )
-    rest = open_.join(shared, ["a", "s"]).select("a", "k1", "k2", "lo", "hi", flag.cast("int").alias("flag")).filter("flag > 0")
+    rest = open_.drop("n").join(shared, ["a", "s"]).select("a", "k1", "k2", "lo", "hi", flag.cast("int").alias("flag")).filter("flag > 0")
     return shut.unionByName(rest)
 
 
