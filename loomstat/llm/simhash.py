@@ -68,9 +68,8 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, masks, at in ((fps, SINGLES, 0), (fps[odd], PAIRS, len(SINGLES))):
             for i in range(0, len(some), 64):
                 own = some[i : i + 64]
-                z = (own[:, None] ^ masks[None, :]).ravel()
                 m = np.tile(np.arange(at, at + len(masks), dtype="i2"), len(own))
-                yield pa.RecordBatch.from_arrays([pa.array(z.view("i8")), pa.array(m)], ["z", "m"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, len(masks)).view("i8")), pa.array(m)], ["fp", "m"])
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,9 +106,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def link_fingerprints(fps: DataFrame) -> DataFrame:
     """Verified links ``a``, ``b`` between distinct fingerprints (column ``fp``) that join all within the radius."""
-    variants = fps.select("fp").distinct().mapInArrow(_emit, "z long, m short")
+    variants = fps.select("fp").distinct().mapInArrow(_emit, "fp long, m short")
+    # The fingerprint travels with the number of its variant: neighbours in the shuffle are alike and compress.
+    masks = F.array(*[F.lit(_signed(int(x))) for x in MASKS])
+    z = F.col("fp").bitwiseXOR(F.get(masks, F.col("m").cast("int")))
     parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    met = variants.repartition(parts, "z").sortWithinPartitions("z").mapInArrow(_meet, "a long, b long")
+    met = variants.repartition(parts, z).select(z.alias("z"), "m").sortWithinPartitions("z").mapInArrow(_meet, "a long, b long")
     return met.distinct()
 
 
