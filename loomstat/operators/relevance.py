@@ -1,0 +1,29 @@
+"""Jaccard relevance of texts to their topic's name."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.dims import TOPICS
+
+# Words that say nothing.
+STOP = "the a an and or but in on at to for of with by is are was were be been have has had do does did will would could should may might can this that these those".split()
+
+
+def keywords(text):
+    cleaned = F.regexp_replace(F.lower(text), r"[^\w\s]", " ")
+    return F.slice(F.filter(F.split(cleaned, r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(STOP)), 1, 20)
+
+
+def jaccard(a, b):
+    """Zero when either side is empty."""
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+
+
+def topic_relevance(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``topic``, ``relevance``, ``warned`` (below 0.5) and ``suggested`` (below 0.3)."""
+    dim = F.broadcast(docs.sparkSession.createDataFrame([(i, t, d) for i, (t, d, _, _) in enumerate(TOPICS)], "ord int, topic string, display string"))
+    own = docs.filter("doc_id IS NOT NULL").withColumn("ord", (F.col("doc_id") % 29).cast("int")).join(dim, "ord")
+    r = F.round(jaccard(keywords(F.coalesce("text", F.lit(""))), keywords(F.col("display"))), 6)
+    return own.select("doc_id", "topic", r.alias("relevance"), (r < 0.5).alias("warned"), (r < 0.3).alias("suggested"))
