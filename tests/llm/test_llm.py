@@ -1,0 +1,329 @@
+"""The training-data operators against brute force, and on the cases that the docstrings define."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+import xxhash
+
+from loomstat.llm import decontaminate, language_id, line_dedup, mixing, pii, quality, queries, simhash, suffix_dedup, toxicity, url_filter
+
+DATA = "/root/testdata/sf0.001"
+EDGE = [(1, None), (2, ""), (3, "a"), (3, "a"), (None, "no id\nno id"), (4, "word " * 4000), (5, "é \t\n\x0b x"), (6, "word " * 4000)]
+SCHEMA = "doc_id long, text string"
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return dict(pd.read_parquet(f"{DATA}/documents.parquet")[["doc_id", "text"]].itertuples(index=False))
+
+
+@pytest.fixture
+def edge(spark):
+    """Nulls, empty and long texts, repeated rows, and other columns with names that the operators use."""
+    rows = [(*r, 0.5, 1, "x", 7) for r in EDGE]
+    return spark.createDataFrame(rows, SCHEMA + ", score double, k1 int, source string, n_words int")
+
+
+@pytest.fixture
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, DATA), c.sql(queries.ORACLES[name])
+    names = sorted(got.columns)
+    assert names == sorted(want.columns)
+    assert sorted(map(repr, (tuple(r[n] for n in names) for r in got.collect()))) == sorted(map(repr, (tuple(r) for r in want.select(*names).fetchall())))
+
+
+@pytest.mark.parametrize("sent", [0, 128])
+def test_url_filter_both_ways(spark, sent):
+    urls = [None, "no scheme", "HTTP://A.Spam.Example.Com/x?y", "https://fine.example.com/de/1", "http://x.net/", "http://b.example.net/en/1#t", "http://q.org/listed"]
+    listed = [(f"l{i}.example.org/",) for i in range(500)] + [("spam.example.com/",), ("q.org/listed",), (None,)]
+    got = by_id(url_filter.judge(spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string"), spark.createDataFrame(listed, "key string"), max_sent_blocks=sent), "page_id")
+    assert [got[i]["verdict"] for i in range(7)] == ["allow", "allow", "block", "block", "block", "allow", "block"]
+    assert got[2]["host"] == "a.spam.example.com" and got[2]["path"] == "/x" and got[0]["host"] == ""
+    assert [got[i]["rule"] for i in (3, 4, 5, 6)] == ["example.com/de/", "net/", "example.net/en/", None]
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def base(t):
+    ws, lines = words(t), [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(ws[i : i + 8]) for i in range(len(ws) - 7)]
+    n = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if n[w] > 1 for k in range(8)}
+    return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_base_counts(spark, docs, edge, empty):
+    got = by_id(quality.judge(spark.createDataFrame(list(docs.items()), SCHEMA)))
+    for i, t in docs.items():
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == base(t)
+        assert r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"])
+        assert r["kept"] == (not r["base_failed"] and r["quality"] >= 0.5)
+    assert len(quality.judge(edge).collect()) == len(EDGE) and not quality.judge(empty).collect()
+
+
+def test_quality_em_matches_numpy(spark, docs):
+    rows = quality.judge(spark.createDataFrame(list(docs.items()), SCHEMA)).collect()
+    names = [c for c in rows[0].__fields__ if c.startswith("v_")]
+    v = np.array([[r[c] for c in names] for r in rows if not r["base_failed"]])
+    q = np.where(v.sum(1) > 0, 0.9, np.where(v.sum(1) < 0, 0.1, 0.5))
+    last = None
+    for _ in range(quality.ROUNDS):
+        prior = (q.sum() + 1) / (len(q) + 2)
+        right = lambda m, w: np.clip(((w[:, None] * (v == m)).sum(0) + 1) / ((w[:, None] * (v != 0)).sum(0) + 2), 0.5, 0.98)
+        g, b = right(1, q), right(-1, 1 - q)
+        odds = np.log(prior / (1 - prior)) + ((v == 1) * np.log(g / (1 - b)) + (v == -1) * np.log((1 - g) / b)).sum(1)
+        now = np.concatenate([[prior], g, b])
+        q = 1 / (1 + np.exp(-odds))
+        if last is not None and np.abs(now - last).max() < quality.TOLERANCE:
+            break
+        last = now
+    assert np.allclose(q, [r["quality"] for r in rows if not r["base_failed"]], atol=1e-3)
+
+
+def test_line_dedup_hot_line_over_partitions(spark, edge, empty):
+    rows = [(i, f"the common line\nown line of {i}\n The COMMON line ") for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    left = by_id(line_dedup.apply(df, line_dedup.keep_bitmaps(df)))
+    assert left[0]["text"] == rows[0][1]
+    assert all(left[i]["text"] == f"own line of {i}" for i in range(1, 400))
+    out = line_dedup.apply(edge, line_dedup.keep_bitmaps(edge))
+    assert out.columns == edge.columns and out.count() == len(EDGE)
+    texts = by_id(out)
+    assert texts[1]["text"] is None and texts[2]["text"] == "" and texts[4]["text"] and texts[6]["text"] == ""
+    assert not line_dedup.apply(empty, line_dedup.keep_bitmaps(empty)).collect()
+
+
+def test_bitmap_round_trip():
+    gone = np.array([0, 3, 9])
+    assert list(np.flatnonzero(~line_dedup.unpack(line_dedup.pack(11, gone)))) == [0, 3, 9]
+
+
+def test_simhash_brute_force(spark, docs, edge, empty):
+    def fp(t):
+        ws = words(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        h = [xxhash.xxh64_intdigest(" ".join(ws[i : i + 3]).encode(), 42) for i in range(max(1, len(ws) - 2))] if ws else []
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    fps = {i: fp(t) for i, t in docs.items()}
+    root = {i: i for i in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in fps:
+        for b in fps:
+            if a < b and (fps[a] ^ fps[b]).bit_count() <= 3:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = by_id(simhash.near_duplicates(spark.createDataFrame(list(docs.items()), SCHEMA)))
+    assert all((got[i]["fingerprint"], got[i]["component_id"]) == (f"{fps[i]:016x}", find(i)) for i in docs)
+    odd = by_id(simhash.near_duplicates(edge))
+    assert odd[1]["component_id"] == odd[2]["component_id"] == 1 and odd[6]["component_id"] == 4
+    assert not simhash.near_duplicates(empty).collect()
+
+
+def test_simhash_links_all_within_radius(spark):
+    rnd = random.Random(1)
+    fps = set()
+    for _ in range(40):
+        x = rnd.getrandbits(64)
+        for _ in range(6):
+            fps.add(x)
+            for b in rnd.sample(range(64), rnd.randint(1, 4)):
+                x ^= 1 << b
+    fps = sorted(fps)
+    signed = {simhash._signed(x): x for x in fps}
+    links = simhash.link_fingerprints(spark.createDataFrame([(s,) for s in signed], "fp long"))
+    roots = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+    groups = {x: {x} for x in fps}
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= 3:
+                groups[a] |= groups[b]
+                for m in groups[a]:
+                    groups[m] = groups[a]
+    for s, x in signed.items():
+        assert {signed[n] for n, r in roots.items() if r == roots.get(s)} | {x} == groups[x] if s in roots else groups[x] == {x}
+
+
+def test_one_of_each_keeps_unlike(spark):
+    rnd = random.Random(2)
+    text = " ".join(str(rnd.random()) for _ in range(300))
+    other = " ".join(str(rnd.random()) for _ in range(300))
+    rows = [(5, text), (3, text), (9, text + " end"), (7, other), (3, text)]
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()) == [3, 7]
+
+
+@pytest.mark.parametrize("cap", [1, 2000])
+def test_suffix_dedup_brute_force(spark, cap):
+    rnd = random.Random(3)
+    make = lambda n: "".join(rnd.choice("abcdéfg \n") for _ in range(n))
+    shared, line = make(500), make(230)
+    rows = [(i, make(rnd.randint(0, 400)) + (shared[rnd.randint(0, 90) :] if i % 2 else "") + make(50) + line * (i % 3) + make(99)) for i in range(60)]
+    rows += [(100, rows[0][1]), (101, None), (102, ""), (None, "x" * 1000), (103, "same " * 30)]
+    raw = [(t or "").encode() for _, t in rows]
+    n = Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
+    want = []
+    for (key, _), b in zip(rows, raw, strict=True):
+        gone = bytearray(len(b))
+        for i in range(len(b) - 199):
+            if n[b[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        want.append((key, len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5), max_snippets=cap).collect()
+    assert sorted(map(repr, ((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in got))) == sorted(map(repr, want))
+
+
+def test_suffix_dedup_edges(edge, empty):
+    assert suffix_dedup.remove_repeats(edge).count() == len(EDGE) and not suffix_dedup.remove_repeats(empty).collect()
+
+
+def test_toxicity_held_out(spark, edge, empty):
+    got = pd.DataFrame([r.asDict() for r in toxicity.op7_toxicity(spark, "/root/testdata/sf0.01").collect()])
+    both = got.merge(pd.read_parquet("/root/testdata/sf0.01/labels.parquet"), on="doc_id")
+    both = both[both.held_out]
+    assert (both.predicted == both.toxic).mean() > 0.93
+    lex = toxicity.Lexicon({"idiot": (4.0, True)}, frozenset({"idiot light"}), (-3.0, 1.0, 1.0))
+    assert lex.score("you 1d1оt!!") > 0.5 > lex.score("the idiot light is on") and lex.score("") < 0.5
+    out = toxicity.score(edge, lex)
+    assert out.count() == len(EDGE) and out.columns.count("score") == 1
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.learn(empty, labels).terms == {} and not toxicity.score(empty, lex).collect()
+
+
+def test_language_held_out(spark, edge, empty):
+    got = pd.DataFrame([r.asDict() for r in language_id.op9_language_id(spark, "/root/testdata/sf0.01").collect()])
+    both = got.merge(pd.read_parquet("/root/testdata/sf0.01/documents.parquet"), on="doc_id")
+    assert (both.lang == both.lang_pred)[both.held_out].mean() > 0.98 and both.score.between(0, 1).all()
+    none = language_id.learn(spark.createDataFrame([], SCHEMA + ", lang string"))
+    assert {r["lang_pred"] for r in language_id.predict(edge, none).collect()} == {"und"}
+    assert not language_id.predict(empty, none).collect()
+
+
+def test_phrases_are_longest_matches():
+    model = language_id.Model(["x"], "abcdefghij", [], [])
+    own = np.random.default_rng(0).integers(2, 6, 300).astype("u1")
+    model.tables, model.sizes = [language_id.automaton(own)], [300]
+    text = np.random.default_rng(1).integers(2, 7, 900).astype("u1")
+    ref, n, i = own.tobytes(), 0, 0
+    while i < len(text):
+        k = 1
+        while i + k < len(text) and text[i : i + k + 1].tobytes() in ref:
+            k += 1
+        n, i = n + 1, i + k
+    assert language_id.phrases(model, [text])[0, 0] == n
+
+
+def distance(item, text):
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(text, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return min(row)
+
+
+def test_myers_and_leaks(spark, edge, empty):
+    rnd = random.Random(4)
+    for _ in range(200):
+        item, text = ("".join(rnd.choice("ab c") for _ in range(rnd.randint(1, n))) for n in (70, 40))
+        assert decontaminate.myers(decontaminate.masks(item), len(item), text)[0] == distance(item, text)
+    items = ["".join(rnd.choice("abcdefgh ") for _ in range(150)) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        body = list(items[i % 6])
+        for _ in range(i // 6 * 2):
+            body[rnd.randrange(len(body))] = rnd.choice("xyz")
+        rows.append((i, "before, " + "".join(body) + "; after " * 9))
+    bench = spark.createDataFrame([*enumerate(items), (50, None), (51, "..."), (0, items[0])], "item_id long, text string")
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = set()
+    for i, t in rows:
+        for j, item in enumerate(items):
+            a, b = decontaminate.normalise(item), decontaminate.normalise(t)
+            d = distance(a, b)
+            if d <= int(len(a) * decontaminate.RATE):
+                want.add((i, j, d))
+    for block in (100, 10_000):
+        assert {(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.leaks(df, bench, block_chars=block).collect()} == want
+        assert {r["doc_id"] for r in decontaminate.clean(df, bench, block_chars=block).collect()} == {i for i, _ in rows} - {i for i, _, _ in want}
+    assert decontaminate.clean(edge, bench).count() == len(EDGE) and not decontaminate.leaks(empty, bench).collect()
+    assert decontaminate.clean(edge, bench.limit(0)).count() == len(EDGE)
+
+
+def test_mixing_meets_targets(spark, edge, empty):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = pd.DataFrame([r.asDict() for r in mixing.mix(df).collect()])
+    got["w"] = got.weight * got.n_tokens
+    for d, power in mixing.POWERS.items():
+        seen = got.groupby(d)[["n_tokens", "w"]].sum()
+        target = seen.n_tokens**power / (seen.n_tokens**power).sum() * got.n_tokens.sum()
+        assert (abs(seen.w / target - 1) < 0.02).all()
+    assert abs((got.probability * got.n_tokens).sum() / got.n_tokens.sum() - mixing.FRACTION) < 1e-6
+    assert mixing.mix(edge).count() == len(EDGE) and not mixing.mix(empty).collect() and not mixing.sample(empty).collect()
+
+
+def test_pii_replaces_all(spark, docs, edge, empty):
+    got = by_id(pii.replace(spark.createDataFrame(list(docs.items()), SCHEMA)))
+    patterns = [r"\S+@\S+\.\w+", r"\d+\.\d+\.\d+\.\d+", r"\b\d{16}\b", r"\b[0-9a-f]{40}\b", r"\+1 \(\d{3}\) \d{3}-\d{4}"]
+    for i, t in docs.items():
+        found = [m for p in patterns for m in re.findall(p, t)]
+        assert not any(m in got[i]["text"] for m in found)
+        assert len(found) <= got[i]["n_entities"] or got[i]["text"] != t
+    out = pii.replace(edge)
+    assert out.count() == len(EDGE) and by_id(out)[1]["text"] is None and not pii.replace(empty).collect()
+
+
+def test_pii_collisions_coreference_and_format(spark):
+    rnd = random.Random(5)
+    names = sorted({rnd.choice("BCDFG") + "".join(rnd.choice("aeioulmn") for _ in range(5)) for _ in range(900)})
+    rows = [(i, f"Mr {n} Smith met Frau {n} and Mr Smith") for i, n in enumerate(names)]
+    rows += [(5000, "call +1 (212) 555-1234 or +12125551234; card 4539 1488 0343 6467"), (5001, "г-жа Иванова"), (0, rows[0][1])]
+    got = sorted((r["doc_id"], r["text"]) for r in pii.replace(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert len(got) == len(rows)
+    new = dict(got)
+    given = [re.match(r"Mr (\S+) (\S+) met Frau (\S+) and Mr (\S+)\Z", new[i]).groups() for i in range(len(names))]
+    assert len({g[0] for g in given}) == len(names) == len({g[2] for g in given})
+    assert len({g[1] for g in given} | {g[3] for g in given}) == 1
+    a, b, card = re.match(r"call (\+\d \(\d{3}\) \d{3}-\d{4}) or (\+\d{11}); card (\d{4} \d{4} \d{4} \d{4})\Z", new[5000]).groups()
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b)
+    luhn = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(card.replace(" ", "")[::-1]))
+    assert luhn % 10 == 0 and re.match(r"г-жа [А-Я][а-я]+\Z", new[5001]) and "Иванова" not in new[5001]
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    n = docs.count()
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, DATA).write.parquet(f"{tmp_path}/{i}")
+        docs, before = spark.read.parquet(f"{tmp_path}/{i}"), docs
+        assert docs.columns == before.columns, name
+        assert 0 < docs.count() <= n
+    assert corpus_pipeline.run(spark, DATA).count() == docs.count()
