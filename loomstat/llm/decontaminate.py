@@ -7,6 +7,7 @@ Pieces are found by Aho-Corasick; what stands around a hit is verified by Myers'
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -143,19 +144,18 @@ def indexes(benchmark: DataFrame, rate: float, block_chars: int) -> Iterator:
     blocks = max(1, -(-total // block_chars))
     for b in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        yield items.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"], rate) for r in own])
+        yield items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rate, [(r["item_id"], r["text"]) for r in own]))
 
 
-_BUILT: dict[int, Index] = {}
+_BUILT: dict[str, Index] = {}
 
 
 def _index(sent) -> Index:
     """Built once in each Python worker."""
-    key = id(sent)
+    key, rate, items = sent.value
     if key not in _BUILT:
         _BUILT.clear()
-        items = sent.value
-        _BUILT[key] = Index([(i, t) for i, t, _ in items], items[0][2] if items else 0.0)
+        _BUILT[key] = Index(items, rate)
     return _BUILT[key]
 
 

@@ -86,10 +86,12 @@ def automaton(symbols: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    root = np.zeros(ALPHABET, "i4")
+    # A symbol that the text lacks is a phrase of its own: the state after it ends one at any symbol.
+    spent = len(edges)
+    root = np.full(ALPHABET, spent * ALPHABET, "i4")
     for c, to in edges[0].items():
         root[c] = to * ALPHABET
-    table = np.tile(root | np.int32(-(2**31)), (len(edges), 1))
+    table = np.tile(root | np.int32(-(2**31)), (spent + 1, 1))
     for i, own in enumerate(edges):
         for c, to in own.items():
             table[i, c] = to * ALPHABET
