@@ -17,11 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, read, text_key
 
 SEED = 42
 RADIUS = 3
 WIDTH = 3
+#: Keys of texts to be compared, if so few (16 bytes each), are sent to the tasks; more are joined by a shuffle.
+SENT_KEYS = 500_000
 _ONE = [1 << i for i in range(64)]
 SINGLES = np.array([0, *_ONE], "u8")
 PAIRS = np.array([a | b for h in (0, 32) for i, a in enumerate(_ONE[h : h + 32]) for b in _ONE[h + i + 1 : h + 32]], "u8")
@@ -50,15 +52,23 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc`` and ``fp`` (64 bits as a signed long) of each row; null and wordless texts have fingerprint 0."""
+def fingerprints(
+    docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """``doc`` and ``fp`` (64 bits as a signed long) of each row; null and wordless texts have fingerprint 0.
+
+    ``keys`` names two further columns for the 128 bits that name the text.
+    """
+    names = ["doc", "fp", *keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [_signed(fingerprint(t.as_py(), width)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, "int64")], ["doc", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, "int64"), *batch.columns[2:]], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, fp long")
+    text = F.col(text_col)
+    own = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"), *[k.alias(n) for n, k in zip(keys, text_key(text))])
+    return own.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,6 +150,18 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def classes(fps: DataFrame) -> DataFrame:
+    """``fp`` and ``component_id`` (smallest ``doc`` reachable) of each fingerprint in ``fps`` (``doc``, ``fp``)."""
+    least = cut(fps.groupBy("fp").agg(F.min("doc").alias("least")))
+    root = components(link_fingerprints(least))
+    by_root = least.join(root, least["fp"] == root["node"], "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), "least"
+    )
+    by_root = cut(by_root)
+    ids = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
+    return by_root.join(ids, "root").select("fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest id linked to the row.
 
@@ -148,15 +170,7 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_i
     not read.
     """
     fps = cut(fingerprints(docs, width=width, id_col=id_col, text_col=text_col))
-    least = cut(fps.groupBy("fp").agg(F.min("doc").alias("least")))
-    root = components(link_fingerprints(least))
-    by_root = least.join(root, least["fp"] == root["node"], "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "least"
-    )
-    by_root = cut(by_root)
-    ids = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = by_root.join(ids, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select(
+    return fps.join(classes(fps), "fp").select(
         F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -166,31 +180,39 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
 
     The row of the smallest id stands for a component.  Others go when their sets of word shingles have a Jaccard
     similarity of ``similarity`` or more with it; those that are merely linked stay.  Of rows that share an id
-    and near-equal texts one stays; rows without id stay when no row with an id is near them.
+    and near-equal texts one stays; rows without id stay when no row with an id is near them.  Null counts as an
+    empty text.
     """
-    names = docs.columns
-    tagged = docs.withColumn("_mark", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    # The first row of each text: equal rows need no comparison.
-    texts = tagged.groupBy("_mark").agg(F.min(F.col(id_col).cast("long")).alias("_first"), F.first(text_col).alias("_text"))
-    texts = cut(texts)
-    near = near_duplicates(texts, width=width, id_col="_first", text_col="_text").select(
-        F.col("doc_id").alias("_first"), F.col("fingerprint"), F.col("component_id").alias("_rep")
+    names, key, head_key = docs.columns, ["_key1", "_key2"], ["_head1", "_head2"]
+    tagged = docs.withColumns(dict(zip(key, text_key(F.col(text_col)))))
+    # Texts stay where they are: their keys and fingerprints alone are grouped.
+    fps = fingerprints(docs, width=width, id_col=id_col, text_col=text_col, keys=tuple(key))
+    texts = cut(fps.groupBy(*key).agg(F.min("doc").alias("_first"), F.first("fp").alias("fp")))
+    near = cut(texts.join(classes(texts.select(F.col("_first").alias("doc"), "fp")), "fp"))
+    heads = cut(near.filter("_first = component_id").groupBy("component_id").agg(F.min(F.struct(*key)).alias("_head")))
+    members = cut(
+        near.join(heads, "component_id")
+        .filter(F.struct(*key) != F.col("_head"))
+        .select(*key, *[F.col(f"_head.{k}").alias(h) for k, h in zip(key, head_key)])
     )
-    # An id may have several texts, each with its own component.
-    members = texts.join(near.distinct(), "_first").filter(F.col("_rep") != F.col("_first"))
-    heads = texts.select(F.col("_first").alias("_rep"), F.col("_text").alias("_head"))
-    pairs = members.join(heads, "_rep").select("_mark", "_text", "_head")
+    # Only texts that are compared travel, one of each.
+    wanted = cut(members.select(*key).unionByName(members.select(*[F.col(h).alias(k) for k, h in zip(key, head_key)])).distinct())
+    if wanted.count() <= SENT_KEYS:
+        wanted = F.broadcast(wanted)
+    bodies = tagged.select(*key, F.col(text_col).alias("_text")).join(wanted, key).groupBy(*key).agg(F.first("_text").alias("_text"))
+    of_heads = bodies.select(*[F.col(k).alias(h) for k, h in zip(key, head_key)], F.col("_text").alias("_head_text"))
+    pairs = members.join(bodies, key).join(of_heads, head_key).select(*key, "_text", "_head_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array([jaccard(a.as_py(), b.as_py(), width) >= similarity for a, b in zip(batch.column(1), batch.column(2), strict=True)], "bool")
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep)], ["_mark"])
+            near = [jaccard(a.as_py(), b.as_py(), width) >= similarity for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(near, "bool"))
 
-    gone = pairs.mapInArrow(run, "_mark long").distinct()
-    left = texts.select("_mark", "_first").join(gone, "_mark", "left_anti")
-    kept = tagged.join(left, "_mark").filter(F.col(id_col).cast("long").eqNullSafe(F.col("_first")))
+    gone = pairs.mapInArrow(run, "_key1 long, _key2 long")
+    left = near.select(*key, "_first").join(gone, key, "left_anti")
+    kept = tagged.join(left, key).filter(F.col(id_col).cast("long").eqNullSafe(F.col("_first")))
     # Equal rows: one stays.
-    return kept.dropDuplicates(["_mark"]).select(*names)
+    return kept.dropDuplicates(key).select(*names)
 
 
 def shingles(text: str | None, width: int) -> set[bytes]:
