@@ -24,6 +24,8 @@ RADIUS = 3
 WIDTH = 3
 #: Keys of texts to be compared, if so few (16 bytes each), are sent to the tasks; more are joined by a shuffle.
 SENT_KEYS = 500_000
+#: Tables of links are written in files of so many rows (16 bytes each), in so many files at least.
+LINKS_A_FILE, LEAST_FILES = 500_000, 8
 _ONE = [1 << i for i in range(64)]
 SINGLES = np.array([0, *_ONE], "u8")
 PAIRS = np.array([a | b for h in (0, 32) for i, a in enumerate(_ONE[h : h + 32]) for b in _ONE[h + i + 1 : h + 32]], "u8")
@@ -129,20 +131,22 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node`` and ``root`` (smallest node reachable) of every node that has a link.
 
     Alternates large-star and small-star steps: every round is two aggregations and joins over the links; the
-    number of rounds grows with the logarithm of the longest chain.
+    number of rounds grows with the logarithm of the longest chain.  Links never become more, so every round writes
+    as many files as the first links need, not one for each shuffle partition.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    parts = max(LEAST_FILES, -(-edges.count() // LINKS_A_FILE))
     seen = None
     for _ in range(max_rounds):
         # large-star: larger neighbours go to the smallest of the neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = cut(large)
+        large = cut(large.coalesce(parts))
         # small-star: a node and its smaller neighbours go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -154,12 +158,12 @@ def classes(fps: DataFrame) -> DataFrame:
     """``fp`` and ``component_id`` (smallest ``doc`` reachable) of each fingerprint in ``fps`` (``doc``, ``fp``)."""
     least = cut(fps.groupBy("fp").agg(F.min("doc").alias("least")))
     root = components(link_fingerprints(least))
-    by_root = least.join(root, least["fp"] == root["node"], "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "least"
-    )
-    by_root = cut(by_root)
-    ids = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    return by_root.join(ids, "root").select("fp", "component_id")
+    # Fingerprints without links name themselves; only linked ones are grouped.
+    nodes = root.unionByName(root.select(F.col("root").alias("node"), "root").distinct())
+    linked = nodes.join(least, nodes["node"] == least["fp"]).select("node", "root", "least")
+    ids = linked.groupBy("root").agg(F.min("least").alias("id"))
+    named = linked.join(ids, "root").select(F.col("node").alias("fp"), "id")
+    return least.join(named, "fp", "left").select("fp", F.coalesce("id", "least").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
