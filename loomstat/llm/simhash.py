@@ -163,7 +163,8 @@ def classes(fps: DataFrame) -> DataFrame:
     linked = nodes.join(least, nodes["node"] == least["fp"]).select("node", "root", "least")
     ids = linked.groupBy("root").agg(F.min("least").alias("id"))
     named = linked.join(ids, "root").select(F.col("node").alias("fp"), "id")
-    return least.join(named, "fp", "left").select("fp", F.coalesce("id", "least").alias("component_id"))
+    # Written, so that a join with many rows of one fingerprint reads two shuffles, which can be split where they are skewed.
+    return cut(least.join(named, "fp", "left").select("fp", F.coalesce("id", "least").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
