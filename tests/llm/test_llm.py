@@ -178,6 +178,23 @@ def test_one_of_each_keeps_unlike(spark):
     assert sorted(r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()) == [3, 7]
 
 
+def test_one_of_each_finds_copies_of_similarity_over_08(spark):
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randrange(10**9)}"
+    rows, near = [], 0
+    for g in range(150):
+        text = [word() for _ in range(300)]
+        copy = list(text)
+        for i in rnd.sample(range(300), rnd.randint(1, 7)):
+            copy[i] = word()
+        a, b = " ".join(text), " ".join(copy)
+        near += simhash.jaccard(a, b, 5) >= 0.8
+        rows += [(2 * g, a), (2 * g + 1, b)]
+    assert 75 < near < 150
+    want = {i for i, t in rows if i % 2 == 0 or simhash.jaccard(rows[i - 1][1], t, 5) < 0.8}
+    assert {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
 @pytest.mark.parametrize("cap", [1, 2000])
 def test_suffix_dedup_brute_force(spark, cap):
     rnd = random.Random(3)
