@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from .common import SPACE, cut, read
 POWERS = {"source": 0.5, "lang": 0.6, "topic": 0.8}
 #: Expected share of all tokens that the sample keeps.
 FRACTION = 0.5
-SWEEPS, TOLERANCE = 15, 1e-3
+#: Sweeps without progress that tell unreachable targets; error of a share that is met.
+STALLED, TOLERANCE = 1_000, 1e-3
 SEED = 17
 #: Stands for null values of a dimension.
 NULL = "∅"
@@ -53,32 +56,27 @@ def with_dimensions(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def rake(cells: DataFrame, powers: dict[str, float], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
+def rake(cells: DataFrame, powers: dict[str, float], stalled: int = STALLED, tolerance: float = TOLERANCE) -> DataFrame:
     """``w`` for each cell: ``n`` scaled by factors so that the shares of every dimension meet their targets.
 
-    ``cells`` has the dimensions and ``n``; the number of cells is that of combinations in the data.  Targets that
-    empty combinations make unreachable are met as nearly as the sweeps allow.
+    ``cells`` has the dimensions and ``n``; the number of cells is that of combinations in the data, so they are raked
+    on the driver, in sweeps until every share is within the tolerance.  Targets that empty combinations make
+    unreachable are met as nearly as sweeps can: until the error has not fallen by a thousandth in ``stalled`` of them.
     """
-    total = cells.agg(F.sum("n")).first()[0]
-    targets = {}
+    table = cells.select(*powers, "n").toArrow()
+    n = table["n"].to_numpy().astype("f8")
+    dims = []
     for d, power in powers.items():
-        by = cells.groupBy(d).agg(F.pow(F.sum("n").cast("double"), F.lit(power)).alias("t"))
-        whole = by.agg(F.sum("t")).first()[0]
-        targets[d] = cut(by.select(d, (F.col("t") / whole * total).alias("t")))
-    cells = cells.withColumn("w", F.col("n").cast("double"))
-    last = None
-    for _ in range(sweeps):
-        cells = cells.withColumn("_off", F.lit(0.0))
-        for d in powers:
-            factor = cells.groupBy(d).agg(F.sum("w").alias("s")).join(targets[d], d).select(d, (F.col("t") / F.col("s")).alias("f"))
-            cells = cells.join(factor, d).withColumns({"w": F.col("w") * F.col("f"), "_off": F.greatest("_off", F.abs(F.col("f") - 1))})
-            cells = cut(cells.drop("f"))  # each step reads the cells twice
-        worst = cells.agg(F.max("_off")).first()[0]
-        cells = cells.drop("_off")
-        if worst is None or worst < tolerance or last is not None and worst > 0.9 * last:
-            break  # met, or as near as empty combinations allow
-        last = worst
-    return cells
+        code = table[d].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        share = np.bincount(code, n) ** power
+        dims.append((code, share / share.sum() * n.sum()))
+    w, best, nearest, since = n.copy(), np.inf, n, 0
+    while best >= tolerance and since < stalled:
+        off = max(np.abs(np.bincount(code, w) / t - 1).max() for code, t in dims)
+        best, nearest, since = (off, w.copy(), 0) if off < 0.999 * best else (best, nearest, since + 1)
+        for code, t in dims:
+            w *= (t / np.bincount(code, w))[code]
+    return cells.sparkSession.createDataFrame(table.append_column("w", pa.array(nearest)))
 
 
 def calibrate(cells: DataFrame, fraction: float) -> float:

@@ -306,6 +306,18 @@ def test_mixing_meets_targets(spark, edge, empty):
     assert mixing.mix(edge).count() == len(EDGE) and not mixing.mix(empty).collect() and not mixing.sample(empty).collect()
 
 
+@pytest.mark.parametrize("few, fr", [(50, 10_000), (500, 100_000)])
+def test_mixing_meets_targets_where_source_nearly_fixes_language(spark, few, fr):
+    cells = [("a", "en", 900_000), ("a", "fr", few), ("b", "en", few), ("b", "fr", fr)]
+    got = pd.DataFrame([r.asDict() for r in mixing.rake(spark.createDataFrame(cells, "source string, lang string, n long"), {"source": 0.5, "lang": 0.6}).collect()])
+    for d, power in (("source", 0.5), ("lang", 0.6)):
+        seen = got.groupby(d)[["n", "w"]].sum()
+        target = seen.n**power / (seen.n**power).sum() * got.n.sum()
+        assert (abs(seen.w / target - 1) < 0.002).all()
+    # an empty combination makes the targets unreachable: sweeps end
+    assert mixing.rake(spark.createDataFrame([cells[0], cells[3]], "source string, lang string, n long"), {"source": 0.5, "lang": 0.6}).count() == 2
+
+
 def test_pii_replaces_all(spark, docs, edge, empty):
     got = by_id(pii.replace(spark.createDataFrame(list(docs.items()), SCHEMA)))
     patterns = [r"\S+@\S+\.\w+", r"\d+\.\d+\.\d+\.\d+", r"\b\d{16}\b", r"\b[0-9a-f]{40}\b", r"\+1 \(\d{3}\) \d{3}-\d{4}"]
