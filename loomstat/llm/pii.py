@@ -25,8 +25,8 @@ _SECRET_KEY = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=
 #: In this order: the first that fits at a place gives the type.
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}[\p{L}]{2,24}",
-    "secret": rf"{_SECRET_KEY}[^\s\"',;]{{6,128}}|(?<![0-9A-Za-z])[0-9a-f]{{32,64}}(?![0-9A-Za-z])"
-    r"|(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:ghp|sk|pk)[_-][A-Za-z0-9]{20,64}",
+    "secret": rf"{_SECRET_KEY}[^\s\"',;]{{6,}}+|(?<![0-9A-Za-z])[0-9a-f]{{32,}}+(?![0-9A-Za-z])"
+    r"|(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:ghp|sk|pk)[_-][A-Za-z0-9]{20,}+",
     "iban": r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",

@@ -339,6 +339,18 @@ def test_pii_gate_lets_every_type_through(spark):
         assert got[i]["n_entities"] == 1 and t not in got[i]["text"], t
 
 
+def test_pii_replaces_secrets_to_their_end(spark):
+    rnd = random.Random(6)
+    long = lambda n, of="ABCdef0123456789": "".join(rnd.choice(of) for _ in range(n))
+    same = long(200)
+    values = [f"token={long(240)}", f"sk-{long(150)}", long(128, "0123456789abcdef"), f"password: {same}x", f"password: {same}y", f"api_key='{long(20_000)}'"]
+    got = by_id(pii.replace(spark.createDataFrame([(i, f"use {t} now") for i, t in enumerate(values)], SCHEMA)))
+    for i, t in enumerate(values):
+        out = got[i]["text"]
+        assert got[i]["n_entities"] == 1 and len(out) == len(t) + 8 and t[-12:-1] not in out
+    assert got[3]["text"][14:-5] != got[4]["text"][14:-5]
+
+
 def test_pii_collisions_coreference_and_format(spark):
     rnd = random.Random(5)
     names = sorted({rnd.choice("BCDFG") + "".join(rnd.choice("aeioulmn") for _ in range(5)) for _ in range(900)})
