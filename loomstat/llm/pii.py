@@ -169,9 +169,11 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
         def digits(canon: Column) -> Column:
             """The first digit stays; a card number stays valid if it was."""
             n = F.length(canon)
+            # short numbers fill their space: those that collide on and on get further digits
+            all_ = n + F.when((kind == "phone") & (attempt > 3), F.least(attempt - 3, F.lit(12))).otherwise(0)
             keep = F.when(kind == "ssn", 0).otherwise(1)
             own = F.array_join(
-                F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i <= keep, F.substr(canon, i, F.lit(1))).otherwise(digit(i))), ""
+                F.transform(F.sequence(F.lit(1), all_), lambda i: F.when(i <= keep, F.substr(canon, i, F.lit(1))).otherwise(digit(i))), ""
             )
 
             def checked(s: Column) -> Column:
@@ -182,7 +184,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
             return let(own, checked)
 
         def fill(d: Column) -> Column:
-            return F.array_join(
+            filled = F.array_join(
                 F.transform(
                     chars(value),
                     lambda c, i: F.when(
@@ -191,10 +193,16 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
                 ),
                 "",
             )
+            return F.concat(filled, F.substr(d, F.length(canon) + 1))
 
+        # mail addresses and secrets that draw again get two further letters each time
+        more = F.array_join(
+            F.transform(F.filter(F.sequence(F.lit(0), F.least(2 * attempt, F.lit(16))), lambda i: i > 0), lambda i: alphabet(i + 79, F.lit(26))), ""
+        )
         octet = lambda i: (byte(F.lit(i)) % 254 + 1).cast("string")
-        ip = F.when(value.startswith("10."), F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3))).when(
-            value.startswith("192.168."), F.concat_ws(".", F.lit("192.168"), octet(2), octet(3))
+        # addresses that collide on and on leave their private range for a larger one
+        ip = F.when((value.startswith("10.") & (attempt < 12)) | (value.startswith("192.168.") & attempt.between(4, 11)), F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3))).when(
+            value.startswith("192.168.") & (attempt < 4), F.concat_ws(".", F.lit("192.168"), octet(2), octet(3))
         ).otherwise(F.concat_ws(".", *[octet(i) for i in range(4)]))
         local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
         labels = F.split(domain, r"\.")
@@ -202,6 +210,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
         sub = F.transform(F.slice(labels, 1, F.greatest(F.size(labels) - 2, F.lit(0))), lambda x, i: mapped(x, 32 + 16 * i))
         email = F.concat(
             mapped(local, F.lit(0)),
+            more,
             F.lit("@"),
             F.array_join(F.concat(sub, F.array(F.lit("example"), F.when(tld.isin("com", "net", "org"), tld).otherwise("com"))), "."),
         )
@@ -209,9 +218,9 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
         pick = lambda values, i: F.get(_array(values), byte(i) * 256 + byte(i + 1) - F.floor((byte(i) * 256 + byte(i + 1)) / len(values)).cast("int") * len(values))
 
         def given(gender: str) -> Column:
-            # those that draw again get a further name each time, three at most
+            # those that draw again get a further name each time
             own = lambda script: F.array_join(
-                F.transform(F.sequence(F.lit(0), F.least(attempt, F.lit(3))), lambda i: pick(GIVEN[(gender, script)], i * 2)), "-"
+                F.transform(F.sequence(F.lit(0), attempt), lambda i: pick(GIVEN[(gender, script)], i * 2)), "-"
             )
             return F.when(cyrillic, own("cyrillic")).otherwise(own("latin"))
 
@@ -222,7 +231,8 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
             F.when(kind.isin("phone", "card", "ssn"), let(digits(canon), fill))
             .when(kind == "ip", ip)
             .when(kind == "email", email)
-            .when(kind.isin("secret", "iban"), mapped(value, F.lit(0)))
+            .when(kind == "secret", F.concat(mapped(value, F.lit(0)), more))
+            .when(kind == "iban", mapped(value, F.lit(0)))
             .otherwise(named)
         )
 

@@ -351,6 +351,18 @@ def test_pii_replaces_secrets_to_their_end(spark):
     assert got[3]["text"][14:-5] != got[4]["text"][14:-5]
 
 
+def test_pii_surrogates_outgrow_small_spaces(spark):
+    mails = [f"{c}@{d}.de" for c in "abcdef" for d in ("web", "gmx", "posteo")] + ["_@a.de", "_@b.de"]
+    phones = [f"+1{i:04d}" for i in range(10_000)]
+    private = [f"192.168.{i >> 8}.{i & 255}" for i in range(256, 256 + 40_000)]
+    own = mails + phones + private + ["token=******", "token=------"]
+    rows = [(i, " ; ".join(own[i : i + 100])) for i in range(0, len(own), 100)]
+    got = by_id(pii.replace(spark.createDataFrame(rows, SCHEMA)))
+    new = [x for i, _ in rows for x in got[i]["text"].split(" ; ")]
+    assert len(new) == len(own) == len(set(new)) and not set(new) & set(own)
+    assert all("@example.com" in x for x in new[: len(mails)])
+
+
 def test_pii_collisions_coreference_and_format(spark):
     rnd = random.Random(5)
     names = sorted({rnd.choice("BCDFG") + "".join(rnd.choice("aeioulmn") for _ in range(5)) for _ in range(900)})
