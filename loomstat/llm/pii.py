@@ -36,18 +36,19 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}}){_TITLE}{_NAME}(?:\s{_NAME})?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_DIGITS = r"\d[\d.() -]{5}"
 #: Cheap tests, one for each pattern, that a text may hold an entity of the type at all.
 GATES = {
     "email": "@",
     "secret": r"(?i:password|passwd|pwd|secret|token|api[_-]?key)|[0-9a-f]{16}|AKIA[0-9A-Z]|(?<![0-9A-Za-z])(?:ghp|sk|pk)[_-][A-Za-z0-9]{20}",
     "iban": r"[A-Z]{2}\d{2} ?[A-Z0-9]{4}",
-    "ip": r"\d\.\d{1,3}\.\d",
-    "ssn": r"\d{3}-\d{2}-\d",
-    "card": r"\d[\d -]{5}",
-    "phone": r"\+\d[\d.() -]{4}|\d[\d.() -]{5}",
+    "ip": _DIGITS,
+    "ssn": _DIGITS,
+    "card": _DIGITS,
+    "phone": rf"\+\d[\d.() -]{{4}}|{_DIGITS}",
     "name": _TITLE,
 }
-MAYBE = "|".join(GATES[t] for t in PATTERNS)
+MAYBE = "|".join(dict.fromkeys(g for t in PATTERNS for g in [GATES[t]] if g != _DIGITS))
 #: Given names by gender and script, and syllables of family names by script.
 GIVEN = {
     ("m", "latin"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Marco Noah Oscar Paul Quentin Robert Simon Tomas Victor Walter".split(),
