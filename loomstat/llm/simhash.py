@@ -28,6 +28,8 @@ SENT_KEYS = 500_000
 LINKS_A_FILE, LEAST_FILES = 500_000, 8
 #: Texts that share one of these bands of minima are compared: of pairs at similarity 0.8, 7 in 100,000 share none.
 BANDS, ROWS = 24, 5
+#: After the first round texts are compared if so many minima agree in a byte: at 0.8, 2 in 100,000 pairs have fewer.
+AGREE = 77
 _XORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, "u8") * np.uint64(2) + np.uint64(1)
 _FACTORS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, BANDS * ROWS, "u8") * np.uint64(2) + np.uint64(1)
 _ONE = [1 << i for i in range(64)]
@@ -184,19 +186,21 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_i
     )
 
 
-def bands(text: str | None, width: int) -> np.ndarray:
-    """``BANDS`` hashes of ``ROWS`` minima each over the hashed shingles; two texts share one with 1 - (1 - J^ROWS)^BANDS."""
+def bands(text: str | None, width: int) -> tuple[np.ndarray, bytes]:
+    """A byte of each minimum, and ``BANDS`` hashes of ``ROWS`` minima each over the hashed shingles; two texts share one with 1 - (1 - J^ROWS)^BANDS."""
     hs = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, width)], "u8")
     least = np.full(BANDS * ROWS, np.iinfo("u8").max, "u8")
     for i in range(0, len(hs), 1024):
         least = np.minimum(least, ((hs[i : i + 1024, None] ^ _XORS) * _FACTORS).min(axis=0))
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))], "u8").view("i8")
+    hashes = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))]
+    return np.array(hashes, "u8"), (least >> np.uint64(24)).astype("u1").tobytes()
 
 
 def _star(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows ``h``, ``f``, ``k1``, ``k2``, sorted: each of a shared ``h`` with each of the first ``k`` before it.
 
-    ``j`` numbers these (``a1``, ``a2``); the first of all has one row without.  ``late`` rows come after the first ``k``.
+    ``j`` numbers these (``a1``, ``a2``); ``late`` rows come after the first ``k``.  Of rows with a ``sketch`` only
+    pairs that may be near are given.  Each has a row of ``j`` 0, with nulls where there is no pair.
     """
 
     def links(own: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -210,21 +214,30 @@ def _star(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
             some = np.flatnonzero(at > j if j else several)
             if not len(some):
                 break
-            head, first = own[2:, starts[group[some]] + j], at[some] == 0
-            cols = [*own[:, some], *[pa.array(x, mask=first) for x in head], at[some] >= k, np.full(len(some), j, "i4")]
+            head, none = starts[group[some]] + j, at[some] == 0
+            if len(own) > 4:
+                for i in range(0, len(some), 4096):
+                    a, b = [np.ascontiguousarray(own[4:, x[i : i + 4096]].T).view("u1") for x in (some, head)]
+                    none[i : i + 4096] |= (a == b).sum(axis=1) < AGREE
+            if j:
+                some, head, none = some[~none], head[~none], none[~none]
+            cols = [*own[:4, some], *[pa.array(x, mask=none) for x in own[2:4, head]], at[some] >= k, np.full(len(some), j, "i4")]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "f", "k1", "k2", "a1", "a2", "late", "j"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.empty((4, 0), "i8")
+        rest = None
         for batch in batches:
-            own = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
-            if not own.shape[1]:
+            if not batch.num_rows:
                 continue
+            own = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]])
+            if batch.num_columns > 4:
+                own = np.concatenate([own, np.frombuffer(b"".join(batch.column(4).to_pylist()), "i8").reshape(batch.num_rows, -1).T])
+            own = own if rest is None else np.concatenate([rest, own], axis=1)
             at = np.searchsorted(own[0], own[0, -1])
             rest = own[:, at:]
             if at:
                 yield from links(own[:, :at])
-        if rest.shape[1]:
+        if rest is not None:
             yield from links(rest)
 
     return run
@@ -246,8 +259,9 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs = [bands(t.as_py(), width).tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(hs, "binary"), *batch.columns[1:]], ["hs", "doc", *own])
+            both = [(h.tobytes(), sketch) for h, sketch in (bands(t.as_py(), width) for t in batch.column(0))]
+            hs, sketches = [pa.array([x[i] for x in both], "binary") for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([hs, sketches, *batch.columns[1:]], ["hs", "sketch", "doc", *own])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,11 +276,11 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
 
     rows = tagged.select(F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("doc"), *[F.col(k).alias(o) for k, o in zip(key, own)])
     # Texts stay where they are: their keys and bands alone are grouped.
-    texts = rows.mapInArrow(banded, "hs binary, doc long, k1 long, k2 long")
-    texts = cut(texts.groupBy(*own).agg(F.min("doc").alias("_first"), F.first("hs").alias("hs")))
+    texts = rows.mapInArrow(banded, "hs binary, sketch binary, doc long, k1 long, k2 long")
+    texts = cut(texts.groupBy(*own).agg(F.min("doc").alias("_first"), F.first("hs").alias("hs"), F.first("sketch").alias("sketch")))
     # Rows without id come last.
     left = texts.select("hs", F.coalesce("_first", F.lit(2**63 - 1)), *own).mapInArrow(dealt, "h long, f long, k1 long, k2 long")
-    k, bodies, gone = 1, None, None
+    k, bodies, sketches, gone = 1, None, None, None
     while True:
         met = left.repartition(parts, "h").sortWithinPartitions("h", "f", *own).mapInArrow(
             _star(k), "h long, f long, k1 long, k2 long, a1 long, a2 long, late boolean, j int"
@@ -288,7 +302,9 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
         stay = cut(stay.select(F.col("k1").alias("a1"), F.col("k2").alias("a2")))
         go = cut(close.join(stay, ["a1", "a2"], "left_semi").select(*own).distinct())
         settled = go.unionByName(stay.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")))
-        left = met.filter("j = 0").join(settled, own, "left_anti").select("h", "f", *own)
+        if sketches is None:
+            sketches = cut(met.select(*own).distinct().join(texts, own).select(*own, "sketch"))
+        left = met.filter("j = 0").join(settled, own, "left_anti").join(sketches, own).select("h", "f", *own, "sketch")
         gone = go if gone is None else gone.unionByName(go)
         k *= 4
     if gone is not None:

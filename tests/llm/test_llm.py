@@ -195,6 +195,32 @@ def test_one_of_each_finds_copies_of_similarity_over_08(spark):
     assert {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()} == want
 
 
+def test_one_of_each_goes_on_with_what_is_left(spark):
+    """Copies that drift from the first ones and are near one another; texts of a form, which are not near."""
+    rnd = random.Random(12)
+    word = lambda: f"w{rnd.randrange(10**9)}"
+    rows, n = [], 0
+    for shuffled in (False, True, True):
+        text, own = [word() for _ in range(300)], []
+        for _ in range(30):
+            own.append(" ".join(text))
+            for i in rnd.sample(range(300), 2):
+                text[i] = word()
+        rnd.shuffle(own) if shuffled else None
+        rows += [(n + i, t) for i, t in enumerate(own)]
+        n += 30
+    form = [word() for _ in range(300)]
+    for _ in range(40):
+        rows.append((n := n + 1, " ".join(word() if i % 27 == 0 else w for i, w in enumerate(form))))
+    kept = []
+    for i, t in rows:
+        if all(simhash.jaccard(t, u, 5) < 0.8 for _, u in kept):
+            kept.append((i, t))
+    assert 15 < len(kept) - 40 < 60
+    got = simhash.one_of_each(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(i for i, _ in kept)
+
+
 @pytest.mark.parametrize("cap", [1, 2000])
 def test_suffix_dedup_brute_force(spark, cap):
     rnd = random.Random(3)
