@@ -28,7 +28,6 @@ WORDS = 8
 BITS_PER_KEY = 16
 #: Filters up to this many blocks (64 bytes each) are sent to every task; larger ones are joined by block.
 MAX_SENT_BLOCKS = 128
-HOST_SUFFIXES = 6
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -43,7 +42,7 @@ def lookups(host: Column, path: Column) -> Column:
     labels = F.split(host, r"\.", -1)
     n = F.size(labels)
     hosts = F.transform(
-        F.sequence(F.lit(0), F.least(n - 1, F.lit(HOST_SUFFIXES - 1))),
+        F.sequence(F.lit(0), n - 1),
         lambda i: F.array_join(F.slice(labels, n - i, i + 1), "."),
     )
     full = F.array(F.concat(host, path))

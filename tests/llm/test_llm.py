@@ -60,6 +60,13 @@ def test_url_filter_both_ways(spark, sent):
     assert [got[i]["rule"] for i in (3, 4, 5, 6)] == ["example.com/de/", "net/", "example.net/en/", None]
 
 
+def test_url_filter_parents_of_many_labels(spark):
+    host = "h.g.f.e.d.c.b.a"
+    urls = spark.createDataFrame([(0, f"http://x.y.{host}/p", "h"), (1, f"http://x{host}/p", "h")], "page_id long, url string, host string")
+    got = by_id(url_filter.judge(urls, spark.createDataFrame([(f"{host}/",)], "key string")), "page_id")
+    assert [got[i]["verdict"] for i in range(2)] == ["block", "allow"]
+
+
 def words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
