@@ -45,11 +45,29 @@ def text_key(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(t), F.xxhash64(F.lit("second"), t)
 
 
+def free(df: DataFrame, *names: str) -> dict[str, str]:
+    """A column name for each of ``names`` that ``df`` does not have, upper and lower case taken as one."""
+    taken = {c.lower() for c in df.columns}
+    out = {}
+    for name in names:
+        own = f"_{name}"
+        while own.lower() in taken:
+            own = "_" + own
+        taken.add(own.lower())
+        out[name] = own
+    return out
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master (tests) gets a folder of its own; a cluster is told to name one.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 

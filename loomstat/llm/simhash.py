@@ -17,19 +17,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, text_key
+from .common import cut, free, read, text_key
 
 SEED = 42
 RADIUS = 3
 WIDTH = 3
-#: Keys of texts to be compared, if so few (16 bytes each), are sent to the tasks; more are joined by a shuffle.
-SENT_KEYS = 500_000
 #: Tables of links are written in files of so many rows (16 bytes each), in so many files at least.
 LINKS_A_FILE, LEAST_FILES = 500_000, 8
 #: Texts that share one of these bands of minima are compared: of pairs at similarity 0.8, 7 in 100,000 share none.
 BANDS, ROWS = 24, 5
-#: After the first round texts are compared if so many minima agree in a byte: at 0.8, 2 in 100,000 pairs have fewer.
-AGREE = 77
+#: Texts are compared if so many minima agree in two bits: at 0.8, by the formula, 1 in 100,000 pairs has fewer.
+AGREE = 84
+#: Bytes of a sketch: two bits for each minimum, in whole words.
+SKETCH = 32
+_LOW = np.uint64(0x5555555555555555)
 _XORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, "u8") * np.uint64(2) + np.uint64(1)
 _FACTORS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, BANDS * ROWS, "u8") * np.uint64(2) + np.uint64(1)
 _ONE = [1 << i for i in range(64)]
@@ -124,11 +125,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def link_fingerprints(fps: DataFrame) -> DataFrame:
     """Verified links ``a``, ``b`` between distinct fingerprints (column ``fp``) that join all within the radius."""
-    variants = fps.select("fp").distinct().mapInArrow(_emit, "fp long, m short")
     # The fingerprint travels with the number of its variant: neighbours in the shuffle are alike and compress.
     masks = F.array(*[F.lit(_signed(int(x))) for x in MASKS])
     z = F.col("fp").bitwiseXOR(F.get(masks, F.col("m").cast("int")))
     parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    # Fingerprints are few bytes, and each becomes hundreds of rows: a number of partitions is named, which is not coalesced.
+    variants = fps.select("fp").repartition(parts, "fp").distinct().mapInArrow(_emit, "fp long, m short")
     met = variants.repartition(parts, z).select(z.alias("z"), "m").sortWithinPartitions("z").mapInArrow(_meet, "a long, b long")
     return met.distinct()
 
@@ -187,20 +189,32 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_i
 
 
 def bands(text: str | None, width: int) -> tuple[np.ndarray, bytes]:
-    """A byte of each minimum, and ``BANDS`` hashes of ``ROWS`` minima each over the hashed shingles; two texts share one with 1 - (1 - J^ROWS)^BANDS."""
+    """``BANDS`` hashes of ``ROWS`` minima each over the hashed shingles, and two bits of each minimum.
+
+    Two texts share a hash with probability 1 - (1 - J^ROWS)^BANDS.
+    """
     hs = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, width)], "u8")
     least = np.full(BANDS * ROWS, np.iinfo("u8").max, "u8")
     for i in range(0, len(hs), 1024):
         least = np.minimum(least, ((hs[i : i + 1024, None] ^ _XORS) * _FACTORS).min(axis=0))
     hashes = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))]
-    return np.array(hashes, "u8"), (least >> np.uint64(24)).astype("u1").tobytes()
+    bits = np.zeros(4 * SKETCH, "u1")
+    bits[: len(least)] = (least >> np.uint64(24)).astype("u1") & 3
+    packed = bits[0::4] | bits[1::4] << 2 | bits[2::4] << 4 | bits[3::4] << 6
+    return np.array(hashes, "u8"), packed.tobytes()
+
+
+def unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sketches (rows of words) agree in too few minima for a similarity of 0.8."""
+    x = (a ^ b).view("u8")
+    return np.bitwise_count((x | x >> np.uint64(1)) & _LOW).sum(axis=0) > BANDS * ROWS - AGREE
 
 
 def _star(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows ``h``, ``f``, ``k1``, ``k2``, sorted: each of a shared ``h`` with each of the first ``k`` before it.
+    """Rows ``h``, ``f``, ``k1``, ``k2``, ``sketch``, sorted: each of a shared ``h`` with each of the first ``k`` before it.
 
-    ``j`` numbers these (``a1``, ``a2``); ``late`` rows come after the first ``k``.  Of rows with a ``sketch`` only
-    pairs that may be near are given.  Each has a row of ``j`` 0, with nulls where there is no pair.
+    ``j`` numbers these (``a1``, ``a2``); ``late`` rows come after the first ``k``.  Only pairs whose sketches may be
+    near are given.  Each row has one of ``j`` 0, with its sketch and with nulls where there is no pair.
     """
 
     def links(own: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -214,15 +228,14 @@ def _star(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
             some = np.flatnonzero(at > j if j else several)
             if not len(some):
                 break
-            head, none = starts[group[some]] + j, at[some] == 0
-            if len(own) > 4:
-                for i in range(0, len(some), 4096):
-                    a, b = [np.ascontiguousarray(own[4:, x[i : i + 4096]].T).view("u1") for x in (some, head)]
-                    none[i : i + 4096] |= (a == b).sum(axis=1) < AGREE
+            head = starts[group[some]] + j
+            none = (at[some] == 0) | unlike(own[4:, some], own[4:, head])
             if j:
                 some, head, none = some[~none], head[~none], none[~none]
             cols = [*own[:4, some], *[pa.array(x, mask=none) for x in own[2:4, head]], at[some] >= k, np.full(len(some), j, "i4")]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "f", "k1", "k2", "a1", "a2", "late", "j"])
+            raw = np.ascontiguousarray(own[4:, some].T).tobytes()
+            sketch = pa.nulls(len(some), "binary") if j else pa.array([raw[i : i + SKETCH] for i in range(0, len(raw), SKETCH)], "binary")
+            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], sketch], ["h", "f", "k1", "k2", "a1", "a2", "late", "j", "sketch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -230,8 +243,7 @@ def _star(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
             if not batch.num_rows:
                 continue
             own = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]])
-            if batch.num_columns > 4:
-                own = np.concatenate([own, np.frombuffer(b"".join(batch.column(4).to_pylist()), "i8").reshape(batch.num_rows, -1).T])
+            own = np.concatenate([own, np.frombuffer(b"".join(batch.column(4).to_pylist()), "i8").reshape(batch.num_rows, -1).T])
             own = own if rest is None else np.concatenate([rest, own], axis=1)
             at = np.searchsorted(own[0], own[0, -1])
             rest = own[:, at:]
@@ -253,7 +265,8 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
     Each round compares the texts of a band with its first ones.  A text that is among the first in all of its bands
     and near none before it stays, and those near it go; the others meet again, with more first ones.
     """
-    names, key, own = docs.columns, ["_key1", "_key2"], ["k1", "k2"]
+    names, own = docs.columns, ["k1", "k2"]
+    first, *key = free(docs, "first", "key1", "key2").values()
     tagged = docs.withColumns(dict(zip(key, text_key(F.col(text_col)))))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
@@ -266,8 +279,8 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hs = np.frombuffer(b"".join(batch.column(0).to_pylist()), "i8")
-            rest = [pa.array(np.repeat(c.to_numpy(zero_copy_only=False), BANDS)) for c in batch.columns[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array(hs), *rest], ["h", "f", *own])
+            rest = batch.select([1, 2, 3, 4]).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
+            yield pa.RecordBatch.from_arrays([pa.array(hs), *rest.columns], ["h", "f", *own, "sketch"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,38 +292,34 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
     texts = rows.mapInArrow(banded, "hs binary, sketch binary, doc long, k1 long, k2 long")
     texts = cut(texts.groupBy(*own).agg(F.min("doc").alias("_first"), F.first("hs").alias("hs"), F.first("sketch").alias("sketch")))
     # Rows without id come last.
-    left = texts.select("hs", F.coalesce("_first", F.lit(2**63 - 1)), *own).mapInArrow(dealt, "h long, f long, k1 long, k2 long")
-    k, bodies, sketches, gone = 1, None, None, None
+    left = texts.select("hs", F.coalesce("_first", F.lit(2**63 - 1)), *own, "sketch").mapInArrow(dealt, "h long, f long, k1 long, k2 long, sketch binary")
+    k, bodies, gone = 1, None, None
     while True:
         met = left.repartition(parts, "h").sortWithinPartitions("h", "f", *own).mapInArrow(
-            _star(k), "h long, f long, k1 long, k2 long, a1 long, a2 long, late boolean, j int"
+            _star(k), "h long, f long, k1 long, k2 long, a1 long, a2 long, late boolean, j int, sketch binary"
         )
         met = cut(met)
         if met.isEmpty():
             break
+        pairs = met.filter("a1 IS NOT NULL").select(*own, "a1", "a2").distinct()
         if bodies is None:
-            # Only texts that are compared travel, one of each.
+            # Only texts that meet others travel, one of each.
             wanted = cut(met.select(*own).distinct())
-            if wanted.count() <= SENT_KEYS:
-                wanted = F.broadcast(wanted)
             bodies = cut(rows.join(wanted, own).groupBy(*own).agg(F.first("_text").alias("_text")))
         heads = bodies.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("_text").alias("_head_text"))
-        pairs = met.filter("a1 IS NOT NULL").select(*own, "a1", "a2").distinct()
         pairs = pairs.join(bodies, own).join(heads, ["a1", "a2"]).select(*own, "a1", "a2", "_text", "_head_text")
         close = cut(pairs.mapInArrow(near, "k1 long, k2 long, a1 long, a2 long"))
         stay = met.groupBy(*own).agg(F.max("late").alias("late")).filter("NOT late").join(close, own, "left_anti")
         stay = cut(stay.select(F.col("k1").alias("a1"), F.col("k2").alias("a2")))
         go = cut(close.join(stay, ["a1", "a2"], "left_semi").select(*own).distinct())
         settled = go.unionByName(stay.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")))
-        if sketches is None:
-            sketches = cut(met.select(*own).distinct().join(texts, own).select(*own, "sketch"))
-        left = met.filter("j = 0").join(settled, own, "left_anti").join(sketches, own).select("h", "f", *own, "sketch")
+        left = met.filter("j = 0").join(settled, own, "left_anti").select("h", "f", *own, "sketch")
         gone = go if gone is None else gone.unionByName(go)
         k *= 4
     if gone is not None:
         texts = texts.join(gone, own, "left_anti")
-    texts = texts.select("_first", *[F.col(o).alias(n) for n, o in zip(key, own)])
-    kept = tagged.join(texts, key).filter(F.col(id_col).cast("long").eqNullSafe(F.col("_first")))
+    texts = texts.select(F.col("_first").alias(first), *[F.col(o).alias(n) for n, o in zip(key, own)])
+    kept = tagged.join(texts, key).filter(F.col(id_col).cast("long").eqNullSafe(F.col(first)))
     # Equal rows: one stays.
     return kept.dropDuplicates(key).select(*names)
 

@@ -327,28 +327,77 @@ def test_myers_and_leaks(spark, edge, empty):
     assert decontaminate.clean(edge, bench.limit(0)).count() == len(EDGE)
 
 
+def marginals_met(got, want, tolerance):
+    total = got.n_tokens.sum()
+    for d, shares in want.items():
+        kept = (got.probability * got.n_tokens).groupby(got[d]).sum() / total / mixing.FRACTION
+        for v, share in shares.items():
+            assert abs(kept[v] / share - 1) < tolerance, (d, v)
+
+
 def test_mixing_meets_targets(spark, edge, empty):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = pd.DataFrame([r.asDict() for r in mixing.mix(df).collect()])
-    got["w"] = got.weight * got.n_tokens
+    want = {}
     for d, power in mixing.POWERS.items():
-        seen = got.groupby(d)[["n_tokens", "w"]].sum()
-        target = seen.n_tokens**power / (seen.n_tokens**power).sum() * got.n_tokens.sum()
-        assert (abs(seen.w / target - 1) < 0.02).all()
-    assert abs((got.probability * got.n_tokens).sum() / got.n_tokens.sum() - mixing.FRACTION) < 1e-6
+        n = got.groupby(d).n_tokens.sum()
+        share, have = n**power / (n**power).sum(), n / n.sum() / mixing.FRACTION
+        for _ in range(50):  # values that cannot fill their share give all they have
+            full = share >= have
+            share = share.where(full, share * (1 - have[full].sum()) / share[~full].sum()).where(~full, have)
+        want[d] = dict(share)
+    marginals_met(got, want, 0.005)
+    assert abs((got.probability * got.n_tokens).sum() / got.n_tokens.sum() - mixing.FRACTION) < 1e-3
+    assert got.probability.between(0, 1).all() and abs(got.weight * mixing.FRACTION - got.probability).max() < 1e-9
+    chance = (got.probability * (1 - got.probability) * got.n_tokens.astype(float) ** 2).sum() ** 0.5
+    assert abs(got.n_tokens[got.sampled].sum() - (got.probability * got.n_tokens).sum()) < 4 * chance
     assert mixing.mix(edge).count() == len(EDGE) and not mixing.mix(empty).collect() and not mixing.sample(empty).collect()
 
 
+def test_mixing_meets_stated_targets(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = pd.DataFrame([r.asDict() for r in mixing.mix(df, targets={"lang": {"en": 0.45, "de": 0.2}, "source": {"src1": 0.02}}, fraction=mixing.FRACTION).collect()])
+    marginals_met(got, {"lang": {"en": 0.45, "de": 0.2}, "source": {"src1": 0.02}}, 0.01)
+
+
 @pytest.mark.parametrize("few, fr", [(50, 10_000), (500, 100_000)])
-def test_mixing_meets_targets_where_source_nearly_fixes_language(spark, few, fr):
-    cells = [("a", "en", 900_000), ("a", "fr", few), ("b", "en", few), ("b", "fr", fr)]
-    got = pd.DataFrame([r.asDict() for r in mixing.rake(spark.createDataFrame(cells, "source string, lang string, n long"), {"source": 0.5, "lang": 0.6}).collect()])
-    for d, power in (("source", 0.5), ("lang", 0.6)):
-        seen = got.groupby(d)[["n", "w"]].sum()
-        target = seen.n**power / (seen.n**power).sum() * got.n.sum()
-        assert (abs(seen.w / target - 1) < 0.002).all()
-    # an empty combination makes the targets unreachable: sweeps end
-    assert mixing.rake(spark.createDataFrame([cells[0], cells[3]], "source string, lang string, n long"), {"source": 0.5, "lang": 0.6}).count() == 2
+def test_raking_equals_plain_raking(spark, few, fr):
+    rows = [("a", "en", 900_000), ("a", "fr", few), ("b", "en", few), ("b", "fr", fr), ("b", None, 7_000)]
+    rows = [(a, b or "x", n) for a, b, n in rows]
+    cells = spark.createDataFrame(rows, "source string, lang string, n long")
+    n = np.array([float(r[2]) for r in rows])
+    codes = [np.unique([r[i] for r in rows], return_inverse=True)[1] for i in (0, 1)]
+    aims = [n.sum() * 0.004 * (np.bincount(c, n) ** p / (np.bincount(c, n) ** p).sum()) for c, p in zip(codes, (0.9, 0.95), strict=True)]
+    w = n * 0.004
+    for _ in range(20_000):
+        for c, t in zip(codes, aims, strict=True):
+            w = np.minimum(n, w * (t / np.bincount(c, w))[c])
+    start = cells.withColumn("w", cells.n * 0.004)
+    for d, p in (("source", 0.9), ("lang", 0.95)):
+        start = start.join(mixing.aims(cells, d, p, None, n.sum() * 0.004), d)
+    got, error = mixing.rake(start, ["source", "lang"])
+    by = {(r["source"], r["lang"]): r["w"] for r in got.collect()}
+    assert np.allclose([by[r[:2]] for r in rows], w, rtol=0.02)
+    assert error <= mixing.TOLERANCE or abs(max(abs(np.bincount(c, w) / t - 1).max() for c, t in zip(codes, aims, strict=True)) - error) < 0.01
+
+
+def test_raking_ends_where_cells_are_sparse(spark):
+    rnd = random.Random(8)
+    rows = sorted({(f"s{rnd.randint(0, 9)}", f"l{rnd.randint(0, 5)}", f"t{rnd.randint(0, 4)}") for _ in range(30)})
+    cells = spark.createDataFrame([(*r, rnd.randint(1, 10_000)) for r in rows], "source string, lang string, topic string, n long")
+    start = cells.withColumn("w", cells.n * 0.5)
+    total = sum(r["n"] for r in cells.collect())
+    for d in ("source", "lang", "topic"):
+        start = start.join(mixing.aims(cells, d, 0.5, None, total * 0.5), d)
+    got, error = mixing.rake(start, ["source", "lang", "topic"])
+    assert got.count() == len(rows) and error >= 0 and all(0 <= r["w"] <= r["n"] for r in got.collect())
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["weight", "probability", "_source", "_lang", "_topic", "_tokens", "tokens", "n_tokens", "sampled", "_weight"]
+    df = spark.createDataFrame([(i, f"some words {i}", "s", "en", *range(10)) for i in range(40)], SCHEMA + ", source string, lang string, " + ", ".join(f"{c} int" for c in names))
+    got = mixing.sample(df, fraction=0.9)
+    assert got.columns == df.columns and got.count() > 20 and all(tuple(r)[4:] == tuple(range(10)) for r in got.collect())
 
 
 def test_pii_replaces_all(spark, docs, edge, empty):
