@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dims import TOPICS
+from ..functions.dims import PLACEHOLDER_OPTIONS, TOPICS
 
-OPTIONS = ("A) Option A", "B) Option B", "C) Option C", "D) Option D")
 ROW = "instruction string, input string, output string"
 
 
@@ -19,7 +18,7 @@ def repair(lines: DataFrame) -> DataFrame:
     joined = parsed.join(topics, "name", "left")
     output = F.struct(
         F.col("r.output").alias("questionText"),
-        F.array(*map(F.lit, OPTIONS)).alias("options"),
+        F.array(*map(F.lit, PLACEHOLDER_OPTIONS)).alias("options"),
         F.lit("B").alias("correctAnswer"),
         F.col("topic"),
         F.lit(True).alias("formatted"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.dims import CATEGORIES, ERROR_TYPES, LIMITS, RECOVERY, RECOVERY_DEFAULT, TOPICS, values
+from ..functions.dims import CATEGORIES, ERROR_TYPES, LIMITS, METERED, RECOVERY, RECOVERY_DEFAULT, TOPICS, values
 from ..sources.tables import TABLES, table
 
 _SPARK = {"rx": "regexp_like", "g": "", "split": "split", "num": "try_cast", "len": "size", "k": "get_json_object(props, '$.k')"}
@@ -27,7 +27,8 @@ WITH = {
     "categories": ("theme, category", values(CATEGORIES)),
     "error_types": ("k8, error_type", values(list(enumerate(ERROR_TYPES)))),
     "limits": ("profile, api_type, rpm, rpd, tpm, tpd, token_cost, day_cost", values(LIMITS)),
-    "recovery": ("error_type, advice", values(list(RECOVERY.items()))),
+    "prices": ("api_type, token_cost", values([(a, c) for _, a, _, _, _, _, c, _ in METERED])),
+    "recovery": ("error_type, advice", values([(k, "; ".join(v)) for k, v in RECOVERY.items()])),
     "spine": ("h", HOURS),
     "now": ("as_of", "SELECT max(ts) FROM events"),
     "gen_metrics": (
@@ -41,33 +42,9 @@ WITH = {
     ),
     "usage_records": (
         "id, ts, api_type, operation, tokens, cost",
-        "SELECT event_id, ts, CASE WHEN user_id % 2 = 0 THEN 'openrouter' ELSE 'huggingface' END, event_type, CAST(round(value * 10) AS BIGINT),"
-        " CAST(CAST(round(value * 10) AS BIGINT) * CASE WHEN user_id % 2 = 0 THEN CAST('0.0000010' AS DECIMAL(10, 7)) ELSE CAST('0.0000002' AS DECIMAL(10, 7)) END AS DECIMAL(20, 10)) FROM events",
-    ),
-    "questions": (
-        "id, topic, qtext, o1, o2, o3, o4, answer",
-        "SELECT doc_id, topic, trim(split_part(text, '. ', 1)), trim(split_part(text, '. ', 2)), trim(split_part(text, '. ', 3)),"
-        " trim(split_part(text, '. ', 4)), trim(split_part(text, '. ', 5)), substr('ABCDE', CAST(doc_id % 5 + 1 AS INT), 1)"
-        " FROM documents JOIN topic_dim ON ord = doc_id % 29 WHERE text IS NOT NULL AND doc_id IS NOT NULL",
-    ),
-    "responses": (
-        "id, topic, body",
-        "SELECT id, topic, concat('QUESTION: ', [[flat]](qtext), chr(10), 'A) ', [[flat]](o1), chr(10), 'B) ', [[flat]](o2), chr(10), 'C) ', [[flat]](o3), chr(10),"
-        " CASE WHEN id % 7 = 0 THEN '' ELSE concat('D) ', [[flat]](o4), chr(10)) END, 'ANSWER: ', answer) FROM questions",
-    ),
-    "parsed": (
-        "id, topic, question, a, b, c, d, answer",
-        "SELECT id, topic, trim(regexp_extract(body, 'QUESTION:[ ]*([^\n]*)\n', 1)), trim(regexp_extract(body, '\nA[).:][ ]*([^\n]*)', 1)),"
-        " trim(regexp_extract(body, '\nB[).:][ ]*([^\n]*)', 1)), trim(regexp_extract(body, '\nC[).:][ ]*([^\n]*)', 1)), trim(regexp_extract(body, '\nD[).:][ ]*([^\n]*)', 1)),"
-        " coalesce(nullif(regexp_extract(body, 'ANSWER:[ ]*([A-D])', 1), ''), 'A') FROM responses",
-    ),
-    "checked": (
-        "id, topic, n_options, confidence, error, answer",
-        "SELECT id, topic, n, CASE WHEN n < 4 THEN 0.1 ELSE greatest(0.1, least(1.0, 0.5 + 0.2 + CASE WHEN instr(question, '?') > 0 THEN 0.1 ELSE 0 END"
-        " + CASE WHEN [[rx]](question, '[0-9]') THEN 0.1 ELSE 0 END - CASE WHEN (length(a) + length(b) + length(c) + length(d)) / 4.0 < 5 THEN 0.2 ELSE 0 END"
-        " - CASE WHEN a = b OR a = c OR a = d OR b = c OR b = d OR c = d THEN 0.3 ELSE 0 END)) END,"
-        " CASE WHEN question = '' THEN 'No question text found' WHEN n < 4 THEN 'Expected 4 options, found 0' WHEN length(question) < 10 THEN 'Question text too short' END, answer"
-        " FROM (SELECT *, CASE WHEN a <> '' THEN 1 ELSE 0 END + CASE WHEN b <> '' THEN 1 ELSE 0 END + CASE WHEN c <> '' THEN 1 ELSE 0 END + CASE WHEN d <> '' THEN 1 ELSE 0 END AS n FROM parsed) p",
+        "SELECT event_id, ts, api_type, event_type, CAST(round(value * 10) AS BIGINT),"
+        " CAST(CAST(round(value * 10) AS BIGINT) * CAST(token_cost AS DECIMAL(10, 7)) AS DECIMAL(20, 10)) FROM events"
+        " JOIN prices ON api_type = CASE WHEN user_id % 2 = 0 THEN 'openrouter' ELSE 'huggingface' END",
     ),
 }
 
@@ -118,22 +95,10 @@ SELECT status, success_rate, avg_ms, error_rate, quota,
     CASE quota WHEN 'critical' THEN 'API quota limits reached' WHEN 'warning' THEN 'API quota usage high' END) AS alerts
 FROM (SELECT *, CASE WHEN success_rate < 0.5 OR avg_ms > 30000 OR quota = 'critical' THEN 'critical'
     WHEN success_rate < 0.8 OR avg_ms > 15000 OR error_rate > 0.1 OR quota = 'warning' THEN 'warning' ELSE 'healthy' END AS status
-  FROM (SELECT coalesce({_RATE}, 1) AS success_rate, coalesce(round(avg(CASE WHEN success THEN ms END), 6), 0) AS avg_ms,
-      CASE WHEN count(*) = 0 THEN 0 ELSE round(CAST(max(e.n) AS DOUBLE) / count(*), 6) END AS error_rate,
-      CASE WHEN max(e.q) > 5 THEN 'critical' WHEN max(e.q) > 2 THEN 'warning' ELSE 'ok' END AS quota
+  FROM (SELECT success_rate, avg_ms, CASE WHEN total = 0 THEN 0 ELSE round(CAST(e.n AS DOUBLE) / total, 6) END AS error_rate,
+      CASE WHEN e.q > 5 THEN 'critical' WHEN e.q > 2 THEN 'warning' ELSE 'ok' END AS quota
     FROM (SELECT count(*) AS n, count(CASE WHEN error_type = 'api_limit' THEN 1 END) AS q FROM error_metrics WHERE {_last(interval)}) e
-      LEFT JOIN (SELECT * FROM gen_metrics WHERE {_last(interval)}) g ON true) a) b"""
-
-
-_SPAN = "RANGE BETWEEN INTERVAL '{}' SECOND PRECEDING AND INTERVAL '0.000001' SECOND PRECEDING"
-_MINUTE, _DAYSPAN = _SPAN.format("60.000000"), _SPAN.format("86400.000000")
-_WORDS = "regexp_replace(lower({}), '[^a-z0-9 ]', ' '[[g]])"
-_HL = "derive prove complex integrate differentiate relativistic quantum tensor angular entropy".split()
-_SL = "calculate define state find identify simple basic list name describe".split()
-
-
-def _hits(words: list[str], column: str) -> str:
-    return " + ".join(f"CASE WHEN instr(lower({column}), '{w}') > 0 THEN 1 ELSE 0 END" for w in words)
+      CROSS JOIN (SELECT count(*) AS total, coalesce({_RATE}, 1) AS success_rate, coalesce(round(avg(CASE WHEN success THEN ms END), 6), 0) AS avg_ms FROM gen_metrics WHERE {_last(interval)}) g) a) b"""
 
 
 SQL: dict[str, str] = {
@@ -180,57 +145,22 @@ UNION ALL SELECT 'recent', '1h', {_N} FROM error_metrics WHERE {_last(HOUR)}""",
     "budget_alerts": f"""SELECT u.api_type, cost, day_cost AS budget, CASE WHEN used >= 1.0 THEN 'exceeded' WHEN used >= 0.9 THEN 'critical' WHEN used >= 0.7 THEN 'warning' ELSE 'ok' END AS alert, round(used, 6) AS used
 FROM (SELECT u.*, l.day_cost, CASE WHEN CAST(l.day_cost AS DOUBLE) = 0 THEN NULL ELSE CAST(cost AS DOUBLE) / CAST(l.day_cost AS DOUBLE) END AS used FROM
   (SELECT api_type, round(CAST(sum(cost) AS DOUBLE), 8) AS cost FROM usage_records WHERE {_last(DAY)} GROUP BY api_type) u JOIN limits l ON u.api_type = l.api_type AND l.profile = 'testing') u""",
-    "monthly_projection": "SELECT profile, api_type, rpd * 30 AS requests, tpd * 30 AS tokens, round(CAST(day_cost AS DOUBLE) * 30, 2) AS max_cost, CAST(floor(tpd / 850) AS BIGINT) AS questions_a_day FROM limits",
     "quota_status": f"""SELECT l.api_type, coalesce(n, 0) AS requests_used, rpd AS requests_limit, coalesce(tokens, 0) AS tokens_used, tpd AS tokens_limit, coalesce(cost, 0) AS cost_used, day_cost AS cost_limit, (SELECT as_of FROM now) + INTERVAL '24' HOUR AS reset_at
 FROM limits l LEFT JOIN (SELECT api_type, {_N} AS n, CAST(sum(tokens) AS BIGINT) AS tokens, round(CAST(sum(cost) AS DOUBLE), 8) AS cost FROM usage_records WHERE {_last(DAY)} GROUP BY api_type) u ON l.api_type = u.api_type WHERE profile = 'default'""",
     "usage_stats": f"SELECT api_type, {_N} AS requests, CAST(sum(tokens) AS BIGINT) AS tokens, round(CAST(sum(cost) AS DOUBLE), 8) AS cost, round(CAST(sum(tokens) AS DOUBLE) / count(*), 6) AS avg_tokens FROM usage_records WHERE {_last(DAY)} GROUP BY api_type",
     "usage_hourly_slots": f"""SELECT a.api_type, a.h AS slot, coalesce(n, 0) AS requests FROM (SELECT DISTINCT api_type, h FROM limits JOIN spine ON true) a
 LEFT JOIN (SELECT api_type, slot, {_N} AS n FROM (SELECT api_type, 23 - CAST(floor((unix_ - ts_) / 3600.0) AS INT) AS slot FROM (SELECT api_type, [[sec]](ts) AS ts_, [[sec]]((SELECT as_of FROM now)) AS unix_ FROM usage_records WHERE {_last(DAY)}) x) y WHERE slot >= 0 GROUP BY api_type, slot) u ON a.api_type = u.api_type AND a.h = u.slot""",
-    "rate_limit_admission": f"""SELECT id, api_type, CASE WHEN day_cost > 0 AND cost_d >= day_cost THEN 'reject_cost' WHEN n_m >= rpm THEN 'delay' WHEN n_d >= rpd THEN 'reject_requests' WHEN tok_m >= tpm THEN 'delay_tokens' WHEN tok_d >= tpd THEN 'reject_tokens' ELSE 'admit' END AS decision, n_m, n_d, tok_d
-FROM (SELECT u.id, u.api_type, CAST(l.day_cost AS DOUBLE) AS day_cost, rpm, rpd, tpm, tpd, CAST(count(*) OVER m AS BIGINT) AS n_m, CAST(count(*) OVER d AS BIGINT) AS n_d, CAST(coalesce(sum(tokens) OVER m, 0) AS BIGINT) AS tok_m,
-  CAST(coalesce(sum(tokens) OVER d, 0) AS BIGINT) AS tok_d, CAST(coalesce(sum(cost) OVER d, 0) AS DOUBLE) AS cost_d FROM usage_records u JOIN limits l ON u.api_type = l.api_type AND l.profile = 'testing'
-  WINDOW m AS (PARTITION BY u.api_type ORDER BY u.ts {_MINUTE}), d AS (PARTITION BY u.api_type ORDER BY u.ts {_DAYSPAN})) x""",
-    "rate_limit_wait": f"SELECT id, api_type, n, CASE WHEN n >= 5 THEN wait_ms ELSE 0 END AS wait_ms FROM (SELECT id, api_type, CAST(count(*) OVER m AS BIGINT) AS n, 60000 - CAST(round(([[sec]](ts) - [[sec]](min(ts) OVER m)) * 1000) AS BIGINT) AS wait_ms FROM usage_records WINDOW m AS (PARTITION BY api_type ORDER BY ts {_MINUTE})) x",
-    "retry_budget": f"SELECT id, error_type, n, error_type <> 'configuration_error' AND error_type <> 'api_limit' AND n < CASE error_type WHEN 'llama_failure' THEN 3 ELSE 2 END AS retry FROM (SELECT id, error_type, CAST(count(*) OVER (PARTITION BY error_type ORDER BY ts {_SPAN.format("300.000000")}) AS BIGINT) AS n FROM error_metrics) x",
     "backoff_delay": "SELECT h + 1 AS attempt, CAST(least(2000 * power(2, h), 30000) AS BIGINT) AS model_ms, CAST(least(1000 * power(2, h), 10000) AS BIGINT) AS refine_ms, CASE h WHEN 0 THEN 1000 WHEN 1 THEN 2000 WHEN 2 THEN 5000 ELSE 10000 END AS table_ms FROM spine WHERE h < 10",
     "affordability": f"SELECT l.api_type, round(CAST(CAST(day_cost AS DECIMAL(12, 4)) - coalesce(cost, 0) AS DOUBLE), 8) AS remaining, CAST('0.01' AS DECIMAL(12, 4)) <= CAST(day_cost AS DECIMAL(12, 4)) - coalesce(cost, 0) AS can_afford FROM limits l LEFT JOIN (SELECT api_type, CAST(sum(cost) AS DECIMAL(20, 10)) AS cost FROM usage_records WHERE {_last(DAY)} GROUP BY api_type) u ON l.api_type = u.api_type WHERE profile = 'testing'",
     "cleanup_counts": f"SELECT 'gen_metrics' AS log, CAST(count(CASE WHEN NOT ({_last("'7' DAY")}) THEN 1 END) AS BIGINT) AS removed, CAST(count(CASE WHEN {_last("'7' DAY")} THEN 1 END) AS BIGINT) AS kept FROM gen_metrics",
     "mark_resolved": f"SELECT id, error_type, id % 3 = 0 AS resolved FROM error_metrics WHERE {_last(DAY)}",
-    "recovery_suggestions": f"SELECT e.id, e.error_type, coalesce(advice, '{RECOVERY_DEFAULT}') AS advice FROM error_metrics e LEFT JOIN recovery r ON e.error_type = r.error_type WHERE {_last(DAY)}",
-    "fallback_missing": "SELECT t.topic FROM topic_dim t WHERE NOT EXISTS (SELECT 1 FROM gen_metrics g WHERE g.topic = t.topic AND g.ms > 60000)",
+    "recovery_suggestions": f"SELECT e.id, e.error_type, coalesce(advice, '{"; ".join(RECOVERY_DEFAULT)}') AS advice FROM error_metrics e LEFT JOIN recovery r ON e.error_type = r.error_type WHERE {_last(DAY)}",
     "topic_catalog": "SELECT topic, display, coalesce(category, 'Other') AS category, hl FROM topic_dim t LEFT JOIN categories c ON t.theme = c.theme",
     "option_topics_filter": "SELECT topic, q AS question_type FROM topic_dim JOIN (VALUES ('multiple-choice'), ('long-answer')) v(q) ON NOT (q = 'multiple-choice' AND theme = 'O')",
-    "legacy_topic_map": "SELECT x.alias, coalesce(t.topic, 'kinematics') AS topic FROM (VALUES ('Kinematics'), ('thermodynamics'), ('WAVE-MODEL'), ('unknown')) x(alias) LEFT JOIN topic_dim t ON lower(x.alias) = t.topic",
-    "error_to_status": "SELECT doc_id, CASE WHEN instr(text, 'quota') > 0 OR instr(text, 'limit') > 0 THEN 429 WHEN instr(text, 'timeout') > 0 THEN 408 WHEN instr(text, 'validation') > 0 THEN 422 ELSE 500 END AS status FROM documents",
     "mask_secret": "SELECT doc_id, CASE WHEN source = '' THEN '' WHEN length(source) <= 4 THEN '****' ELSE concat('****', right(source, 4)) END AS masked FROM documents",
     "truncate_text": "SELECT doc_id, CASE WHEN length(text) > 300 THEN concat(left(text, 300), '...') ELSE text END AS preview FROM documents",
-    "format_response": "SELECT id, qtext, regexp_replace(o1, '^[A-D][)][ ]*', '') AS first_option, ascii(answer) - 65 AS answer_index, concat('A) ', o1) AS labelled FROM questions",
-    "json_prefix": f"SELECT event_id, [[k]] AS k, coalesce([[num]]([[k]] AS BIGINT), 0) AS k_num FROM events",
-    "parse_responses": "SELECT id, topic, n_options, round(CAST(confidence AS DOUBLE), 6) AS confidence, error, answer FROM checked",
-    "parsing_stats": "SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(CASE WHEN error IS NULL THEN 1 END) AS BIGINT) AS successes, round(avg(CAST(confidence AS DOUBLE)), 6) AS avg_confidence FROM checked",
-    "common_parse_errors": "SELECT error, CAST(count(*) AS BIGINT) AS n FROM checked WHERE error IS NOT NULL GROUP BY error ORDER BY n DESC, error LIMIT 5",
-    "response_validity": "SELECT id, instr(body, 'QUESTION:') > 0 AND [[rx]](body, 'A[).:]') AND [[rx]](body, 'ANSWER:') AND length(body) > 30 AS valid FROM responses",
-    "error_messages": "SELECT doc_id, nullif(trim(regexp_extract(text, '(?i)error:[ ]*([^\n]*)', 1)), '') AS message FROM documents",
-    "format_validation": """SELECT id, qtext = '' AS missing_text, length(qtext) < 10 AS too_short, length(qtext) > 500 AS too_long, instr(qtext, '?') = 0 AS no_question_mark, n AS option_count,
-  n <> 4 AS bad_options, answer NOT IN ('A', 'B', 'C', 'D') AS bad_answer, NOT (qtext = '' OR n <> 4 OR answer NOT IN ('A', 'B', 'C', 'D')) AS is_valid
-FROM (SELECT *, CASE WHEN o1 <> '' THEN 1 ELSE 0 END + CASE WHEN o2 <> '' THEN 1 ELSE 0 END + CASE WHEN o3 <> '' THEN 1 ELSE 0 END + CASE WHEN o4 <> '' THEN 1 ELSE 0 END AS n FROM questions) q""",
-    "physics_validation": """SELECT id, coalesce(speed > 300000000, false) AS exceeds_light, CASE WHEN coalesce(speed > 300000000, false) THEN 'major_issues' ELSE 'accurate' END AS accuracy, speed
-FROM (SELECT id, [[num]](nullif(regexp_extract(qtext, '([0-9]+[.]?[0-9]*)[ ]*m/s', 1), '') AS DOUBLE) AS speed FROM questions) q""",
-    "magnitude_validation": "SELECT id, coalesce(x > 10000000000.0, false) AS too_large, coalesce(x > 0 AND x < 0.000001, false) AS too_small FROM (SELECT id, [[num]](nullif(regexp_extract(qtext, '([0-9]+[.]?[0-9]*)', 1), '') AS DOUBLE) AS x FROM questions) q",
-    "difficulty_class": f"SELECT id, q.topic, CASE WHEN hl THEN 'higher' WHEN ({_hits(_HL, 'qtext')}) > ({_hits(_SL, 'qtext')}) THEN 'higher' ELSE 'standard' END AS difficulty FROM questions q JOIN topic_dim t ON q.topic = t.topic",
-    "style_rules": """SELECT id, length(qtext) < 50 AS brief, length(qtext) > 200 AS wants_parts, [[rx]](qtext, '[0-9][0-9][0-9][0-9][0-9][0-9]') AS wants_notation,
-  instr(lower(qtext), 'calculate') > 0 AND NOT [[rx]](qtext, '[0-9]') AS calculation_without_numbers FROM questions""",
-    "quality_score": """SELECT id, greatest(0, least(100, 100 - 20 * high - 10 * medium - 2 * warnings)) AS score, high = 0 AS acceptable
-FROM (SELECT id, CASE WHEN qtext = '' THEN 1 ELSE 0 END + CASE WHEN o1 = '' OR o2 = '' OR o3 = '' OR o4 = '' THEN 1 ELSE 0 END + CASE WHEN answer = 'E' THEN 1 ELSE 0 END AS high,
-  CASE WHEN o1 = o2 OR o1 = o3 OR o2 = o3 THEN 1 ELSE 0 END AS medium, CASE WHEN length(qtext) < 10 THEN 1 ELSE 0 END + CASE WHEN instr(qtext, '?') = 0 THEN 1 ELSE 0 END AS warnings FROM questions) q""",
-    "config_check": "SELECT profile, api_type, rpm > 0 AND rpd > 0 AND tpm > 0 AND tpd > 0 AND CAST(day_cost AS DOUBLE) > 0 AS valid, rpm > rpd AS inverted FROM limits",
     "session_stats": f"SELECT CAST(user_id AS BIGINT) AS user_id, {_N} AS n, CAST(sum(CAST(round(value * 200) AS BIGINT)) AS BIGINT) AS total_ms FROM events GROUP BY user_id",
-    "chunks_of_three": "SELECT id, CAST(floor((row_number() OVER (PARTITION BY topic ORDER BY ts, id) - 1) / 3) AS BIGINT) AS chunk FROM gen_metrics",
-    "audit_rollup": f"SELECT lang, source, {_N} AS checked, CAST(count(CASE WHEN n_chars < 450 THEN 1 END) AS BIGINT) AS below_45, CAST(count(CASE WHEN n_chars < 300 THEN 1 END) AS BIGINT) AS below_30 FROM documents GROUP BY lang, source",
-    "audit_worst_12": "SELECT doc_id, lang, n_chars FROM documents ORDER BY n_chars, doc_id LIMIT 12",
     "csv_export": "SELECT concat_ws(',', CAST(id AS VARCHAR(20)), topic, CASE WHEN success THEN 'true' ELSE 'false' END, CAST(ms AS VARCHAR(20))) AS line FROM gen_metrics",
-    "services_health": "SELECT CASE WHEN n = 4 THEN 'healthy' WHEN n >= 2 THEN 'degraded' ELSE 'unhealthy' END AS status, n FROM (SELECT 1 + max(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) + max(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) + max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS n FROM events) x",
-    "outcome_errors": "SELECT CASE WHEN count(CASE WHEN success THEN 1 END) = 0 AND count(CASE WHEN NOT success THEN 1 END) > 0 THEN 'all failed' ELSE 'some passed' END AS outcome, topic FROM gen_metrics GROUP BY topic",
 }
 _SPARK["sec"], _OTHER["sec"] = "unix_seconds_exact", "epoch"
 
@@ -263,12 +193,6 @@ QUERIES = {name: _query(name) for name in SQL}
 ORACLES: dict[str, str] = {name: _dialect(_whole(sql), _OTHER) for name, sql in SQL.items()}
 
 
-def _topic_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.relevance import topic_relevance
-
-    return topic_relevance(table(spark, sf_dir, "documents"))
-
-
 def _jsonl_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -282,5 +206,11 @@ def _jsonl_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(lines)
 
 
-QUERIES["topic_relevance"] = _topic_relevance
 QUERIES["jsonl_repair"] = _jsonl_repair
+
+from . import questions as _questions  # noqa: E402
+from . import records as _records  # noqa: E402
+
+for _module in (_questions, _records):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TABLES = ("events", "documents", "benchmark")
@@ -27,10 +30,55 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def read_config(spark: SparkSession, path: str, variables: dict[str, str], defaults: dict[str, str]) -> dict[str, str]:
+    """Settings by precedence: environment variable (``variables``: key to name), file, default; empty counts as absent."""
+    row = read_settings(spark, path, defaults).first().asDict()
+    return {k: os.environ.get(variables.get(k, ""), "") or row[k] for k in defaults}
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text with their order (``line_no``) and the raw line, whatever it holds."""
-    lines = spark.read.text(path).select(F.col("value").alias("raw"))
-    return lines.withColumn("line_no", F.monotonically_increasing_id())
+    """Lines of text files with their order (``line_no``, from 0) and the raw line, whatever it holds.
+
+    Files are split, so a line's number is its offset order: numbers are counted by partition, and partitions are added up.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("raw"), F.monotonically_increasing_id().alias("at"))
+    part = F.shiftright("at", 33)
+    sizes = lines.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    sizes = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    own = lines.withColumn("part", part).join(F.broadcast(sizes), "part")
+    return own.select("raw", (F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("line_no"))
+
+
+def rewrite(df: DataFrame, path: str) -> str:
+    """Replaces a table of lines that ``df`` may itself read: the new version is written aside, then the old one becomes ``.backup``."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    aside, backup = f"{path}.{uuid.uuid4().hex}", f"{path}.backup"
+    df.write.text(aside)
+    to = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = to(path).getFileSystem(conf)
+    fs.delete(to(backup), True)
+    fs.rename(to(path), to(backup))
+    fs.rename(to(aside), to(path))
+    return backup
+
+
+def append_log(df: DataFrame, path: str) -> None:
+    """Adds records to a log, one folder for each day of their ``ts``, so that retention drops folders."""
+    df.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """Rows ``page``, ``theme`` and ``ratio`` of an audit document: a list of results with their offenders."""
+    schema = "results array<struct<path:string,theme:string,offenders:array<struct<ratio:double>>>>"
+    doc = spark.read.schema(schema).option("multiLine", True).json(path)
+    r = doc.select(F.explode("results").alias("r")).select("r.path", "r.theme", F.explode("r.offenders").alias("o"))
+    return r.select(F.col("path").alias("page"), "theme", F.col("o.ratio").alias("ratio"))
+
+
+def write_texts(df: DataFrame, path: str, column: str = "text") -> None:
+    df.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -34,28 +34,73 @@ def error_spikes(errors: DataFrame, length: str = "10 minutes", more_than: int =
     )
 
 
-def admission(usage: DataFrame, per_minute: int, per_day: int) -> DataFrame:
-    """Stateful admission by key: a full minute delays (``wait_ms``), a full day rejects.
+def admission(usage: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """Decisions as the batch query ``rate_limit_admission`` makes them, request by request.
 
-    State is what was admitted in the last day, at most ``per_day`` times for a key.
+    ``usage`` has id, api_type, us (microseconds), tokens and cost (micro-units, long).  ``limits``: rpm, rpd, tpm, tpd
+    and day_cost.  A full day rejects (cost, requests, tokens, in this order), a full minute delays.  What counts is all
+    that came in the day (minute) before, up to but without the same instant.  State is a day of requests of a key;
+    rows that come out of order are judged by what has come.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        kept: list[int] = list(state.get[0]) if state.exists else []
+        seen = [list(x) for x in zip(*state.get, strict=True)] if state.exists else []
+        rows = pd.concat(list(frames)).sort_values(["us", "id"])
         out = []
-        for frame in frames:
-            for rid, ms in sorted(zip(frame["id"], frame["ms"], strict=True), key=lambda x: (x[1], x[0])):
-                kept = [x for x in kept if x > ms - 86_400_000]
-                minute = [x for x in kept if x > ms - 60_000]
-                if len(kept) >= per_day:
-                    out.append((rid, key[0], "reject", 0))
-                    continue
-                wait = 60_000 - (ms - minute[-per_minute]) if len(minute) >= per_minute else 0
-                kept.append(ms + wait)
-                out.append((rid, key[0], "delay" if wait else "admit", wait))
-        state.update((kept,))
+        for rid, us, tokens, cost in zip(rows["id"], rows["us"], rows["tokens"], rows["cost"], strict=True):
+            seen = [x for x in seen if x[0] >= us - 86_400_000_000]
+            day = [x for x in seen if x[0] < us]
+            minute = [x for x in day if x[0] >= us - 60_000_000]
+            total = lambda xs, i: sum(x[i] for x in xs)
+            if total(day, 2) >= limits["day_cost"]:
+                said = "reject_cost"
+            elif len(day) >= limits["rpd"]:
+                said = "reject_requests"
+            elif total(day, 1) >= limits["tpd"]:
+                said = "reject_tokens"
+            elif len(minute) >= limits["rpm"]:
+                said = "delay"
+            elif total(minute, 1) >= limits["tpm"]:
+                said = "delay_tokens"
+            else:
+                said = "admit"
+            wait = 60_000 - (us - min(x[0] for x in minute)) // 1000 if said.startswith("delay") and minute else 0
+            out.append((rid, key[0], said, wait))
+            seen.append([us, tokens, cost])
+        state.update(tuple(map(list, zip(*seen, strict=True))))
         yield pd.DataFrame(out, columns=["id", "api_type", "decision", "wait_ms"])
 
     return usage.groupBy("api_type").applyInPandasWithState(
-        step, "id long, api_type string, decision string, wait_ms long", "kept array<long>", "append", "NoTimeout"
+        step,
+        "id long, api_type string, decision string, wait_ms long",
+        "us array<long>, tokens array<long>, cost array<long>",
+        "append",
+        "NoTimeout",
     )
+
+
+def retained(records: DataFrame, age: str = "24 hours", keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Records not older than ``age`` behind the newest seen, each id once; the state forgets what the watermark passes."""
+    return records.withWatermark("ts", age).dropDuplicatesWithinWatermark(list(keys))
+
+
+def cleanup_sink(path: str, days: int = 7):
+    """A ``foreachBatch`` function that appends records by day and drops the folders of days that are too old."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        from ..sources.tables import append_log
+
+        append_log(batch, path)
+        spark = batch.sparkSession
+        newest = spark.read.parquet(path).agg(F.max("day")).first()[0]
+        if newest is None:
+            return
+        jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+        root = jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(conf)
+        for status in fs.listStatus(root):  # one folder for each day that is kept
+            name = status.getPath().getName()
+            if name.startswith("day=") and (newest - newest.fromisoformat(name[4:])).days > days:
+                fs.delete(status.getPath(), True)
+
+    return write

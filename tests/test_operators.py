@@ -3,7 +3,7 @@ import json
 import pytest
 
 from loomstat.operators.jsonl import repair
-from loomstat.operators.relevance import topic_relevance
+from loomstat.operators import parsing, providers, records, trailing, validation
 from loomstat.sources import tables
 from loomstat.streaming import streams
 
@@ -15,12 +15,7 @@ def test_jsonl_repair_keeps_lines(spark):
     assert [r["repaired"] for r in out] == [True, False, False, False]
     assert [r["line"] for r in out[1:]] == raw[1:]
     assert json.loads(out[0]["line"])["output"]["topic"] == "gas-laws"
-
-
-def test_relevance_bounds(spark):
-    docs = spark.createDataFrame([(0, "kinematics"), (1, None), (2, "the of")], "doc_id long, text string")
-    got = {r["doc_id"]: r["relevance"] for r in topic_relevance(docs).collect()}
-    assert got == {0: 1.0, 1: 0.0, 2: 0.0}
+    assert json.loads(out[0]["line"])["output"]["options"][0] == "A) 10 m/s"
 
 
 def test_settings_defaults(spark, tmp_path):
@@ -60,9 +55,170 @@ def test_sliding_summary_equals_batch(stream_of, spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, batch))
 
 
-def test_admission_delays_then_rejects(stream_of):
-    rows = [(i, "a", 1000 * i) for i in range(8)] + [(100, "b", 5)]
-    got = {r["id"]: (r["decision"], r["wait_ms"]) for r in drain(streams.admission(stream_of(rows, "id long, api_type string, ms long"), 5, 7), "admitted")}
-    assert got[0] == ("admit", 0) and got[4][0] == "admit"
-    assert got[5] == ("delay", 55_000)
-    assert got[7][0] == "reject" and got[100][0] == "admit"
+LIMITS = {"rpm": 3, "rpd": 40, "tpm": 250, "tpd": 3000, "day_cost": 2500}
+
+
+def test_admission_stream_equals_batch(stream_of, spark):
+    import random
+
+    rnd, us, rows = random.Random(1), 0, []
+    for i in range(400):
+        us += rnd.choice([0, 1_000_000, 9_000_000, 40_000_000, 900_000_000])
+        rows.append((i, rnd.choice("ab"), us, rnd.randint(0, 150), rnd.randint(0, 90)))
+    schema = "id long, api_type string, us long, tokens long, cost long"
+    got = {r["id"]: r["decision"] for r in drain(streams.admission(stream_of(rows, schema), LIMITS), "admitted")}
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_micros("us"))
+    w = trailing.trailing(df, key="api_type", ts="ts", id_col="id", measures=("tokens", "cost"), spans={"m": 60_000_000, "d": 86_400_000_000}, bucket_us=7_000_000)
+    for r in w.collect():
+        own = [x for x in rows if x[1] == r["api_type"] and x[2] < rows[r["id"]][2]]
+        at = rows[r["id"]][2]
+        day, minute = [[x for x in own if x[2] >= at - span] for span in (86_400_000_000, 60_000_000)]
+        assert (r["n_d"], r["n_m"], r["tokens_d"], r["cost_d"]) == (len(day), len(minute), sum(x[3] for x in day), sum(x[4] for x in day))
+        assert r["oldest_m"] == min((x[2] for x in minute), default=None)
+        want = (
+            "reject_cost" if r["cost_d"] >= 2500 else "reject_requests" if r["n_d"] >= 40 else "reject_tokens" if r["tokens_d"] >= 3000
+            else "delay" if r["n_m"] >= 3 else "delay_tokens" if r["tokens_m"] >= 250 else "admit"
+        )
+        assert got[r["id"]] == want
+    assert len(set(got.values())) >= 4
+
+
+def test_quota_fixture(stream_of):
+    """The sixth call in a minute is delayed, not rejected; after fifty calls in a day the next one is rejected."""
+    rows = [(i, "x", i * 1_000_000, 1, 0) for i in range(6)] + [(i, "y", i * 60_000_001, 1, 0) for i in range(100, 152)]
+    limits = {"rpm": 5, "rpd": 50, "tpm": 10_000, "tpd": 100_000, "day_cost": 1}
+    got = {r["id"]: (r["decision"], r["wait_ms"]) for r in drain(streams.admission(stream_of(rows, "id long, api_type string, us long, tokens long, cost long"), limits), "quota")}
+    assert got[5] == ("delay", 55_000) and got[4][0] == "admit" and got[149][0] == "admit" and got[150][0] == "reject_requests"
+
+
+def test_retention_and_cleanup(stream_of, spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    rows = [(i % 40, datetime(2024, 1, 1) + timedelta(hours=7 * i)) for i in range(60)]
+    src = stream_of(rows, "id long, ts timestamp")
+    q = src.writeStream.foreachBatch(streams.cleanup_sink(str(tmp_path / "log"), 7)).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(120)
+    days = {r["day"] for r in spark.read.parquet(str(tmp_path / "log")).select("day").distinct().collect()}
+    assert (max(days) - min(days)).days == 7
+    got = drain(streams.retained(src), "kept")
+    assert {r["id"] for r in got} == set(range(40))
+
+
+def test_error_spikes(stream_of):
+    from datetime import datetime, timedelta
+
+    rows = [(datetime(2024, 1, 1) + timedelta(seconds=i), "a" if i < 8 else "b") for i in range(12)]
+    got = drain(streams.error_spikes(stream_of(rows, "ts timestamp, error_type string")), "spikes", "complete")
+    assert {r["error_type"] for r in got} == {"a"} and {r["n"] for r in got} == {8}
+
+
+# --- parsing and validation: inputs and results as the reference's own tests have them ----------------------------
+
+
+def parsed(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, response string")
+    return [r["x"] for r in df.select("i", parsing.parse(df.response).alias("x")).orderBy("i").collect()]
+
+
+GOOD = "QUESTION: What is the velocity of an object?\nA) 5.0 m/s\nB) 10.0 m/s\nC) 15.0 m/s\nD) 20.0 m/s\n\nANSWER: B"
+
+
+def test_parse_fixtures(spark):
+    two = "QUESTION: What is the velocity of it?\nA) 5 m/s\nB) 10 m/s\nANSWER: A"
+    blank = "QUESTION: What is the velocity of it?\nA) 5 m/s\nB) 10 m/s\nC)\nD) 20 m/s\nANSWER: A"
+    good, bare, few, no_answer, hole, poor, wrapped, none, empty = parsed(
+        spark,
+        GOOD,
+        GOOD.replace("QUESTION: ", ""),
+        two,
+        GOOD.replace("\n\nANSWER: B", ""),
+        blank,
+        "QUESTION: What is this thing\nA) x\nB) x\nC) z\nD) w\nANSWER: B",
+        json.dumps({"response": '{"input":"x","output":""}' + GOOD}).replace('": "', '":"'),
+        None,
+        "",
+    )
+    assert good["success"] and good["answer"] == "B" and good["confidence"] > 0.5
+    assert good["options"] == ["A) 5.0 m/s", "B) 10.0 m/s", "C) 15.0 m/s", "D) 20.0 m/s"] == bare["options"] == wrapped["options"]
+    assert bare["success"] and bare["question_text"] == good["question_text"] == wrapped["question_text"]
+    assert not few["success"] and few["error"] == "Expected 4 options, found 0" == hole["error"]
+    assert no_answer["success"] and no_answer["answer"] == "A"
+    assert good["confidence"] > poor["confidence"]
+    assert none["error"] == empty["error"] == "No question text found"
+
+
+def test_parse_stats_fixture(spark):
+    df = spark.createDataFrame([(GOOD,), (GOOD,), ("nothing",), ("QUESTION: only a question here?",)], "response string")
+    r = parsing.parse_stats(df).first()
+    assert (r["total"], r["successes"]) == (4, 2) and r["avg_confidence"] > 0 and len(r["common_errors"]) >= 1
+    assert parsing.parse_stats(df.limit(0)).first()["total"] == 0
+
+
+def test_error_messages_fixture(spark):
+    df = spark.createDataFrame([("Error: no model",), ("I cannot do that",), ("Unable to reach it",), ("failed to load",), ("fine",), (None,)], "t string")
+    assert [r[0] for r in df.select(parsing.error_message(df.t)).collect()] == ["no model", "do that", "reach it", "load", None, None]
+
+
+def judged(spark, text, options=("A) 1 m", "B) 2 m", "C) 3 m", "D) 4 m"), answer="B", topic="kinematics"):
+    df = spark.createDataFrame([(1, topic, text, None if options is None else list(options), answer)], "id long, topic string, question_text string, options array<string>, answer string")
+    return validation.validate(df).first()
+
+
+def test_validation_fixtures(spark):
+    text = "A car accelerates from rest at 2 m/s² for 5 s. What is its final velocity?"
+    good = judged(spark, text, ["A) 5 m/s", "B) 10 m/s", "C) 15 m/s", "D) 20 m/s"])
+    assert good["f"]["is_valid"] and good["f"]["option_count"] == 4
+    empty = judged(spark, "")
+    assert not empty["f"]["is_valid"] and len(empty["f"]["errors"]) == 1
+    few = judged(spark, text, ["A) 5 m/s", "B) 10 m/s"])
+    assert not few["f"]["is_valid"] and few["f"]["option_count"] == 2
+    assert any("A, B, C, or D" in e["message"] for e in judged(spark, text, answer="E")["f"]["errors"])
+    assert good["p"]["accuracy"] == "accurate" and good["p"]["unit_consistency"] and good["v"]["acceptable"]
+    fast = judged(spark, "A particle moves at 500000000 m/s for a time of 2 s. What is its velocity?")
+    assert fast["p"]["accuracy"] == "major-errors" and any("exceeds speed of light" in e["message"] for e in fast["p"]["errors"]) and not fast["v"]["acceptable"]
+    off = judged(spark, "What is the color of the sky on a sunny day in summer?")
+    assert off["c"]["relevance"] < 0.3 and any("relevant" in w["message"] for w in off["c"]["warnings"])
+    assert judged(spark, None, None, None)["f"]["option_count"] == 0
+
+
+def test_retry_after_and_records(spark):
+    df = spark.createDataFrame([(1, "kinematics"), (2, "kinematics"), (3, "fission")], "id long, topic string")
+    got = {r["id"]: r["question_text"] for r in records.pick_fallback(df).collect()}
+    assert got[1].startswith("An object") and got[2].startswith("A car") and "fallback question for fission" in got[3]
+
+
+def test_providers(spark):
+    def slow(prompt):
+        raise TimeoutError
+
+    def broken(prompt):
+        raise ValueError("unauthorized")
+
+    df = spark.createDataFrame([(i, json.dumps({"input": f"Topic: T{i}"}) if i else None) for i in range(7)], "id long, prompt string")
+    got = {r["id"]: r for r in providers.generate(df, [("slow", slow), ("broken", broken), ("offline", providers.offline)], retries=2).collect()}
+    assert got[0]["status"] == "error" and got[1]["provider"] == "offline" and got[1]["attempts"] == 4 and "T1" in got[1]["response"]
+    assert providers.generate(df, [("slow", slow)], keep_failures=False).count() == 0
+    assert {r["status"] for r in providers.generate(df.filter("id > 0"), [("slow", slow)]).collect()} == {"timeout"}
+
+
+def test_sources(spark, tmp_path, monkeypatch):
+    lines = [f"line {i}" for i in range(500)]
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
+    df = tables.read_lines(spark, str(tmp_path / "a.txt"))
+    assert [r["raw"] for r in df.orderBy("line_no").collect()] == lines and {r["line_no"] for r in df.collect()} == set(range(500))
+    tables.write_texts(df.orderBy("line_no"), str(tmp_path / "t"), "raw")
+    again = spark.read.text(str(tmp_path / "t"))
+    backup = tables.rewrite(again.selectExpr("upper(value)"), str(tmp_path / "t"))
+    assert spark.read.text(str(tmp_path / "t")).count() == 500 == spark.read.text(backup).count()
+    (tmp_path / "s.json").write_text('{"a": "1", "b": ""}')
+    monkeypatch.setenv("LOOM_B", "7")
+    assert tables.read_config(spark, str(tmp_path / "s.json"), {"b": "LOOM_B", "a": "LOOM_A"}, {"a": "x", "b": "y", "c": "z"}) == {"a": "1", "b": "7", "c": "z"}
+    (tmp_path / "audit.json").write_text('{"results": [{"path": "/", "theme": "dark", "offenders": [{"ratio": 2.5}, {"ratio": 4.0}]}]}')
+    assert sorted(r["ratio"] for r in tables.read_audit(spark, str(tmp_path / "audit.json")).collect()) == [2.5, 4.0]
+    tables.append_jsonl(df.limit(3), str(tmp_path / "j"))
+    tables.append_jsonl(df.limit(3), str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 6
+    tables.write_settings(spark.createDataFrame([("1",)], "a string"), str(tmp_path / "w"))
+    assert tables.read_settings(spark, str(tmp_path / "w"), {"a": "x", "b": "y"}).first()["b"] == "y"
