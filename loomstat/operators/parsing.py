@@ -40,11 +40,8 @@ def clean(response: Column) -> Column:
 
 def question_text(cleaned: Column) -> Column:
     """Null where no pattern gives more than ten characters."""
-    out = F.lit(None).cast("string")
-    for p in reversed(QUESTION_PATTERNS):
-        hit = strip(F.regexp_extract(cleaned, p, 1))
-        out = F.when(F.length(hit) > 10, hit).otherwise(out)
-    return out
+    long = lambda hit: F.when(F.length(hit) > 10, hit)
+    return F.coalesce(*[let(strip(F.regexp_extract(cleaned, p, 1)), long) for p in QUESTION_PATTERNS])
 
 
 def options(cleaned: Column) -> Column:
@@ -59,10 +56,7 @@ def options(cleaned: Column) -> Column:
 
 def answer(cleaned: Column) -> Column:
     """The letter; ``A`` stands where none is told."""
-    out = F.lit("A")
-    for p in reversed(ANSWER_PATTERNS):
-        out = F.coalesce(F.upper(found(cleaned, p)), out)
-    return out
+    return F.coalesce(*[F.upper(F.nullif(F.regexp_extract(cleaned, p, 1), F.lit(""))) for p in ANSWER_PATTERNS], F.lit("A"))
 
 
 def labelled(opts: Column) -> Column:

@@ -154,8 +154,17 @@ def _precision(number: Column) -> Column:
 
 def physics_column() -> Column:
     """Struct of errors, warnings, suggestions, accuracy, unit_consistency, is_valid."""
-    text, topic = F.coalesce("question_text", F.lit("")), F.col("topic")
-    low = F.lower(text)
+    return _bound(_physics)
+
+
+def _bound(rules) -> Column:
+    """``rules`` of the text and the text in lower case, both bound once."""
+    text = F.coalesce("question_text", F.lit(""))
+    return let(F.struct(text.alias("t"), F.lower(text).alias("l")), lambda x: rules(x["t"], x["l"]))
+
+
+def _physics(text: Column, low: Column) -> Column:
+    topic = F.col("topic")
     w = lambda m, s: _warning("physics", m if isinstance(m, Column) else F.lit(m), F.lit(s))
     no_errors = F.array().cast("array<struct<type:string,message:string,severity:string,field:string>>")
     no_warnings = F.array().cast("array<struct<type:string,message:string,suggestion:string>>")
@@ -300,8 +309,7 @@ def physics_column() -> Column:
 
 def keywords(text: Column) -> Column:
     """The first twenty words that say something."""
-    cleaned = F.regexp_replace(F.lower(text), r"[^a-z0-9_ \t\n\r\f\x0b]", " ")
-    return F.slice(F.filter(F.split(cleaned, rf"{_S}+"), lambda x: (F.length(x) > 2) & ~x.isin(COMMON_WORDS)), 1, 20)
+    return F.slice(F.filter(all_of(F.lower(text), "[a-z0-9_]{3,}"), lambda x: ~x.isin(COMMON_WORDS)), 1, 20)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -318,11 +326,13 @@ def with_topics(df: DataFrame) -> DataFrame:
 
 def compliance_column() -> Column:
     """Struct of warnings, suggestions, relevance, difficulty, compliant, is_valid; reads what :func:`with_topics` adds."""
-    text, topic = F.coalesce("question_text", F.lit("")), F.col("topic")
-    low = F.lower(text)
+    return _bound(_compliance)
+
+
+def _compliance(text: Column, low: Column) -> Column:
+    topic = F.col("topic")
     w = lambda m, s: _warning("compliance", m if isinstance(m, Column) else F.lit(m), s if isinstance(s, Column) else F.lit(s))
     n = F.length(text)
-    hl, sl = hits(low, HL_WORDS), hits(low, SL_WORDS)
     about = keywords(F.col("context"))
     style_warnings = told(
         (has_any(low, CASUAL_TERMS), w("Question uses casual language not typical of IB Physics", "Use more formal IB command terms")),
@@ -349,7 +359,8 @@ def compliance_column() -> Column:
         (~real & (n > 100), F.lit("Consider adding real-world context to enhance IB alignment")),
     )
 
-    def body(r: Column) -> Column:
+    def body(x: Column) -> Column:
+        r, hl, sl = x["r"], x["hl"], x["sl"]
         return F.struct(
             F.concat(
                 told(
@@ -374,8 +385,8 @@ def compliance_column() -> Column:
             F.lit(True).alias("is_valid"),
         )
 
-    relevance = let(keywords(text), lambda own: jaccard(about, own))
-    return let(relevance, body)
+    relevance = let(keywords(low), lambda own: jaccard(about, own))
+    return let(F.struct(relevance.alias("r"), hits(low, HL_WORDS).alias("hl"), hits(low, SL_WORDS).alias("sl")), body)
 
 
 # --- all together -----------------------------------------------------------------------------------------------
