@@ -19,6 +19,8 @@ from .common import read
 
 #: Errors allowed for each character of an item.
 RATE = 0.06
+#: Items of fewer characters say too little to be found inside a text: they match whole texts alone.
+LEAST_CHARS = 25
 #: Benchmarks are sent to the tasks in blocks of about so many characters, one scan for each.
 BLOCK_CHARS = 1_000_000
 _GAP = re.compile(r"[\W_]+")
@@ -71,11 +73,14 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
         self.items = []
+        self.short: dict[str, list[int]] = {}
         self.machine = ahocorasick.Automaton()
         found: dict[str, list[tuple[int, int]]] = {}
         for key, raw in items:
             item = normalise(raw)
-            if item:
+            if item and len(item) < LEAST_CHARS:
+                self.short.setdefault(item, []).append(key)
+            elif item:
                 k = int(len(item) * rate)
                 for at, piece in pieces(item, k):
                     found.setdefault(piece, []).append((len(self.items), at))
@@ -87,14 +92,15 @@ class Index:
 
     def matches(self, text: str | None) -> list[tuple[int, int, int]]:
         """Id, distance and end (in the normalised text) of the best match of each item found."""
-        if not self.items:
-            return []
         own = normalise(text)
+        whole = [(key, 0, len(own)) for key in self.short.get(own, [])]
+        if not self.items:
+            return whole
         starts: dict[int, list[int]] = {}
         for end, (n, where) in self.machine.iter(own):
             for item, at in where:
                 starts.setdefault(item, []).append(end + 1 - n - at)
-        out = []
+        out = whole
         for i, at in starts.items():
             key, item, k, bits = self.items[i]
             best = (k + 1, 0)
@@ -126,7 +132,8 @@ def leaks(
 ) -> DataFrame:
     """``doc_id``, ``item_id``, ``distance`` and ``match_end`` for each document and item that it holds.
 
-    ``benchmark`` has ``item_id`` and ``text``.  Null, empty and punctuation-only texts match nothing on either
+    ``benchmark`` has ``item_id`` and ``text``.  Items of fewer than ``LEAST_CHARS`` characters match a document only
+    as its whole text.  Null, empty and punctuation-only texts match nothing on either
     side; repeated documents match alike, repeated items once; null ids pass; empty tables give an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -174,7 +181,7 @@ def _search(sent):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, block_chars: int = BLOCK_CHARS, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns as they were."""
+    """The rows of ``docs`` that hold no item (see :func:`leaks`), all columns as they were, whatever their names."""
     names, at = docs.columns, docs.columns.index(text_col)
     out = docs
     for sent in indexes(benchmark, rate, block_chars):
@@ -189,6 +196,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, block_ch
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`leaks` of ``documents`` and ``benchmark``; nulls, ties and empty tables as told there."""
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, free, read
 
 MIN_CHARS = 10
 SPACE = b" \t\n\x0b\x0c\r"
@@ -127,7 +127,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc``, ``mark`` (hash of the text) and ``bitmap`` for each document that loses lines.
 
-    Rows that share an id are one document; rows without id are one document that comes last.  A bitmap ends at
+    Rows that share an id are one document; rows without id are one document that comes last (as an id of 2^63-1 would).  A bitmap ends at
     the last dropped line; what follows stays.  Null and empty texts have one empty line, which always stays.
     """
     rows = docs.select(
@@ -157,15 +157,16 @@ def keep_lines(text: str | None, bitmap: bytes | None) -> tuple[list[str], int]:
     return [x for x, k in zip(lines, keep, strict=False) if k] + lines[len(keep) :], len(lines)
 
 
-def _join(docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """All rows of ``docs`` with ``_bitmap`` (null: every line stays)."""
-    own = docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), "_mark": mark(text_col)})
-    maps = bitmaps.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("bitmap").alias("_bitmap"))
-    return own.join(maps, ["_doc", "_mark"], "left").drop("_doc", "_mark")
+def _join(docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """All rows of ``docs`` with their bitmap (null: every line stays), and the name of its column."""
+    doc, mark_, bitmap = free(docs, "doc", "mark", "bitmap").values()
+    own = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), mark_: mark(text_col)})
+    maps = bitmaps.select(F.col("doc").alias(doc), F.col("mark").alias(mark_), F.col("bitmap").alias(bitmap))
+    return own.join(maps, [doc, mark_], "left").drop(doc, mark_), bitmap
 
 
 def apply(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with what the bitmaps leave of the texts, all columns as they were."""
+    """``docs`` with what the bitmaps leave of the texts, all columns as they were, whatever their names; null texts stay null."""
     names = docs.columns
     schema = docs.schema
     at = names.index(text_col)
@@ -180,7 +181,8 @@ def apply(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", text_c
             cols = [texts if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return _join(docs, bitmaps, id_col, text_col).select(*names, "_bitmap").mapInArrow(run, schema)
+    joined, bitmap = _join(docs, bitmaps, id_col, text_col)
+    return joined.select(*names, bitmap).mapInArrow(run, schema)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,9 +200,10 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what :func:`keep_bitmaps` leaves of ``documents``; nulls, ties and empty tables as told there."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    joined = _join(docs, keep_bitmaps(docs), "doc_id", "text")
-    return joined.select("doc_id", "text", "_bitmap").mapInArrow(
+    joined, bitmap = _join(docs, keep_bitmaps(docs), "doc_id", "text")
+    return joined.select("doc_id", "text", bitmap).mapInArrow(
         _digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
     )
 

@@ -188,6 +188,7 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`judge` of ``documents``; nulls, ties, repeated rows and empty tables as told there."""
     return judge(read(spark, sf_dir, "documents"))
 
 

@@ -335,6 +335,7 @@ def jaccard(a: str | None, b: str | None, width: int) -> float:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`near_duplicates` of ``documents``; nulls, ties, repeated rows and empty tables as told there."""
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,17 +19,17 @@ from .common import cut, held_out, read
 
 #: The lexicon is learnt from so many labelled documents of each class at most, taken by a hash.
 MAX_TOXIC, MAX_CLEAN = 3000, 6000
-MAX_TERMS, MAX_EXCEPTIONS = 2000, 500
 PREFIXES = range(4, 9)
 MIN_DOCS, MIN_G2, MIN_RATIO = 4, 25.0, 6.0
 
-_LOOKALIKE = dict(
-    zip(
-        "абвгдезикмнопрстухіјѕԁһαβεικνορτυχω",
-        "abbgde3ikmhonpctyxijsdhabeikvoptuxw",
-        strict=True,
-    )
-)
+# Letters of other scripts by the Latin letter that they look like (after decomposition, in lower case).
+_LOOKALIKE = {
+    "а": "a", "б": "b", "в": "b", "г": "g", "д": "d", "е": "e", "з": "e", "и": "i", "к": "k", "м": "m", "н": "h", "о": "o", "п": "n",
+    "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ь": "b", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ӏ": "l", "ԛ": "q", "ԝ": "w",
+    "є": "e", "α": "a", "β": "b", "γ": "y", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t",
+    "υ": "u", "χ": "x", "ω": "w", "օ": "o", "ս": "u", "ո": "n", "հ": "h", "զ": "q", "ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ʟ": "l",
+    "ø": "o", "đ": "d", "ħ": "h", "ł": "l", "ŧ": "t",
+}
 _DIGITS = dict(zip("013457@$", "oieast" + "as", strict=True))
 _OTHER = {c: " " for c in map(chr, range(128)) if not c.isalnum() and c not in _DIGITS}
 _NONE = {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, *range(0x300, 0x370))}
@@ -36,8 +37,15 @@ _TABLE = str.maketrans({**_OTHER, **_LOOKALIKE, **_DIGITS}) | _NONE
 
 
 def fold(text: str | None) -> str:
-    """Lower case, look-alikes and digit substitutions as Latin letters, punctuation as spaces, blanks at the ends."""
-    return " " + " ".join((text or "").lower().translate(_TABLE).split()) + " "
+    """Lower case, look-alikes and digit substitutions as Latin letters, punctuation as spaces, blanks at the ends.
+
+    Compatible forms are decomposed first (full width, ligatures, accents), so composed and decomposed letters fold
+    alike, and what is folded folds to itself.
+    """
+    plain = text or ""
+    if not plain.isascii():
+        plain = unicodedata.normalize("NFKD", plain.lower())
+    return " " + " ".join(plain.lower().translate(_TABLE).split()) + " "
 
 
 @dataclass
@@ -100,7 +108,8 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> D
     one = known.filter("label = 1").orderBy(order).limit(MAX_TOXIC)
     two = known.filter("label = 0").orderBy(order).limit(MAX_CLEAN)
     some = one.unionByName(two).select(F.col("doc_id").alias("_id"), "label")
-    return cut(docs.join(F.broadcast(some), F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("text"), "label"))
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    return cut(own.join(F.broadcast(some), "_id").select("text", "label"))
 
 
 def _counted(make):
@@ -131,7 +140,11 @@ def _g2(t: int, c: int, n_t: int, n_c: int) -> float:
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
-    """Terms, exceptions and calibration from labelled rows that are not held out."""
+    """Terms, exceptions and calibration from labelled rows that are not held out.
+
+    The sample bounds what is counted, and so the lexicon; null ids and labels other than 0 and 1 teach nothing; without
+    rows of both labels the lexicon is empty and every score low; labels of one id that differ count as 1.
+    """
     sample = _sample(docs, labels, id_col, text_col)
     n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n_t, n_c = n.get(1, 0), n.get(0, 0)
@@ -140,7 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         return lex
     count = lambda make: sample.mapInArrow(_counted(make), "key string, t long, c long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     ratio = ((F.col("t") + 0.5) / (n_t + 1)) / ((F.col("c") + 0.5) / (n_c + 1))
-    rows = count(_candidates).filter((F.col("t") >= MIN_DOCS) & (ratio >= MIN_RATIO)).orderBy(F.desc("t"), "key").limit(20 * MAX_TERMS).collect()
+    rows = count(_candidates).filter((F.col("t") >= MIN_DOCS) & (ratio >= MIN_RATIO)).collect()
     found = {r["key"]: (r["t"], r["c"]) for r in rows if _g2(r["t"], r["c"], n_t, n_c) >= MIN_G2}
     # A stem gives way to a longer one, or to a word, with nearly the same documents; then the shorter stem covers the rest.
     best: dict[str, int] = {}
@@ -154,13 +167,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     for k in sorted(kept, key=lambda k: (len(k.strip()), k)):
         if not any(k[:m] in terms and terms[k[:m]][1] for m in PREFIXES if m < len(k)):
             terms[k.strip()] = (weight(*kept[k]), not k.endswith(" "))
-    lex = Lexicon(dict(sorted(terms.items(), key=lambda x: (-x[1][0], x[0]))[:MAX_TERMS]))
+    lex = Lexicon(dict(sorted(terms.items(), key=lambda x: (-x[1][0], x[0]))))
 
     def phrases(text: str | None, lex=lex) -> set[str]:
         hits = [h[1:] for h in lex.hits(fold(text))]
         return {f"{b} {w}" for b, w, _ in hits if b} | {f"{w} {a}" for _, w, a in hits if a}
 
-    rows = count(phrases).filter(F.col("c") >= MIN_DOCS).filter(ratio < 0.5).orderBy(F.desc("c"), "key").limit(MAX_EXCEPTIONS).collect()
+    rows = count(phrases).filter(F.col("c") >= MIN_DOCS).filter(ratio < 0.5).collect()
     lex = Lexicon(lex.terms, frozenset(r["key"] for r in rows if _g2(r["t"], r["c"], n_t, n_c) >= 10))
 
     def measure(batches, lex=lex):

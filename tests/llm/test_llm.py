@@ -267,6 +267,35 @@ def test_toxicity_held_out(spark, edge, empty):
     assert toxicity.learn(empty, labels).terms == {} and not toxicity.score(empty, lex).collect()
 
 
+def test_fold_is_a_fixed_point():
+    assert toxicity.fold("Ｉｄｉоｔ é e\u0301 ﬁ з3 \u200bх") == " idiot e e fi ee x "
+    for t in ("Ｉｄｉоｔ é ﬁ з3", "1d1οt w@ŧ", "ŁØ Đ ẞ İ", "日本 قلم"):
+        assert toxicity.fold(toxicity.fold(t)) == toxicity.fold(t)
+
+
+def test_columns_of_any_name_survive(spark):
+    names = ["label", "_id", "_score", "score", "_bitmap", "_doc", "_mark", "_key1", "_key2", "_first", "doc", "fp", "k1", "_text"]
+    rows = [(i, f"line number {i % 5} of the text\nyou idiot line {i}", *range(len(names))) for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA + ", " + ", ".join(f"{c} int" for c in names))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, "line number three of a benchmark that nobody has")], "item_id long, text string")
+    outs = [
+        toxicity.score(df, toxicity.learn(df, labels), into="own").drop("own"),
+        line_dedup.apply(df, line_dedup.keep_bitmaps(df)),
+        simhash.one_of_each(df),
+        decontaminate.clean(df, bench),
+    ]
+    for out in outs:
+        assert out.columns == df.columns and out.count() > 0
+        assert all(tuple(r)[2:] == tuple(range(len(names))) for r in out.collect())
+
+
+def test_short_items_match_whole_texts_alone(spark):
+    df = spark.createDataFrame([(1, "yes, e."), (2, "E!"), (3, "the letter e")], SCHEMA)
+    bench = spark.createDataFrame([(1, "e"), (2, "yes e")], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.clean(df, bench).collect()} == {3}
+
+
 def test_language_held_out(spark, edge, empty):
     got = pd.DataFrame([r.asDict() for r in language_id.op9_language_id(spark, "/root/testdata/sf0.01").collect()])
     both = got.merge(pd.read_parquet("/root/testdata/sf0.01/documents.parquet"), on="doc_id")
