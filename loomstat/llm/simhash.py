@@ -24,15 +24,17 @@ RADIUS = 3
 WIDTH = 3
 #: Tables of links are written in files of so many rows (16 bytes each), in so many files at least.
 LINKS_A_FILE, LEAST_FILES = 500_000, 8
-#: Texts that share one of these bands of minima are compared: of pairs at similarity 0.8, 7 in 100,000 share none.
-BANDS, ROWS = 24, 5
+#: Texts that share one of these bands of minima are compared: of pairs at similarity 0.8, by the formula, 1 in 1,000 shares none.
+BANDS, ROWS = 13, 4
+#: Minima that are taken for sketches; the bands are over the first of them.
+MINIMA = 120
 #: Texts are compared if so many minima agree in two bits: at 0.8, by the formula, 1 in 100,000 pairs has fewer.
 AGREE = 84
 #: Bytes of a sketch: two bits for each minimum, in whole words.
 SKETCH = 32
 _LOW = np.uint64(0x5555555555555555)
-_XORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, "u8") * np.uint64(2) + np.uint64(1)
-_FACTORS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, BANDS * ROWS, "u8") * np.uint64(2) + np.uint64(1)
+_XORS = np.random.default_rng(SEED).integers(0, 1 << 63, MINIMA, "u8") * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, MINIMA, "u8") * np.uint64(2) + np.uint64(1)
 _ONE = [1 << i for i in range(64)]
 SINGLES = np.array([0, *_ONE], "u8")
 PAIRS = np.array([a | b for h in (0, 32) for i, a in enumerate(_ONE[h : h + 32]) for b in _ONE[h + i + 1 : h + 32]], "u8")
@@ -189,15 +191,15 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_i
 
 
 def bands(text: str | None, width: int) -> tuple[np.ndarray, bytes]:
-    """``BANDS`` hashes of ``ROWS`` minima each over the hashed shingles, and two bits of each minimum.
+    """``BANDS`` hashes of ``ROWS`` minima each over the hashed shingles, and two bits of each of ``MINIMA`` minima.
 
     Two texts share a hash with probability 1 - (1 - J^ROWS)^BANDS.
     """
     hs = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, width)], "u8")
-    least = np.full(BANDS * ROWS, np.iinfo("u8").max, "u8")
+    least = np.full(MINIMA, np.iinfo("u8").max, "u8")
     for i in range(0, len(hs), 1024):
         least = np.minimum(least, ((hs[i : i + 1024, None] ^ _XORS) * _FACTORS).min(axis=0))
-    hashes = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))]
+    hashes = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least[: BANDS * ROWS].reshape(BANDS, ROWS))]
     bits = np.zeros(4 * SKETCH, "u1")
     bits[: len(least)] = (least >> np.uint64(24)).astype("u1") & 3
     packed = bits[0::4] | bits[1::4] << 2 | bits[2::4] << 4 | bits[3::4] << 6
@@ -207,7 +209,7 @@ def bands(text: str | None, width: int) -> tuple[np.ndarray, bytes]:
 def unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether sketches (rows of words) agree in too few minima for a similarity of 0.8."""
     x = (a ^ b).view("u8")
-    return np.bitwise_count((x | x >> np.uint64(1)) & _LOW).sum(axis=0) > BANDS * ROWS - AGREE
+    return np.bitwise_count((x | x >> np.uint64(1)) & _LOW).sum(axis=0) > MINIMA - AGREE
 
 
 def _star(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -267,7 +269,8 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
     """
     names, own = docs.columns, ["k1", "k2"]
     first, *key = free(docs, "first", "key1", "key2").values()
-    tagged = docs.withColumns(dict(zip(key, text_key(F.col(text_col)))))
+    last = F.lit(2**63 - 1)  # rows without id come last
+    tagged = docs.withColumns(dict(zip(key, text_key(F.col(text_col)))) | {first: F.coalesce(F.col(id_col).cast("long"), last)})
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,12 +290,11 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
             good = [jaccard(a.as_py(), b.as_py(), width) >= similarity for a, b in zip(batch.column(4), batch.column(5), strict=True)]
             yield batch.select([0, 1, 2, 3]).filter(pa.array(good, "bool"))
 
-    rows = tagged.select(F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("doc"), *[F.col(k).alias(o) for k, o in zip(key, own)])
+    rows = tagged.select(F.col(text_col).alias("_text"), F.col(first).alias("doc"), *[F.col(k).alias(o) for k, o in zip(key, own)])
     # Texts stay where they are: their keys and bands alone are grouped.
     texts = rows.mapInArrow(banded, "hs binary, sketch binary, doc long, k1 long, k2 long")
     texts = cut(texts.groupBy(*own).agg(F.min("doc").alias("_first"), F.first("hs").alias("hs"), F.first("sketch").alias("sketch")))
-    # Rows without id come last.
-    left = texts.select("hs", F.coalesce("_first", F.lit(2**63 - 1)), *own, "sketch").mapInArrow(dealt, "h long, f long, k1 long, k2 long, sketch binary")
+    left = texts.select("hs", "_first", *own, "sketch").mapInArrow(dealt, "h long, f long, k1 long, k2 long, sketch binary")
     k, bodies, gone = 1, None, None
     while True:
         met = left.repartition(parts, "h").sortWithinPartitions("h", "f", *own).mapInArrow(
@@ -303,9 +305,9 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
             break
         pairs = met.filter("a1 IS NOT NULL").select(*own, "a1", "a2").distinct()
         if bodies is None:
-            # Only texts that meet others travel, one of each.
-            wanted = cut(met.select(*own).distinct())
-            bodies = cut(rows.join(wanted, own).groupBy(*own).agg(F.first("_text").alias("_text")))
+            # Only texts that meet others travel, one of each: its first row, so that copies of a text go to many tasks.
+            wanted = cut(met.select(F.col("f").alias("doc"), *own).distinct())
+            bodies = cut(rows.join(wanted, [*own, "doc"]).dropDuplicates([*own, "doc"]).select(*own, "_text"))
         heads = bodies.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("_text").alias("_head_text"))
         pairs = pairs.join(bodies, own).join(heads, ["a1", "a2"]).select(*own, "a1", "a2", "_text", "_head_text")
         close = cut(pairs.mapInArrow(near, "k1 long, k2 long, a1 long, a2 long"))
@@ -319,9 +321,9 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
     if gone is not None:
         texts = texts.join(gone, own, "left_anti")
     texts = texts.select(F.col("_first").alias(first), *[F.col(o).alias(n) for n, o in zip(key, own)])
-    kept = tagged.join(texts, key).filter(F.col(id_col).cast("long").eqNullSafe(F.col(first)))
+    kept = tagged.join(texts, [*key, first])
     # Equal rows: one stays.
-    return kept.dropDuplicates(key).select(*names)
+    return kept.dropDuplicates([*key, first]).select(*names)
 
 
 def shingles(text: str | None, width: int) -> set[bytes]:

@@ -4,14 +4,14 @@ A string of ``LENGTH`` bytes is repeated when it starts at two places of the cor
 corpus, so its windows are first dealt out by content:
 
 1. every window has one anchor, the least hash among its 64-byte grams; windows with one anchor stand side by side.
-   A window can only repeat where its anchor does, so unique anchors need no index.
-2. the windows of an anchor and what they cover are a snippet.  Snippets of one anchor and one 64-bit hash are equal
-   and repeat in all their windows; anchors whose snippets differ go, one copy of each snippet, to the index.
-3. each index is the run-compressed BWT of a batch of snippets with suffix-array samples at both ends of its runs.
+   A window can only repeat where its anchor does, so anchors that occur once need no index.
+2. the windows of an anchor and what they cover are a snippet.  Equal snippets of an anchor are one phrase with a
+   count, as in prefix-free parsing: all of them are in the index at the cost of one.
+3. each index is the run-compressed BWT of a batch of phrases with suffix-array samples at both ends of its runs.
    Between samples a position keeps its neighbour in suffix order and its match shrinks by one, so matching
    statistics of the batch against itself stream from the samples alone; windows matching ``LENGTH`` are marked.
-4. anchors with more than ``MAX_SNIPPETS`` differing snippets (a line in a third of all documents) would not fit a
-   task: their windows are counted by a 128-bit hash, which sums before it shuffles.
+4. an anchor whose phrases would not fit an index (a line in a third of all documents) is dealt out again by longer
+   grams of its windows, in the end by the windows themselves, and so indexed in parts.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from .common import cut, read, text_key
 
 LENGTH = 200
+#: Bytes of the grams that deal windows out, and of those that deal crowded anchors out again; the last are windows.
 GRAM = 64
-#: Differing snippets of an anchor that an index takes; the windows of other anchors are counted by hash.
-MAX_SNIPPETS = 2000
-#: Bytes of snippets in one index.
+LONGER = (128, LENGTH)
+#: Bytes of snippets in one index; anchors with more are dealt out again.
 INDEX_BYTES = 1 << 20
 #: Bytes that are looked at together for anchors; a text's windows are dealt out in parts of this size.
 PART = 1 << 20
@@ -40,25 +40,30 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _grams(b: np.ndarray) -> np.ndarray:
-    """A hash of the 64 bytes from each place; ``b`` is uint64."""
-    h, base = (b + np.uint64(1)) * _MIX, _ODD
-    for step in (1, 2, 4, 8, 16, 32):
-        h = h[:-step] * base + h[step:]
-        base = base * base
-    h ^= h >> np.uint64(32)
-    h *= _MIX
-    h ^= h >> np.uint64(29)
-    return h
+def _grams(b: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the ``gram`` bytes from each place; ``b`` is uint64."""
+    h, base, step = (b + np.uint64(1)) * _MIX, _ODD, 1  # of ``step`` bytes, and the base to that power
+    out, done = None, 0
+    while True:
+        if gram & step:
+            out = h if out is None else out[: len(b) - done - step + 1] * base + h[done : len(b) - step + 1]
+            done += step
+        if done == gram:
+            break
+        h, base, step = h[:-step] * base + h[step:], base * base, 2 * step
+    out = out ^ (out >> np.uint64(32))
+    out *= _MIX
+    out ^= out >> np.uint64(29)
+    return out
 
 
-def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Gram hash, first and last window start of each anchor; ``data`` is uint8 and shorter than 2 ** 22."""
     n = len(data) - length + 1
     with np.errstate(over="ignore"):
-        h = _grams(data.astype("u8"))
+        h = _grams(data.astype("u8"), gram)
     least = (h & ~_POSITION) | np.arange(len(h), dtype="u8")
-    span, reach = length - GRAM + 1, 1
+    span, reach = length - gram + 1, 1
     while reach * 2 <= span:
         least = np.minimum(least[:-reach], least[reach:])
         reach *= 2
@@ -148,14 +153,17 @@ def common_prefix(t: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray)
 
 
 class RunIndex:
-    """Runs of the BWT and suffix-array samples at their ends."""
+    """Runs of the BWT and suffix-array samples at their ends.
+
+    ``reach`` tells for each place of ``t`` how far the copies of its phrase go on: a phrase with a count stands that
+    often side by side in suffix order, which makes runs longer but not more, and each place matches its own copy.
+    """
 
-    def __init__(self, t: np.ndarray):
-        self.t = t
+    def __init__(self, t: np.ndarray, reach: np.ndarray | None = None):
+        self.t, self.reach = t, np.zeros(len(t), "i8") if reach is None else reach
         sa = suffix_array(t)
         bwt = t[sa - 1]  # cyclic: what stands before the first suffix is the last symbol
         self.heads = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
-        self.symbols = bwt[self.heads]
         tails = np.append(self.heads[1:], len(t)) - 1
         # The suffix before a run's first and after a run's last; the text's own start is sampled too.
         zero = int(np.flatnonzero(sa == 0)[0])
@@ -172,7 +180,7 @@ class RunIndex:
     def matching_statistics(self, most: int) -> np.ndarray:
         """For each place, how far it agrees with some other place (``most`` at least where it is longer)."""
         n = len(self.t)
-        out = np.zeros(n, "i8")
+        out = self.reach.copy()
         place = np.arange(n)
         for at, near in (self.up, self.down):
             room = np.diff(np.append(at, n))  # a sample serves the places up to the next one
@@ -183,10 +191,11 @@ class RunIndex:
         return out
 
 
-def repeated_windows(snippets: list[bytes], length: int) -> list[np.ndarray]:
-    """Starts of windows of each (distinct) snippet that also start elsewhere in the batch."""
+def repeated_windows(snippets: list[bytes], counts: list[int], length: int) -> list[np.ndarray]:
+    """Starts of windows of each (distinct) snippet, which stands for so many, that also start elsewhere in the batch."""
     t = np.frombuffer(b"\xff".join(snippets) + b"\xff", "u1")  # 0xFF is in no UTF-8 text
-    ms = RunIndex(t).matching_statistics(length)
+    reach = np.concatenate([np.append(np.arange(len(s), 0, -1) if n > 1 else np.zeros(len(s), "i8"), 0) for s, n in zip(snippets, counts, strict=True)])
+    ms = RunIndex(t, reach).matching_statistics(length)
     out, at = [], 0
     for s in snippets:
         n = len(s) - length + 1
@@ -202,18 +211,22 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, cut_ + 1)].tolist(), starts[np.append(cut_, len(starts) - 1)].tolist(), strict=True))
 
 
+MARKS = "a long, s long, lo int, hi int"
+PIECE = "a long, s long, n long, snippet binary"
+
+
 def _index(length: int):
-    """Snippets sorted by anchor, in batches of whole anchors, each with one index."""
+    """Pieces sorted by anchor, in batches of whole anchors, each with one index; marks are places in the piece."""
 
     def marks(rows: list[tuple]) -> pa.RecordBatch:
-        distinct: dict[bytes, int] = {}
-        for r in rows:
-            distinct.setdefault(r[4], len(distinct))
-        found = repeated_windows(list(distinct), length)
-        out = []
-        for _, k1, k2, lo, snippet in rows:
-            out += [(k1, k2, lo + a, lo + b) for a, b in _runs(found[distinct[snippet]])]
-        return _marks(out)
+        counts: dict[bytes, int] = {}
+        for _, _, n, snippet in rows:
+            counts[snippet] = counts.get(snippet, 0) + n
+        found = dict(zip(counts, repeated_windows(list(counts), list(counts.values()), length), strict=True))
+        out = [(a, s, lo, hi) for a, s, _, snippet in rows for lo, hi in _runs(found[snippet])]
+        cols = list(zip(*out, strict=True)) if out else [()] * 4
+        kinds = ("int64", "int64", "int32", "int32")
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["a", "s", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -224,54 +237,43 @@ def _index(length: int):
                     yield marks(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[3])
         if held:
             yield marks(held)
 
     return run
 
 
-def _marks(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-    kinds = ("int64", "int64", "int32", "int32")
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["k1", "k2", "lo", "hi"])
-
-
-MARKS = "k1 long, k2 long, lo int, hi int"
-
-
 def _cut_out(length: int):
-    """What the listed snippets cover: ``a``, ``k1``, ``k2``, ``lo``, ``snippet``, ``hot``."""
+    """What the listed snippets of a text cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for k1, k2, text, todo in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                raw = text.as_buffer().to_pybytes()
-                out += [(x["a"], k1, k2, x["lo"], raw[x["lo"] : x["hi"] + length], x["hot"]) for x in todo]
-            cols = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds = ("int64", "int64", "int64", "int32", "binary", "bool")
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["a", "k1", "k2", "lo", "snippet", "hot"])
+            for text, todo in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                raw = text.as_buffer()
+                view = memoryview(raw)
+                out += [(x["a"], x["s"], x["n"], bytes(view[x["lo"] : x["hi"] + length]), x["crowded"]) for x in todo]
+            cols = list(zip(*out, strict=True)) if out else [()] * 5
+            kinds = ("int64", "int64", "int64", "binary", "bool")
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["a", "s", "n", "snippet", "crowded"])
 
     return run
 
 
-def _windows(length: int):
-    """A row for each window of hot anchors: its hash and where it starts."""
+def _deal(length: int, gram: int):
+    """Snippets of pieces by longer grams: ``a``, ``s`` of the new snippet, ``pa``, ``ps``, ``n`` of the piece, place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, k1s, k2s, at = [], [], [], []
-            for _, k1, k2, lo, snippet in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                n = len(snippet) - length + 1
-                h += [xxhash.xxh3_128_digest(snippet[i : i + length]) for i in range(n)]
-                k1s += [k1] * n
-                k2s += [k2] * n
-                at += range(lo, lo + n)
-            d = np.frombuffer(b"".join(h), ">i8").astype("i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(k1s, "int64"), pa.array(k2s, "int64"), pa.array(at, "int32")], ["h1", "h2", "k1", "k2", "at"]
-            )
+            for pa_, ps, n, snippet in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, lo, hi = anchors(np.frombuffer(snippet, "u1"), length, gram)
+                s = np.array([xxhash.xxh3_64_intdigest(snippet[i : j + length]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], "u8")
+                m = len(a)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a), pa.array(s.view("i8")), *[pa.array(np.full(m, x, "i8")) for x in (pa_, ps, n)], pa.array(lo.astype("i4")), pa.array(hi.astype("i4"))],
+                    ["a", "s", "pa", "ps", "n", "lo", "hi"],
+                )
 
     return run
 
@@ -286,85 +288,76 @@ def texts(docs: DataFrame, text_col: str) -> DataFrame:
     return rows.groupBy("k1", "k2").agg(F.first("text").alias("text"))
 
 
-#: Of a row that ``_classify`` gives: its snippet repeats; others of its anchor differ, and it stands for its equals;
-#: its anchor has too many snippets for an index; its anchor may go on in another partition.
-EQUAL, ASKED, HOT, OPEN = 1, 2, 4, 8
-KNOWN = "a long, s long, k1 long, k2 long, lo int, hi int, flag int, n long"
-
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by anchor those whose anchor has another row beside them.
 
-def _classify(max_snippets: int):
-    """Rows sorted by anchor, snippet and place.
-
-    The anchors at a partition's edges stay open: of each of their snippets one row, with the count ``n``, speaks
-    for all in the partition; where it has equals there, they are known to repeat.
+    The first and the last row of a partition stay too, as their anchors may go on in another one.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if table is None:
-            return
-        a, s = (table.column(i).to_numpy() for i in (0, 1))
-        new_a = np.concatenate([[True], a[1:] != a[:-1]])
-        new_s = new_a | np.concatenate([[True], s[1:] != s[:-1]])
-        in_a, in_s = np.cumsum(new_a) - 1, np.cumsum(new_s) - 1
-        rows, equal, kinds = np.bincount(in_a), np.bincount(in_s), np.bincount(in_a[new_s])
-        open_ = (a == a[0]) | (a == a[-1])
-        same = equal[in_s] > 1
-        asked = (kinds[in_a] > 1) & new_s
-        flag = np.where(open_, np.where(new_s, OPEN, EQUAL), same * EQUAL + asked * np.where(kinds[in_a] > max_snippets, ASKED | HOT, ASKED))
-        keep = np.flatnonzero(open_ | (rows[in_a] > 1) & (flag > 0))
-        out = table.take(pa.array(keep)).append_column("flag", pa.array(flag[keep].astype("i4"))).append_column("n", pa.array(equal[in_s[keep]]))
-        yield from out.to_batches(max_chunksize=50_000)
-
-    return run
-
-
-def repeated_snippets(docs: DataFrame, text_col: str, length: int = LENGTH, max_snippets: int = MAX_SNIPPETS) -> DataFrame:
-    """Snippets of all rows that repeat, or that share their anchor with others and stand for their equals."""
+    before, held = None, None  # the anchor before the held row, which waits for the one after it
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        whole = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        a = whole.column(0).to_numpy()
+        same = a[1:] == a[:-1]
+        keep = np.append(same, False) | np.concatenate([[before is None or before == a[0]], same])
+        last = len(a) - 1
+        keep[last] = False
+        yield from whole.filter(pa.array(keep)).to_batches()
+        held, before = whole.slice(last), (a[last - 1] if last else before)
+    if held is not None:
+        yield from held.to_batches()
+
+
+def known_snippets(docs: DataFrame, text_col: str, length: int = LENGTH) -> DataFrame:
+    """Snippets of all rows that may share their anchor."""
     k1, k2 = text_key(F.col(text_col))
     rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_snippets(length), SNIPPET)
     order = ["a", "s", "k1", "k2", "lo"]
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     # The place is part of the range: an anchor of many rows spreads over as many partitions as it needs.
     sorted_ = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    known = cut(sorted_.mapInArrow(_classify(max_snippets), KNOWN))
-    shut = known.filter(f"flag <> {OPEN}").select("a", "k1", "k2", "lo", "hi", "flag")
-    # Two anchors a partition are open, and a row stands for each of their snippets there.
-    open_ = known.filter(f"flag = {OPEN}").drop("flag")
-    me = F.xxhash64("k1", "k2", "lo")
-    by_snippet = open_.groupBy("a", "s").agg(F.sum("n").alias("n"), F.min(me).alias("rep"))
-    by_anchor = by_snippet.groupBy("a").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("all > 1")
-    shared = by_snippet.join(by_anchor.select("a", "kinds"), "a")
-    flag = (
-        F.when(F.col("n") > 1, EQUAL).otherwise(0)
-        + F.when((F.col("kinds") > 1) & (me == F.col("rep")), F.when(F.col("kinds") > max_snippets, ASKED | HOT).otherwise(ASKED)).otherwise(0)
-    )
-    rest = open_.drop("n").join(shared, ["a", "s"]).select("a", "k1", "k2", "lo", "hi", flag.cast("int").alias("flag")).filter("flag > 0")
-    return shut.unionByName(rest)
-
-
-def repeated(docs: DataFrame, text_col: str, length: int = LENGTH, max_snippets: int = MAX_SNIPPETS) -> DataFrame:
+    return cut(sorted_.mapInArrow(_shared, SNIPPET))
+
+
+def distinct_snippets(rows: DataFrame, count, place: list[str], length: int, most: int) -> DataFrame:
+    """A row for each snippet (``a``, ``s``) of an anchor with more than one: ``n``, where one stands, and whether its anchor is crowded.
+
+    Counts are summed before they are shuffled.
+    """
+    by_snippet = rows.groupBy("a", "s").agg(count.alias("n"), F.min(F.struct(*place, "lo", "hi")).alias("x"))
+    size = F.sum(F.col("x.hi") - F.col("x.lo") + length)
+    by_anchor = by_snippet.groupBy("a").agg(F.sum("n").alias("all"), (size > most).alias("crowded")).filter("all > 1").drop("all")
+    return by_snippet.join(by_anchor, "a").select("a", "s", "n", "x.*", "crowded")
+
+
+def solve(pieces: DataFrame, length: int, most: int, longer: tuple[int, ...]) -> DataFrame:
+    """Marked window starts ``lo`` to ``hi`` in each piece (``a``, ``s``, ``n``, ``snippet``, ``crowded``)."""
+    spark = pieces.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    cool = pieces.filter("NOT crowded").drop("crowded")
+    out = cool.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_index(length), MARKS)
+    crowded = pieces.filter("crowded").drop("crowded")
+    if not longer or crowded.isEmpty():
+        return out
+    rows = cut(crowded.repartition(parts, "a", "s").mapInArrow(_deal(length, longer[0]), "a long, s long, pa long, ps long, n long, lo int, hi int"))
+    own = distinct_snippets(rows, F.sum("n"), ["pa", "ps"], length, most if longer[1:] else 2**62)
+    whole = crowded.select(F.col("a").alias("pa"), F.col("s").alias("ps"), "snippet")
+    part = F.expr(f"substring(snippet, lo + 1, hi - lo + {length})")
+    found = solve(cut(own.join(whole, ["pa", "ps"]).select("a", "s", "n", part.alias("snippet"), "crowded")), length, most, longer[1:])
+    back = rows.select("a", "s", "pa", "ps", F.col("lo").alias("at")).join(found, ["a", "s"])
+    return out.unionByName(back.select(F.col("pa").alias("a"), F.col("ps").alias("s"), (F.col("lo") + F.col("at")).alias("lo"), (F.col("hi") + F.col("at")).alias("hi")))
+
+
+def repeated(docs: DataFrame, text_col: str, length: int = LENGTH, most: int = INDEX_BYTES) -> DataFrame:
     """Marked window starts ``lo`` to ``hi`` of each text (``k1``, ``k2``)."""
-    known = repeated_snippets(docs, text_col, length, max_snippets)
-    equal = known.filter(F.col("flag").bitwiseAND(EQUAL) > 0).select("k1", "k2", "lo", "hi")
-    hot = F.col("flag").bitwiseAND(HOT) > 0
-    todo = (
-        known.filter(F.col("flag").bitwiseAND(ASKED) > 0)
-        .groupBy("k1", "k2")
-        .agg(F.collect_set(F.struct("a", "lo", "hi", hot.alias("hot"))).alias("todo"))
-    )
-    pieces = cut(
-        texts(docs, text_col)
-        .join(todo, ["k1", "k2"])
-        .select("k1", "k2", "text", "todo")
-        .mapInArrow(_cut_out(length), "a long, k1 long, k2 long, lo int, snippet binary, hot boolean")
-    )
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    indexed = pieces.filter("NOT hot").drop("hot").repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_index(length), MARKS)
-    windows = pieces.filter("hot").drop("hot").mapInArrow(_windows(length), "h1 long, h2 long, k1 long, k2 long, at int")
-    twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    counted = windows.join(twice, ["h1", "h2"]).select("k1", "k2", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    return equal.unionByName(indexed).unionByName(counted)
+    known = known_snippets(docs, text_col, length)
+    own = distinct_snippets(known, F.count(F.lit(1)), ["k1", "k2"], length, most)
+    todo = own.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "s", "n", "lo", "hi", "crowded")).alias("todo"))
+    pieces = texts(docs, text_col).join(todo, ["k1", "k2"]).select("text", "todo").mapInArrow(_cut_out(length), PIECE + ", crowded boolean")
+    found = cut(solve(cut(pieces), length, most, tuple(g if g < length else length for g in LONGER)))
+    back = known.select("a", "s", "k1", "k2", F.col("lo").alias("at")).join(found, ["a", "s"])
+    return back.select("k1", "k2", (F.col("lo") + F.col("at")).alias("lo"), (F.col("hi") + F.col("at")).alias("hi"))
 
 
 def spans(marks: list[dict], length: int) -> list[tuple[int, int]]:
@@ -379,7 +372,7 @@ def spans(marks: list[dict], length: int) -> list[tuple[int, int]]:
 
 
 def remove_repeats(
-    docs: DataFrame, *, length: int = LENGTH, max_snippets: int = MAX_SNIPPETS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, length: int = LENGTH, index_bytes: int = INDEX_BYTES, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Id, ``n_bytes``, ``spans`` (removed byte ranges) and ``kept`` (remaining bytes) of each row.
 
@@ -387,7 +380,7 @@ def remove_repeats(
     each other and lose all; null ids pass; an empty table gives an empty result; other columns are not read.
     """
     distinct = texts(docs, text_col)
-    marks = repeated(docs, text_col, length, max_snippets).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
+    marks = repeated(docs, text_col, length, index_bytes).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -414,6 +407,7 @@ _RESULT = ("int64", "int64", "int64", "int64", pa.list_(pa.struct([("start", pa.
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of :func:`remove_repeats` of ``documents``; nulls, ties, repeated rows and empty tables as told there."""
     out = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
