@@ -25,14 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, text_key
+from .common import cut, read, store, text_key
 
 LENGTH = 200
 #: Bytes of the grams that deal windows out, and of those that deal crowded anchors out again; the last are windows.
 GRAM = 64
 LONGER = (128, LENGTH)
-#: Bytes of snippets in one index; anchors with more are dealt out again.
-INDEX_BYTES = 1 << 20
+#: Bytes of snippets that fill an index, which takes whole anchors; anchors with more than the second are dealt out again.
+INDEX_BYTES, CROWDED_BYTES = 1 << 18, 1 << 20
+#: One text in so many tells where anchors are cut into partitions; results do not depend on it.
+LOOK_AT = 64
 #: Bytes that are looked at together for anchors; a text's windows are dealt out in parts of this size.
 PART = 1 << 20
 _POSITION = np.uint64((1 << 22) - 1)
@@ -75,12 +77,17 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     return h[at[first]].view("i8"), first, last
 
 
-def _snippets(length: int):
-    """Rows ``a`` (anchor), ``s`` (snippet hash), ``k1``, ``k2`` (text), ``lo``, ``hi`` (window starts)."""
+def _snippets(length: int, bounds: list[int]):
+    """Rows ``a`` (anchor), ``s`` (snippet hash), ``k1``, ``k2`` (text), ``lo``, ``hi`` (window starts), ``part``.
+
+    An anchor goes to the partition between its bounds; one that spans several is dealt over them by the row's salt.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, names = np.array(bounds, "i8"), ["a", "s", "k1", "k2", "lo", "hi", "part"]
         for batch in batches:
-            for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            keys = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            for k1, k2, salt, text in zip(*keys, batch.column(2), strict=True):
                 raw = text.as_buffer()
                 if raw is None or raw.size < length:
                     continue
@@ -90,11 +97,10 @@ def _snippets(length: int):
                     lo, hi = lo + at, hi + at
                     view, digest = memoryview(raw), xxhash.xxh3_64_intdigest
                     s = np.array([digest(view[i : j + length]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], "u8")
-                    m = len(a)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(a), pa.array(s.view("i8")), pa.array(np.full(m, k1, "i8")), pa.array(np.full(m, k2, "i8")), pa.array(lo.astype("i4")), pa.array(hi.astype("i4"))],
-                        ["a", "s", "k1", "k2", "lo", "hi"],
-                    )
+                    m, low = len(a), np.searchsorted(cuts, a, "left")
+                    part = low + salt % (np.searchsorted(cuts, a, "right") - low + 1)
+                    cols = [a, s.view("i8"), np.full(m, k1, "i8"), np.full(m, k2, "i8"), lo.astype("i4"), hi.astype("i4"), part.astype("i4")]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
     return run
 
@@ -309,15 +315,24 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from held.to_batches()
 
 
-def known_snippets(docs: DataFrame, text_col: str, length: int = LENGTH) -> DataFrame:
-    """Snippets of all rows that may share their anchor."""
+def known_snippets(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH) -> DataFrame:
+    """Snippets of all rows that may share their anchor.
+
+    Rows are put in ranges of anchors without a pass over all of them for the bounds: quantiles of a few texts do.
+    """
     k1, k2 = text_key(F.col(text_col))
-    rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_snippets(length), SNIPPET)
-    order = ["a", "s", "k1", "k2", "lo"]
+    salt = F.pmod(F.xxhash64(F.lit("salt"), F.col(id_col).cast("string")), F.lit(1 << 40))
+    rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), salt.alias("salt"))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    # The place is part of the range: an anchor of many rows spreads over as many partitions as it needs.
-    sorted_ = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return cut(sorted_.mapInArrow(_shared, SNIPPET))
+    shares = [i / parts for i in range(1, parts)]
+    schema = SNIPPET + ", part int"
+    bounds = None
+    if shares:
+        few = rows.filter(F.pmod("k2", F.lit(LOOK_AT)) == 0).mapInArrow(_snippets(length, []), schema)
+        bounds = few.agg(F.percentile_approx("a", shares)).first()[0]
+    bounds = bounds or [int((x - 0.5) * 2**64) for x in shares]
+    dealt = rows.mapInArrow(_snippets(length, bounds), schema).repartitionById(parts, F.col("part")).drop("part")
+    return store(dealt.sortWithinPartitions("a").mapInArrow(_shared, SNIPPET))
 
 
 def distinct_snippets(rows: DataFrame, count, place: list[str], length: int, most: int) -> DataFrame:
@@ -340,7 +355,7 @@ def solve(pieces: DataFrame, length: int, most: int, longer: tuple[int, ...]) ->
     crowded = pieces.filter("crowded").drop("crowded")
     if not longer or crowded.isEmpty():
         return out
-    rows = cut(crowded.repartition(parts, "a", "s").mapInArrow(_deal(length, longer[0]), "a long, s long, pa long, ps long, n long, lo int, hi int"))
+    rows = store(crowded.repartition(parts, "a", "s").mapInArrow(_deal(length, longer[0]), "a long, s long, pa long, ps long, n long, lo int, hi int"))
     own = distinct_snippets(rows, F.sum("n"), ["pa", "ps"], length, most if longer[1:] else 2**62)
     whole = crowded.select(F.col("a").alias("pa"), F.col("s").alias("ps"), "snippet")
     part = F.expr(f"substring(snippet, lo + 1, hi - lo + {length})")
@@ -349,13 +364,13 @@ def solve(pieces: DataFrame, length: int, most: int, longer: tuple[int, ...]) ->
     return out.unionByName(back.select(F.col("pa").alias("a"), F.col("ps").alias("s"), (F.col("lo") + F.col("at")).alias("lo"), (F.col("hi") + F.col("at")).alias("hi")))
 
 
-def repeated(docs: DataFrame, text_col: str, length: int = LENGTH, most: int = INDEX_BYTES) -> DataFrame:
+def repeated(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, most: int = CROWDED_BYTES) -> DataFrame:
     """Marked window starts ``lo`` to ``hi`` of each text (``k1``, ``k2``)."""
-    known = known_snippets(docs, text_col, length)
+    known = known_snippets(docs, id_col, text_col, length)
     own = distinct_snippets(known, F.count(F.lit(1)), ["k1", "k2"], length, most)
     todo = own.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "s", "n", "lo", "hi", "crowded")).alias("todo"))
     pieces = texts(docs, text_col).join(todo, ["k1", "k2"]).select("text", "todo").mapInArrow(_cut_out(length), PIECE + ", crowded boolean")
-    found = cut(solve(cut(pieces), length, most, tuple(g if g < length else length for g in LONGER)))
+    found = cut(solve(store(pieces), length, most, tuple(g if g < length else length for g in LONGER)))
     back = known.select("a", "s", "k1", "k2", F.col("lo").alias("at")).join(found, ["a", "s"])
     return back.select("k1", "k2", (F.col("lo") + F.col("at")).alias("lo"), (F.col("hi") + F.col("at")).alias("hi"))
 
@@ -372,7 +387,7 @@ def spans(marks: list[dict], length: int) -> list[tuple[int, int]]:
 
 
 def remove_repeats(
-    docs: DataFrame, *, length: int = LENGTH, index_bytes: int = INDEX_BYTES, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, length: int = LENGTH, crowded_bytes: int = CROWDED_BYTES, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Id, ``n_bytes``, ``spans`` (removed byte ranges) and ``kept`` (remaining bytes) of each row.
 
@@ -380,7 +395,7 @@ def remove_repeats(
     each other and lose all; null ids pass; an empty table gives an empty result; other columns are not read.
     """
     distinct = texts(docs, text_col)
-    marks = repeated(docs, text_col, length, index_bytes).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
+    marks = repeated(docs, id_col, text_col, length, crowded_bytes).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -246,7 +246,7 @@ def test_suffix_dedup_brute_force(spark, cap):
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
         want.append((key, len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
-    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5), index_bytes=cap).collect()
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5), crowded_bytes=cap).collect()
     assert sorted(map(repr, ((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in got))) == sorted(map(repr, want))
 
 
