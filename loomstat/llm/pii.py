@@ -7,12 +7,15 @@ collision: those that collide draw again until none is left.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, let, read
+from .common import cut, let, read, store
 
-KEY = "surrogates"
+#: The setting that holds the key of the query, and the key of tests, which is public.
+KEY_SETTING, TEST_KEY = "spark.loomstat.pii.key", "public key of tests"
 #: Entities that drew again, if so few, are sent to the tasks; more are joined by a shuffle.
 SENT_EXCEPTIONS = 100_000
 ROUNDS = 32
@@ -143,12 +146,20 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), n), one), F.lit(0), lambda a, x: a + x)
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> Column:
+def hmac(message: Column, key: str) -> Column:
+    """HMAC-SHA512 as hex digits; key and message are UTF-8."""
+    raw = key.encode()
+    raw = (hashlib.sha512(raw).digest() if len(raw) > 128 else raw).ljust(128, b"\0")
+    inner, outer = (F.lit(bytes(b ^ x for b in raw)) for x in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 512))), 512)
+
+
+def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """The replacement of a mention; equal for equal canonical values but for separators and case."""
 
     def drawn(canon: Column) -> Column:
-        seed = F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string"))
-        return F.concat(*[F.sha2(F.concat(seed, F.lit(f"\x1f{i}")), 256) for i in range(3)])
+        seed = F.concat_ws("\x1f", kind, canon, attempt.cast("string"))
+        return F.concat(*[hmac(F.concat(seed, F.lit(f"\x1f{i}")), key) for i in range(2)])
 
     def build(canon: Column, hexes: Column) -> Column:
         byte = lambda i: F.conv(F.substr(hexes, F.pmod(i, F.lit(96)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
@@ -240,7 +251,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
     return let(canonical(kind, value), lambda c: let(drawn(c), lambda h: build(c, h)))
 
 
-def exceptions(texts: DataFrame, key: str = KEY) -> DataFrame:
+def exceptions(texts: DataFrame, key: str) -> DataFrame:
     """Entities (``type``, ``canon``) that must draw again, with their ``attempt``; ``texts`` has ``m``, the mentions."""
     kind, canon = F.col("type"), F.col("canon")
     entities = cut(
@@ -271,15 +282,16 @@ def exceptions(texts: DataFrame, key: str = KEY) -> DataFrame:
     return entities.filter("attempt > 0")
 
 
-def replace(docs: DataFrame, *, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``text`` with surrogates and ``n_entities`` (mentioned parts) of each row.
+def replace(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``text`` with surrogates and ``n_entities`` (mentioned parts) of each row; ``key`` is a secret.
 
     Null texts stay null with no entities, empty ones empty; null ids pass; repeated rows are replaced alike; an
     empty table gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     may = F.coalesce(F.col("text").rlike(MAYBE), F.lit(False))
-    found = rows.filter(may).select("doc_id", mentions(F.col("text")).alias("m"))
+    # Mentions are found once, and written.
+    found = store(rows.filter(may).select("doc_id", mentions(F.col("text")).alias("m")))
     again = exceptions(found.select("m"), key)
     n = again.count()
     plain = rows.filter(~may).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"))
@@ -313,7 +325,8 @@ def replace(docs: DataFrame, *, key: str = KEY, id_col: str = "doc_id", text_col
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace(read(spark, sf_dir, "documents"))
+    """:func:`replace` of ``documents``, with the key that the session names, or that of tests; nulls, ties and empty tables as told there."""
+    return replace(read(spark, sf_dir, "documents"), key=spark.conf.get(KEY_SETTING, TEST_KEY))
 
 
 QUERIES = {"op2_pii": op2_pii}

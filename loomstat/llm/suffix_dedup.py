@@ -33,7 +33,7 @@ GRAM = 64
 LONGER = (128, LENGTH)
 #: Bytes of snippets that fill an index, which takes whole anchors; anchors with more than the second are dealt out again.
 INDEX_BYTES, CROWDED_BYTES = 1 << 18, 1 << 20
-#: One text in so many tells where anchors are cut into partitions; results do not depend on it.
+#: One row in so many tells where anchors are cut into partitions; results do not depend on it.
 LOOK_AT = 64
 #: Bytes that are looked at together for anchors; a text's windows are dealt out in parts of this size.
 PART = 1 << 20
@@ -98,7 +98,7 @@ def _snippets(length: int, bounds: list[int]):
                     view, digest = memoryview(raw), xxhash.xxh3_64_intdigest
                     s = np.array([digest(view[i : j + length]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], "u8")
                     m, low = len(a), np.searchsorted(cuts, a, "left")
-                    part = low + salt % (np.searchsorted(cuts, a, "right") - low + 1)
+                    part = low + salt // LOOK_AT % (np.searchsorted(cuts, a, "right") - low + 1)
                     cols = [a, s.view("i8"), np.full(m, k1, "i8"), np.full(m, k2, "i8"), lo.astype("i4"), hi.astype("i4"), part.astype("i4")]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
@@ -318,7 +318,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def known_snippets(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH) -> DataFrame:
     """Snippets of all rows that may share their anchor.
 
-    Rows are put in ranges of anchors without a pass over all of them for the bounds: quantiles of a few texts do.
+    Rows are put in ranges of anchors without a pass over all of them for the bounds: quantiles of a few rows do.
     """
     k1, k2 = text_key(F.col(text_col))
     salt = F.pmod(F.xxhash64(F.lit("salt"), F.col(id_col).cast("string")), F.lit(1 << 40))
@@ -328,7 +328,8 @@ def known_snippets(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     schema = SNIPPET + ", part int"
     bounds = None
     if shares:
-        few = rows.filter(F.pmod("k2", F.lit(LOOK_AT)) == 0).mapInArrow(_snippets(length, []), schema)
+        # by row, not by text, so that copies weigh as they do in the whole
+        few = rows.filter(F.pmod("salt", F.lit(LOOK_AT)) == 0).mapInArrow(_snippets(length, []), schema)
         bounds = few.agg(F.percentile_approx("a", shares)).first()[0]
     bounds = bounds or [int((x - 0.5) * 2**64) for x in shares]
     dealt = rows.mapInArrow(_snippets(length, bounds), schema).repartitionById(parts, F.col("part")).drop("part")
