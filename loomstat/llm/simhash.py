@@ -24,8 +24,8 @@ RADIUS = 3
 WIDTH = 3
 #: Tables of links are written in files of so many rows (16 bytes each), in so many files at least.
 LINKS_A_FILE, LEAST_FILES = 500_000, 8
-#: Texts that share one of these bands of minima are compared: of pairs at similarity 0.8, by the formula, 1 in 1,000 shares none.
-BANDS, ROWS = 13, 4
+#: Texts that share one of these bands of minima are compared: of pairs at similarity 0.8, by the formula, 7 in 100,000 share none.
+BANDS, ROWS = 24, 5
 #: Minima that are taken for sketches; the bands are over the first of them.
 MINIMA = 120
 #: Texts are compared if so many minima agree in two bits: at 0.8, by the formula, 1 in 100,000 pairs has fewer.
@@ -219,15 +219,10 @@ def _star(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     near are given.  Each row has one of ``j`` 0, with its sketch and with nulls where there is no pair.
     """
 
-    def links(own: np.ndarray) -> Iterator[pa.RecordBatch]:
-        new = np.ones(own.shape[1], bool)
-        new[1:] = own[0, 1:] != own[0, :-1]
-        starts = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
+    def links(own: np.ndarray, todo: np.ndarray, starts: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         at = np.arange(own.shape[1]) - starts[group]
-        several = np.diff(np.append(starts, own.shape[1]))[group] > 1
         for j in range(k):
-            some = np.flatnonzero(at > j if j else several)
+            some = np.flatnonzero(todo & (at > j) if j else todo)
             if not len(some):
                 break
             head = starts[group[some]] + j
@@ -240,19 +235,23 @@ def _star(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], sketch], ["h", "f", "k1", "k2", "a1", "a2", "late", "j", "sketch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        # Of the group that goes on, its first rows alone are held; one that is single so far was not given yet.
+        held, given = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             own = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]])
             own = np.concatenate([own, np.frombuffer(b"".join(batch.column(4).to_pylist()), "i8").reshape(batch.num_rows, -1).T])
-            own = own if rest is None else np.concatenate([rest, own], axis=1)
-            at = np.searchsorted(own[0], own[0, -1])
-            rest = own[:, at:]
-            if at:
-                yield from links(own[:, :at])
-        if rest is not None:
-            yield from links(rest)
+            own = own if held is None else np.concatenate([held, own], axis=1)
+            new = np.ones(own.shape[1], bool)
+            new[1:] = own[0, 1:] != own[0, :-1]
+            starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+            size = np.diff(np.append(starts, own.shape[1]))
+            todo = size[group] > 1
+            todo[:given] = False
+            yield from links(own, todo, starts, group)
+            held = own[:, starts[-1] : starts[-1] + k]
+            given = held.shape[1] if size[-1] > 1 else 0
 
     return run
 
