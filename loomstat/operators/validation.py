@@ -324,6 +324,16 @@ def with_topics(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(dim), "topic")
 
 
+def relevance(low: Column) -> Column:
+    """Similarity of a text (lower case) to what its topic is about."""
+    return let(keywords(low), lambda own: jaccard(keywords(F.col("context")), own))
+
+
+def difficulty(hl: Column, sl: Column) -> Column:
+    """From the words of either level that a text has; topics of the higher level stay there."""
+    return F.when(F.col("higher_only") | (hl > sl), "higher").otherwise("standard")
+
+
 def compliance_column() -> Column:
     """Struct of warnings, suggestions, relevance, difficulty, compliant, is_valid; reads what :func:`with_topics` adds."""
     return _bound(_compliance)
@@ -380,13 +390,12 @@ def _compliance(text: Column, low: Column) -> Column:
             ).alias("warnings"),
             F.concat(told((r < 0.3, F.concat(F.lit("Consider focusing more on "), topic, F.lit(" concepts")))), style_suggestions).alias("suggestions"),
             r.alias("relevance"),
-            F.when(F.col("higher_only") | (hl > sl), "higher").otherwise("standard").alias("difficulty"),
+            difficulty(hl, sl).alias("difficulty"),
             F.lit(True).alias("compliant"),
             F.lit(True).alias("is_valid"),
         )
 
-    relevance = let(keywords(low), lambda own: jaccard(about, own))
-    return let(F.struct(relevance.alias("r"), hits(low, HL_WORDS).alias("hl"), hits(low, SL_WORDS).alias("sl")), body)
+    return let(F.struct(relevance(low).alias("r"), hits(low, HL_WORDS).alias("hl"), hits(low, SL_WORDS).alias("sl")), body)
 
 
 # --- all together -----------------------------------------------------------------------------------------------

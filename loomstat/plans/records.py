@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
-from ..functions.columns import strings, told
+from ..functions.columns import hits, let, strings, told
 from ..functions.dims import ENVIRONMENTS, LEGACY_TOPICS, LIMITS, METERED, MODEL_SETTINGS, OPERATION_COSTS, TOPICS, values
 from ..operators import parsing, providers, records, trailing, validation
 from ..sources.tables import table
@@ -451,13 +451,18 @@ def audit_worst_12(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- thin queries on the rules ----------------------------------------------------------------------------------
 
 
+def _low() -> Column:
+    return F.lower(F.coalesce("question_text", F.lit("")))
+
+
 def difficulty_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.compliance_rules(Q.questions(table(spark, sf_dir, "documents"))).select("id", "topic", "c.difficulty")
+    q = validation.with_topics(Q.questions(table(spark, sf_dir, "documents")))
+    return q.select("id", "topic", let(_low(), lambda x: validation.difficulty(hits(x, dims.HL_WORDS), hits(x, dims.SL_WORDS))).alias("difficulty"))
 
 
 def topic_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = validation.compliance_rules(Q.questions(table(spark, sf_dir, "documents")))
-    return c.select("id", "topic", F.round("c.relevance", 6).alias("relevance"), (F.col("c.relevance") < 0.5).alias("warned"), (F.col("c.relevance") < 0.3).alias("suggested"))
+    q = validation.with_topics(Q.questions(table(spark, sf_dir, "documents"))).select("id", "topic", let(_low(), validation.relevance).alias("r"))
+    return q.select("id", "topic", F.round("r", 6).alias("relevance"), (F.col("r") < 0.5).alias("warned"), (F.col("r") < 0.3).alias("suggested"))
 
 
 def style_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
