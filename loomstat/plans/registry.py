@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.dims import CATEGORIES, ERROR_TYPES, LIMITS, METERED, RECOVERY, RECOVERY_DEFAULT, TOPICS, values
+from ..functions.dims import CATEGORIES, ERROR_TYPES, LIMITS, METERED, PLACEHOLDER_OPTIONS, RECOVERY, RECOVERY_DEFAULT, TOPICS, values
 from ..sources.tables import TABLES, table
 
 _SPARK = {"rx": "regexp_like", "g": "", "split": "split", "num": "try_cast", "len": "size", "k": "get_json_object(props, '$.k')"}
@@ -206,7 +206,23 @@ def _jsonl_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(lines)
 
 
+def _jsonl_repair_sql() -> str:
+    """Expected rows, written from the rule: known topics get a formatted record, what cannot be read stays."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    topics = ", ".join(f"({i}, {quoted(t[1])}, {quoted(t[0])})" for i, t in enumerate(TOPICS))
+    options = ", ".join(map(quoted, PLACEHOLDER_OPTIONS))
+    head = "'instruction', 'Generate', 'input', 'Topic: ' || name"
+    return f"""WITH topics(ord, name, topic) AS (VALUES {topics}),
+t AS (SELECT doc_id, text, name, topic FROM documents JOIN topics ON doc_id % 29 = ord)
+SELECT doc_id AS line_no, doc_id % 7 <> 0 AND text IS NOT NULL AS repaired, CASE WHEN doc_id % 7 = 0 THEN '{{broken'
+  WHEN text IS NULL THEN CAST(json_object({head}) AS VARCHAR)
+  ELSE CAST(json_object({head}, 'output', json_object('questionText', text, 'options', [{options}], 'correctAnswer', 'B',
+    'topic', topic, 'formatted', true, 'needsGeminiRefinement', true)) AS VARCHAR) END AS line
+FROM t"""
+
+
 QUERIES["jsonl_repair"] = _jsonl_repair
+ORACLES["jsonl_repair"] = _jsonl_repair_sql()
 
 from . import questions as _questions  # noqa: E402
 from . import records as _records  # noqa: E402
