@@ -70,7 +70,10 @@ def shared_folder(spark: SparkSession) -> str:
         if not where and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoints"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    folder = sc._jsc.sc().getCheckpointDir().get()
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)  # of this application alone: it goes when the driver ends
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
