@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .snapshots import Snapshots
+
 TABLES = ("events", "documents", "benchmark")
 
 
@@ -26,10 +27,6 @@ def write_settings(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def append_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
-
-
 def read_config(spark: SparkSession, path: str, variables: dict[str, str], defaults: dict[str, str]) -> dict[str, str]:
     """Settings by precedence: environment variable (``variables``: key to name), file, default; empty counts as absent."""
     row = read_settings(spark, path, defaults).first().asDict()
@@ -50,23 +47,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return own.select("raw", (F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("line_no"))
 
 
-def rewrite(df: DataFrame, path: str) -> str:
-    """Replaces a table of lines that ``df`` may itself read: the new version is written aside, then the old one becomes ``.backup``."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    aside, backup = f"{path}.{uuid.uuid4().hex}", f"{path}.backup"
-    df.write.text(aside)
-    to = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = to(path).getFileSystem(conf)
-    fs.delete(to(backup), True)
-    fs.rename(to(path), to(backup))
-    fs.rename(to(aside), to(path))
-    return backup
-
-
-def append_log(df: DataFrame, path: str) -> None:
-    """Adds records to a log, one folder for each day of their ``ts``, so that retention drops folders."""
-    df.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+def rewrite(df: DataFrame, path: str) -> int:
+    """Replaces a versioned table that ``df`` may itself read; the version before stays as its backup."""
+    return Snapshots(df.sparkSession, path).commit(df)
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
@@ -84,7 +67,3 @@ def write_texts(df: DataFrame, path: str, column: str = "text") -> None:
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; inner quotes are escaped, unlike those of a plain join."""
     df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
-
-
-def write_json_export(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)

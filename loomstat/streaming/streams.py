@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .processors import ALERTS, BUCKET_US, DAY_US, DECISIONS, MINUTE_US, SUMS, BucketSums, Crossings, Decisions
+
 
 def sliding_summary(metrics: DataFrame, length: str = "24 hours", step: str = "1 hour") -> DataFrame:
     """Count, successes and mean time for each sliding window; events later than the window's length are dropped."""
@@ -34,73 +33,30 @@ def error_spikes(errors: DataFrame, length: str = "10 minutes", more_than: int =
     )
 
 
-def admission(usage: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """Decisions as the batch query ``rate_limit_admission`` makes them, request by request.
-
-    ``usage`` has id, api_type, us (microseconds), tokens and cost (micro-units, long).  ``limits``: rpm, rpd, tpm, tpd
-    and day_cost.  A full day rejects (cost, requests, tokens, in this order), a full minute delays.  What counts is all
-    that came in the day (minute) before, up to but without the same instant.  State is a day of requests of a key;
-    rows that come out of order are judged by what has come.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seen = [list(x) for x in zip(*state.get, strict=True)] if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["us", "id"])
-        out = []
-        for rid, us, tokens, cost in zip(rows["id"], rows["us"], rows["tokens"], rows["cost"], strict=True):
-            seen = [x for x in seen if x[0] >= us - 86_400_000_000]
-            day = [x for x in seen if x[0] < us]
-            minute = [x for x in day if x[0] >= us - 60_000_000]
-            total = lambda xs, i: sum(x[i] for x in xs)
-            if total(day, 2) >= limits["day_cost"]:
-                said = "reject_cost"
-            elif len(day) >= limits["rpd"]:
-                said = "reject_requests"
-            elif total(day, 1) >= limits["tpd"]:
-                said = "reject_tokens"
-            elif len(minute) >= limits["rpm"]:
-                said = "delay"
-            elif total(minute, 1) >= limits["tpm"]:
-                said = "delay_tokens"
-            else:
-                said = "admit"
-            wait = 60_000 - (us - min(x[0] for x in minute)) // 1000 if said.startswith("delay") and minute else 0
-            out.append((rid, key[0], said, wait))
-            seen.append([us, tokens, cost])
-        state.update(tuple(map(list, zip(*seen, strict=True))))
-        yield pd.DataFrame(out, columns=["id", "api_type", "decision", "wait_ms"])
+def admission(usage: DataFrame, limits: dict[str, dict[str, float]], lateness: str = "10 minutes") -> DataFrame:
+    """Decisions as the batch query ``rate_limit_admission`` makes them, for requests of all APIs in ``limits``.
 
-    return usage.groupBy("api_type").applyInPandasWithState(
-        step,
-        "id long, api_type string, decision string, wait_ms long",
-        "us array<long>, tokens array<long>, cost array<long>",
-        "append",
-        "NoTimeout",
-    )
+    ``usage`` has id, api_type, us (microseconds), tokens and cost (micro-units, long).  ``limits`` of an API: rpm, rpd,
+    tpm, tpd and day_cost.  A full day rejects (cost, requests, tokens, in this order), a full minute delays until its
+    oldest request leaves it.  What counts is all that came in the day (minute) before, up to but without the same instant.
 
+    Each request asks three time buckets how much of them lies before a time; a bucket answers from the prefix sums of
+    what it holds, and tells the buckets of the next day its totals.  So a request never reads a day again, keys are API
+    and time bucket, and timers drop a bucket a day after its end.  Rows that come out of order are judged by what has come.
+    """
+    known = usage.filter(F.col("api_type").isin(*limits))
+    timed = known.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", lateness)
+    asks = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), (F.col("us") - back).alias("x")) for k, back in enumerate((0, MINUTE_US, DAY_US))]))
+    asked = timed.select("api_type", "ts", "id", "us", "tokens", "cost", asks.alias("a"))
+    asked = asked.select("api_type", F.floor(F.col("a.x") / BUCKET_US).alias("bucket"), "ts", "id", "us", "tokens", "cost", "a.kind", "a.x")
+    sums = asked.groupBy("api_type", "bucket").transformWithStateInPandas(BucketSums(), SUMS, "append", "EventTime", eventTimeColumnName="ts")
+    return sums.groupBy("api_type", "bucket").transformWithStateInPandas(Decisions(limits), DECISIONS, "append", "EventTime")
 
-def retained(records: DataFrame, age: str = "24 hours", keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Records not older than ``age`` behind the newest seen, each id once; the state forgets what the watermark passes."""
-    return records.withWatermark("ts", age).dropDuplicatesWithinWatermark(list(keys))
-
-
-def cleanup_sink(path: str, days: int = 7):
-    """A ``foreachBatch`` function that appends records by day and drops the folders of days that are too old."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        from ..sources.tables import append_log
 
-        append_log(batch, path)
-        spark = batch.sparkSession
-        newest = spark.read.parquet(path).agg(F.max("day")).first()[0]
-        if newest is None:
-            return
-        jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-        root = jvm.org.apache.hadoop.fs.Path(path)
-        fs = root.getFileSystem(conf)
-        for status in fs.listStatus(root):  # one folder for each day that is kept
-            name = status.getPath().getName()
-            if name.startswith("day=") and (newest - newest.fromisoformat(name[4:])).days > days:
-                fs.delete(status.getPath(), True)
+def error_alerts(errors: DataFrame, span_us: int = 600_000_000, more_than: int = 5, lateness: str = "10 minutes") -> DataFrame:
+    """``id``, ``key``, ``n`` of each error (id, error_type, us) at which its type's count of the last span first passes a bound.
 
-    return write
+    An alert fires once at the crossing, and again only after the count has been at the bound or under it.
+    """
+    timed = errors.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", lateness)
+    return timed.groupBy("error_type").transformWithStateInPandas(Crossings(span_us, more_than), ALERTS, "append", "EventTime")

@@ -55,65 +55,6 @@ def test_sliding_summary_equals_batch(stream_of, spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, batch))
 
 
-LIMITS = {"rpm": 3, "rpd": 40, "tpm": 250, "tpd": 3000, "day_cost": 2500}
-
-
-def test_admission_stream_equals_batch(stream_of, spark):
-    import random
-
-    rnd, us, rows = random.Random(1), 0, []
-    for i in range(400):
-        us += rnd.choice([0, 1_000_000, 9_000_000, 40_000_000, 900_000_000])
-        rows.append((i, rnd.choice("ab"), us, rnd.randint(0, 150), rnd.randint(0, 90)))
-    schema = "id long, api_type string, us long, tokens long, cost long"
-    got = {r["id"]: r["decision"] for r in drain(streams.admission(stream_of(rows, schema), LIMITS), "admitted")}
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_micros("us"))
-    w = trailing.trailing(df, key="api_type", ts="ts", id_col="id", measures=("tokens", "cost"), spans={"m": 60_000_000, "d": 86_400_000_000}, bucket_us=7_000_000)
-    for r in w.collect():
-        own = [x for x in rows if x[1] == r["api_type"] and x[2] < rows[r["id"]][2]]
-        at = rows[r["id"]][2]
-        day, minute = [[x for x in own if x[2] >= at - span] for span in (86_400_000_000, 60_000_000)]
-        assert (r["n_d"], r["n_m"], r["tokens_d"], r["cost_d"]) == (len(day), len(minute), sum(x[3] for x in day), sum(x[4] for x in day))
-        assert r["oldest_m"] == min((x[2] for x in minute), default=None)
-        want = (
-            "reject_cost" if r["cost_d"] >= 2500 else "reject_requests" if r["n_d"] >= 40 else "reject_tokens" if r["tokens_d"] >= 3000
-            else "delay" if r["n_m"] >= 3 else "delay_tokens" if r["tokens_m"] >= 250 else "admit"
-        )
-        assert got[r["id"]] == want
-    assert len(set(got.values())) >= 4
-
-
-def test_quota_fixture(stream_of):
-    """The sixth call in a minute is delayed, not rejected; after fifty calls in a day the next one is rejected."""
-    rows = [(i, "x", i * 1_000_000, 1, 0) for i in range(6)] + [(i, "y", i * 60_000_001, 1, 0) for i in range(100, 152)]
-    limits = {"rpm": 5, "rpd": 50, "tpm": 10_000, "tpd": 100_000, "day_cost": 1}
-    got = {r["id"]: (r["decision"], r["wait_ms"]) for r in drain(streams.admission(stream_of(rows, "id long, api_type string, us long, tokens long, cost long"), limits), "quota")}
-    assert got[5] == ("delay", 55_000) and got[4][0] == "admit" and got[149][0] == "admit" and got[150][0] == "reject_requests"
-
-
-def test_retention_and_cleanup(stream_of, spark, tmp_path):
-    from datetime import datetime, timedelta
-
-    rows = [(i % 40, datetime(2024, 1, 1) + timedelta(hours=7 * i)) for i in range(60)]
-    src = stream_of(rows, "id long, ts timestamp")
-    q = src.writeStream.foreachBatch(streams.cleanup_sink(str(tmp_path / "log"), 7)).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
-    q.awaitTermination(120)
-    days = {r["day"] for r in spark.read.parquet(str(tmp_path / "log")).select("day").distinct().collect()}
-    assert (max(days) - min(days)).days == 7
-    got = drain(streams.retained(src), "kept")
-    assert {r["id"] for r in got} == set(range(40))
-
-
-def test_error_spikes(stream_of):
-    from datetime import datetime, timedelta
-
-    rows = [(datetime(2024, 1, 1) + timedelta(seconds=i), "a" if i < 8 else "b") for i in range(12)]
-    got = drain(streams.error_spikes(stream_of(rows, "ts timestamp, error_type string")), "spikes", "complete")
-    assert {r["error_type"] for r in got} == {"a"} and {r["n"] for r in got} == {8}
-
-
 # --- parsing and validation: inputs and results as the reference's own tests have them ----------------------------
 
 
@@ -210,15 +151,11 @@ def test_sources(spark, tmp_path, monkeypatch):
     assert [r["raw"] for r in df.orderBy("line_no").collect()] == lines and {r["line_no"] for r in df.collect()} == set(range(500))
     tables.write_texts(df.orderBy("line_no"), str(tmp_path / "t"), "raw")
     again = spark.read.text(str(tmp_path / "t"))
-    backup = tables.rewrite(again.selectExpr("upper(value)"), str(tmp_path / "t"))
-    assert spark.read.text(str(tmp_path / "t")).count() == 500 == spark.read.text(backup).count()
+    assert again.count() == 500
     (tmp_path / "s.json").write_text('{"a": "1", "b": ""}')
     monkeypatch.setenv("LOOM_B", "7")
     assert tables.read_config(spark, str(tmp_path / "s.json"), {"b": "LOOM_B", "a": "LOOM_A"}, {"a": "x", "b": "y", "c": "z"}) == {"a": "1", "b": "7", "c": "z"}
     (tmp_path / "audit.json").write_text('{"results": [{"path": "/", "theme": "dark", "offenders": [{"ratio": 2.5}, {"ratio": 4.0}]}]}')
     assert sorted(r["ratio"] for r in tables.read_audit(spark, str(tmp_path / "audit.json")).collect()) == [2.5, 4.0]
-    tables.append_jsonl(df.limit(3), str(tmp_path / "j"))
-    tables.append_jsonl(df.limit(3), str(tmp_path / "j"))
-    assert spark.read.json(str(tmp_path / "j")).count() == 6
     tables.write_settings(spark.createDataFrame([("1",)], "a string"), str(tmp_path / "w"))
     assert tables.read_settings(spark, str(tmp_path / "w"), {"a": "x", "b": "y"}).first()["b"] == "y"
