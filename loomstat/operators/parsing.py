@@ -233,9 +233,19 @@ def json_tail(text: Column) -> Column:
 
     Without such a value: what follows the first brace with a blank after it, else the text.
     """
-    ends = lambda x: F.filter(F.transform(F.split(x, ""), lambda c, i: F.when(c == "}", i + 1)), lambda i: i.isNotNull())
-    whole = lambda x, i: F.try_parse_json(F.left(x, i)).isNotNull()
-    at = F.get(F.filter(ends(text), lambda i: whole(text, i)), F.lit(0))
+    # Only where the first brace is closed can such a value end: one pass over escapes, quotes, braces and what is between.
+    tokens = all_of(text, r'\\.|["{}]|[^\\"{}]+|\\')
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(s: Column, token: Column) -> Column:
+        free = ~s["quoted"]
+        depth = s["depth"] + F.when(free & (token == "{"), 1).when(free & (token == "}"), -1).otherwise(0)
+        at = s["at"] + F.length(token)
+        end = F.when((s["end"] == 0) & free & (token == "}") & (depth <= 0), at).otherwise(s["end"])
+        return F.struct(depth.alias("depth"), (s["quoted"] != (token == '"')).alias("quoted"), at.alias("at"), end.alias("end"))
+
+    closed = F.when(text.rlike(r"\A\s*\{"), F.aggregate(tokens, start, step, lambda s: s["end"]))
+    at = let(closed, lambda i: F.when((i > 0) & F.try_parse_json(F.left(text, i)).isNotNull(), i))
 
     def body(i: Column) -> Column:
         head = F.left(text, i)

@@ -62,15 +62,6 @@ def rate_limit_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("id", "api_type", decision.alias("decision"), "n_minute", "n_day", "tokens_day", F.col("cost_day").cast("double").alias("cost_day"))
 
 
-def rate_limit_wait(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How long a request waits until the oldest of the last ten minutes' requests leaves a window that is full."""
-    u = _usage(spark, sf_dir)
-    span = 600 * _US
-    w = trailing.trailing(u, key="api_type", ts="ts", id_col="id", spans={"span": span}).join(u.select("id", "rpm", trailing.micros("ts").alias("t")), "id")
-    wait = F.floor((span - (F.col("t") - F.col("oldest_span"))) / 1000)
-    return w.select("id", "api_type", F.col("n_span").alias("n"), F.when(F.col("n_span") >= F.col("rpm"), wait).otherwise(0).cast("long").alias("wait_ms"))
-
-
 def retry_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of a type in the five minutes before, and whether another retry is due."""
     w = trailing.trailing(_errors(spark, sf_dir), key="error_type", ts="ts", id_col="id", spans={"span": 300 * _US})
@@ -156,7 +147,7 @@ def parse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parse_json_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = Q.questions(table(spark, sf_dir, "documents"))
-    row = F.to_json(F.struct(F.substr("question_text", F.lit(1), F.lit(40)).alias("question"), "options", F.col("answer").alias("correct_answer")))
+    row = F.to_json(F.struct(F.col("question_text").alias("question"), "options", F.col("answer").alias("correct_answer")))
     text = F.when(F.col("id") % 6 == 0, F.lit("no object here")).otherwise(F.concat(F.lit("Here it is: "), row, F.lit(" - done")))
     r = q.select("id", parsing.parse_json_object(text).alias("x"))
     return r.select("id", "x.question", F.size("x.options").cast("long").alias("n_options"), F.col("x.correct_answer").alias("answer")).withColumn(
@@ -213,7 +204,7 @@ def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("not a request")
     )
     r = d.select("id", records.validate_request(body).alias("x"))
-    return r.select("id", "x.valid", F.substr("x.error", F.lit(1), F.lit(30)).alias("error"), "x.topic", "x.difficulty", "x.type")
+    return r.select("id", "x.valid", F.col("x.error").alias("error"), "x.topic", "x.difficulty", "x.type")
 
 
 def legacy_topic_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +215,7 @@ def legacy_topic_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def error_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = F.get(strings(["llama", "openrouter", "refinement", "validation", ""]), (F.col("event_id") % 5).cast("int"))
-    message = F.get(strings(["request timeout", "quota reached", "rate limit", "socket closed"]), (F.col("user_id") % 4).cast("int"))
+    message = F.get(strings(["request timeout", "quota reached", "rate limit", "socket closed", "401 Unauthorized", "API key not valid"]), (F.col("user_id") % 6).cast("int"))
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), stage.alias("stage"), F.when(F.col("event_id") % 7 != 0, message).alias("message"))
     r = e.select("id", "message", records.normalise_error(F.col("stage"), F.col("message")).alias("x"))
     return r.select("id", F.col("x.type").alias("error_type"), F.col("x.message").alias("text"), "x.retryable", records.is_auth_error(F.col("message")).alias("abort"))
@@ -246,21 +237,11 @@ def sanity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("id", records.sane(F.col("question_text"), F.col("options"), F.col("answer"), (F.col("id") % 20) / 20.0).alias("sane"))
 
 
-def services_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By day: the model is up if any request passed, refinement if no error of its own came; validation always is."""
-    e = table(spark, sf_dir, "events").select(F.to_date("ts").cast("string").alias("day"), (F.col("event_type") != "error").alias("ok"), F.col("event_id").alias("id"))
-    refine = _errors(spark, sf_dir).select("id", F.col("error_type").startswith("openrouter").alias("bad"))
-    by = e.join(refine, "id", "left").groupBy("day").agg(F.bool_or("ok").alias("llama"), (F.count_if("bad") <= 20).alias("refinement"))
-    n = F.col("llama").cast("int") + F.col("refinement").cast("int") + 1
-    return by.select("day", n.cast("long").alias("n"), F.when(n == 3, "healthy").when(n > 0, "degraded").otherwise("unhealthy").alias("overall"),
-        F.concat_ws("; ", F.when(~F.col("llama"), "Llama service not available"), F.when(~F.col("refinement"), "OpenRouter service not available")).alias("details"))
-
-
 # --- JSON and text shapes ---------------------------------------------------------------------------------------
 
 
 def json_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").withColumn("t", F.substr(F.coalesce("text", F.lit("")), F.lit(1), F.lit(60)))
+    d = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").withColumn("t", F.coalesce("text", F.lit("")))
     s = lambda **kv: F.to_json(F.struct(*[v.alias(k) for k, v in kv.items()]))
     text = F.struct(F.col("t").alias("text"))
     raw = (
@@ -275,8 +256,8 @@ def json_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").withColumn("t", F.translate(F.substr(F.coalesce("text", F.lit("")), F.lit(1), F.lit(50)), "{}", "()"))
-    head = F.when(d.doc_id % 4 == 0, '{"a": {"b": 1}} ').when(d.doc_id % 4 == 1, '{"output": "inner", "x": {}}').when(d.doc_id % 4 == 2, "{broken} ").otherwise("")
+    d = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").withColumn("t", F.translate(F.coalesce("text", F.lit("")), "{}", "()"))
+    head = F.when(d.doc_id % 4 == 0, r'{"a": {"b": "}\\"{"}} ').when(d.doc_id % 4 == 1, '{"output": "inner", "x": {}}').when(d.doc_id % 4 == 2, "{broken} ").otherwise("")
     body = F.when(d.doc_id % 4 == 1, "").otherwise(d.t)
     return d.select("doc_id", parsing.json_tail(F.concat(head, body)).alias("tail"))
 
@@ -314,13 +295,6 @@ def telemetry_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.to_json(F.struct(F.struct("n", "ok").alias("generations"), F.struct("tokens", "cost").alias("costs"), "newest")).alias("document"))
 
 
-def cost_csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid CSV lines of cost records: quotes inside a field are doubled."""
-    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
-    u = _usage(spark, sf_dir).withColumn("metadata", F.to_json(F.struct(F.col("operation").alias("op"))))
-    return u.select("id", F.concat_ws(",", "id", "api_type", "operation", "tokens", F.col("cost").cast("decimal(18,7)").cast("string"), quoted(F.col("metadata"))).alias("line"))
-
-
 def generate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests through the provider cascade, whose first provider is offline here, parsed; failures are dropped."""
     q = validation.with_topics(Q.questions(table(spark, sf_dir, "documents"))).select("id", F.to_json(F.struct(F.concat(F.lit("Topic: "), "display").alias("input"))).alias("prompt"))
@@ -494,9 +468,6 @@ w AS (SELECT *, count(*) OVER m AS n_minute, coalesce(sum(tokens) OVER m, 0) AS
   WINDOW m AS (PARTITION BY api_type ORDER BY ts {_SPAN(60)}), d AS (PARTITION BY api_type ORDER BY ts {_SPAN(86400)}))
 SELECT id, api_type, CASE WHEN cd >= day_cost::DECIMAL(20, 10) THEN 'reject_cost' WHEN n_day >= rpd THEN 'reject_requests' WHEN td >= tpd THEN 'reject_tokens' WHEN n_minute >= rpm THEN 'delay' WHEN tm >= tpm THEN 'delay_tokens' ELSE 'admit' END AS decision,
   n_minute::BIGINT AS n_minute, n_day::BIGINT AS n_day, td::BIGINT AS tokens_day, cd::DOUBLE AS cost_day FROM w""",
-    "rate_limit_wait": f"""WITH {USAGE_SQL},
-w AS (SELECT *, count(*) OVER m AS n, min(ts) OVER m AS oldest FROM use WINDOW m AS (PARTITION BY api_type ORDER BY ts {_SPAN(600)}))
-SELECT id, api_type, n::BIGINT AS n, CASE WHEN n >= rpm THEN floor((600000000 - (epoch_us(ts) - epoch_us(oldest))) / 1000)::BIGINT ELSE 0 END AS wait_ms FROM w""",
     "retry_budget": f"""WITH {_ERRORS_SQL},
 w AS (SELECT id, error_type, count(*) OVER (PARTITION BY error_type ORDER BY ts {_SPAN(300)}) AS n FROM err)
 SELECT id, error_type, n::BIGINT AS n, error_type NOT IN ('configuration_error', 'api_limit') AND n < CASE WHEN error_type = 'llama_failure' THEN 3 ELSE 2 END AS retry FROM w""",
@@ -518,21 +489,18 @@ SELECT id, attempt::BIGINT AS attempt, attempt <= 2 AS again, CASE WHEN attempt
     "fallback_pick": f"""WITH {QUESTIONS_SQL}, bank(topic, k, qt, op, a) AS (VALUES {_FB}), n AS (SELECT topic, count(*) AS c FROM bank GROUP BY topic)
 SELECT id, q.topic, coalesce(qt, 'This is a fallback question for ' || q.topic || '. What is the correct answer?') AS question_text, coalesce(op, '{"|".join(dims.FALLBACK_OPTIONS)}') AS options, coalesce(a, 'A') AS correct_answer
 FROM q LEFT JOIN n ON q.topic = n.topic LEFT JOIN bank b ON b.topic = q.topic AND b.k = q.id % n.c""",
-    "request_validation": f"""WITH {QUESTIONS_SQL} SELECT id, id % 9 IN (0, 1, 6, 7) AS valid, CASE id % 9 WHEN 2 THEN 'Difficulty must be "standard" or' WHEN 3 THEN 'Type must be "multiple-choice" ' WHEN 4 THEN 'Topic is required' WHEN 5 THEN 'Invalid topic. Must be one of: ' WHEN 8 THEN 'Invalid request body' END[1:30] AS error,
+    "request_validation": f"""WITH {QUESTIONS_SQL} SELECT id, id % 9 IN (0, 1, 6, 7) AS valid, CASE id % 9 WHEN 2 THEN 'Difficulty must be "standard" or "higher"' WHEN 3 THEN 'Type must be "multiple-choice" or "long-answer"' WHEN 4 THEN 'Topic is required' WHEN 5 THEN 'Invalid topic. Must be one of: ' || (SELECT string_agg(topic, ', ' ORDER BY ord) FROM topics) WHEN 8 THEN 'Invalid request body' END AS error,
   CASE id % 9 WHEN 0 THEN topic WHEN 1 THEN topic WHEN 6 THEN CASE id % 4 WHEN 1 THEN 'wave-model' WHEN 2 THEN 'thermal-energy-transfers' ELSE 'kinematics' END WHEN 7 THEN 'kinematics' END AS topic,
   CASE id % 9 WHEN 0 THEN 'standard' WHEN 1 THEN 'higher' WHEN 6 THEN 'standard' WHEN 7 THEN 'standard' END AS difficulty, CASE id % 9 WHEN 0 THEN 'multiple-choice' WHEN 1 THEN 'long-answer' WHEN 6 THEN 'multiple-choice' WHEN 7 THEN 'long-answer' END AS type FROM q""",
     "legacy_topic_map": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{t}')" for a, t in [*LEGACY_TOPICS.items(), ("Mechanics", "kinematics"), ("ELECTRICITY", "current-circuits"), ("unknown", "kinematics")]) + ") v(alias, topic)",
-    "error_normalisation": """WITH e AS (SELECT event_id AS id, ['llama', 'openrouter', 'refinement', 'validation', ''][event_id % 5 + 1] AS stage, CASE WHEN event_id % 7 <> 0 THEN ['request timeout', 'quota reached', 'rate limit', 'socket closed'][user_id % 4 + 1] END AS m FROM events)
+    "error_normalisation": """WITH e AS (SELECT event_id AS id, ['llama', 'openrouter', 'refinement', 'validation', ''][event_id % 5 + 1] AS stage, CASE WHEN event_id % 7 <> 0 THEN ['request timeout', 'quota reached', 'rate limit', 'socket closed', '401 Unauthorized', 'API key not valid'][user_id % 6 + 1] END AS m FROM events)
 SELECT id, CASE WHEN stage IN ('openrouter', 'refinement') THEN 'openrouter_failure' WHEN stage = 'validation' THEN 'validation_failure' WHEN m IN ('quota reached', 'rate limit') THEN 'api_limit' ELSE 'llama_failure' END AS error_type,
-  'Generation failed at ' || stage || ': ' || coalesce(m, 'Unknown error') AS text, NOT (stage IN ('llama', '') AND coalesce(m IN ('quota reached', 'rate limit'), false)) AS retryable, false AS abort FROM e""",
+  'Generation failed at ' || stage || ': ' || coalesce(m, 'Unknown error') AS text, NOT (stage IN ('llama', '') AND coalesce(m IN ('quota reached', 'rate limit'), false)) AS retryable, coalesce(m IN ('401 Unauthorized', 'API key not valid'), false) AS abort FROM e""",
     "error_to_status": "SELECT doc_id, CASE WHEN regexp_matches(text, 'quota|limit') THEN 429 WHEN text LIKE '%timeout%' THEN 408 WHEN text LIKE '%validation%' THEN 422 ELSE 500 END::BIGINT AS status, CASE WHEN regexp_matches(text, 'quota|limit') THEN 'QUOTA_EXCEEDED' WHEN text LIKE '%timeout%' THEN 'TIMEOUT' WHEN text LIKE '%validation%' THEN 'VALIDATION_FAILED' ELSE 'GENERATION_FAILED' END AS code FROM documents",
     "outcome_errors": f"WITH {_EVENTS_SQL} SELECT ts::DATE::VARCHAR AS day, topic, CASE WHEN sum(success::INT) = 0 THEN 'all failed' ELSE 'some passed' END AS outcome, sum(success::INT)::BIGINT AS kept, (count(*) - sum(success::INT))::BIGINT AS dropped FROM ev GROUP BY 1, 2",
     "sanity_check": f"WITH {QUESTIONS_SQL} SELECT id, length(t) >= 10 AND len(o) = 4 AND answer <> 'E' AND id % 20 >= 2 AS sane FROM q",
-    "services_health": f"""WITH {_ERRORS_SQL}, d AS (SELECT ts::DATE::VARCHAR AS day, max((event_type <> 'error')::INT) AS llama FROM events GROUP BY 1), b AS (SELECT ts::DATE::VARCHAR AS day, count(*) AS n FROM err WHERE error_type LIKE 'openrouter%' GROUP BY 1),
-s AS (SELECT d.day, llama, (coalesce(n, 0) <= 20)::INT AS refinement FROM d LEFT JOIN b ON d.day = b.day)
-SELECT day, (llama + refinement + 1)::BIGINT AS n, CASE llama + refinement WHEN 2 THEN 'healthy' ELSE 'degraded' END AS overall, concat_ws('; ', CASE WHEN llama = 0 THEN 'Llama service not available' END, CASE WHEN refinement = 0 THEN 'OpenRouter service not available' END) AS details FROM s""",
-    "json_envelope": "SELECT doc_id, nullif(substr(coalesce(text, ''), 1, 60), '') AS content FROM documents WHERE doc_id IS NOT NULL AND coalesce(text, '') <> '' UNION ALL SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '{\"results\":[{\"text\":\"\"}]}' WHEN 1 THEN '{\"generated_text\":\"\"}' WHEN 2 THEN '{\"output\":[{\"text\":\"\"}]}' WHEN 3 THEN '{\"output\":[{\"generated_text\":\"\"}]}' WHEN 4 THEN '{\"data\":[{\"text\":\"\"}]}' END FROM documents WHERE doc_id IS NOT NULL AND coalesce(text, '') = ''",
-    "json_tail": f"""WITH d AS (SELECT doc_id, translate(substr(coalesce(text, ''), 1, 50), '{{}}', '()') AS t FROM documents WHERE doc_id IS NOT NULL)
+    "json_envelope": "SELECT doc_id, text AS content FROM documents WHERE doc_id IS NOT NULL AND coalesce(text, '') <> '' UNION ALL SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '{\"results\":[{\"text\":\"\"}]}' WHEN 1 THEN '{\"generated_text\":\"\"}' WHEN 2 THEN '{\"output\":[{\"text\":\"\"}]}' WHEN 3 THEN '{\"output\":[{\"generated_text\":\"\"}]}' WHEN 4 THEN '{\"data\":[{\"text\":\"\"}]}' END FROM documents WHERE doc_id IS NOT NULL AND coalesce(text, '') = ''",
+    "json_tail": f"""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{{}}', '()') AS t FROM documents WHERE doc_id IS NOT NULL)
 SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CASE WHEN trim(t, {_BLANKS}) = '' THEN NULL ELSE trim(t, {_BLANKS}) END WHEN 1 THEN 'inner' WHEN 2 THEN trim(t, {_BLANKS}) ELSE t END AS tail FROM d""",
     "prompt_json": f"""WITH t(topic, display) AS (VALUES {_THREE}), p AS (SELECT topic, '{{"instruction":"Generate an IB Physics Paper 1 style multiple-choice question.","input":"Topic: ' || display || '","output":"' AS h FROM t)
 SELECT topic, h || '"}}' AS prompt, h || 'What?"}}' AS record, 'Missing topic specification|Missing difficulty level|Missing format instructions|Prompt too short - may lack sufficient context' AS errors FROM p""",
@@ -540,7 +508,6 @@ SELECT topic, h || '"}}' AS prompt, h || 'What?"}}' AS record, 'Missing topic sp
   || chr(10) || 'Correct Answer: ' || answer || chr(10) || chr(10)) AS text_md5, 'physics-question-' || replace(lower(display), ' ', '-') || '.txt' AS file, array_to_string(list_transform(string_split(topic, '-'), lambda x: upper(x[1]) || x[2:]), ' ') AS title FROM q""",
     "telemetry_export": f"""WITH {USAGE_SQL}, newest AS (SELECT string_agg(event_id, ',' ORDER BY ts, event_id) AS x FROM (SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 10))
 SELECT '{{"generations":{{"n":' || (SELECT count(*) FROM events) || ',"ok":' || (SELECT count(*) FROM events WHERE event_type <> 'error') || '}},"costs":{{"tokens":' || sum(tokens) || ',"cost":"' || sum(cost)::DECIMAL(18, 6) || '"}},"newest":"' || (SELECT x FROM newest) || '"}}' AS document FROM use""",
-    "cost_csv_export": f"""WITH {USAGE_SQL} SELECT id, id || ',' || api_type || ',' || operation || ',' || tokens || ',' || cost::DECIMAL(18, 7) || ',"{{""op"":""' || operation || '""}}"' AS line FROM use""",
     "generate_batch": f"WITH {QUESTIONS_SQL} SELECT id, 'ok' AS status, 'offline' AS provider, 1::BIGINT AS attempts, 'What is central to ' || display || '?' AS question_text, 'B' AS answer, CASE WHEN contains(display, 'zzz') THEN 1.0 ELSE 0.8 END AS confidence FROM q",
     "config_check": f"""WITH l(profile, api_type, rpm, rpd, tpm, tpd, token_cost, day_cost) AS ({values(LIMITS)})
 SELECT profile, api_type, day_cost::DOUBLE > 0 AND rpm * 1440 >= rpd AND tpm * 1440 >= tpd AS valid, array_to_string({_list(("rpm <= 0", "'requestsPerMinute must be positive'"), ("rpd <= 0", "'requestsPerDay must be positive'"), ("tpm <= 0", "'tokensPerMinute must be positive'"), ("tpd <= 0", "'tokensPerDay must be positive'"), ("token_cost::DOUBLE < 0", "'costPerToken cannot be negative'"), ("day_cost::DOUBLE <= 0", "'maxDailyCost must be positive'"), ("rpd > rpm * 1440", "'requestsPerDay exceeds theoretical maximum based on requestsPerMinute'"), ("tpd > tpm * 1440", "'tokensPerDay exceeds theoretical maximum based on tokensPerMinute'"))}, '|') AS errors FROM l""",
@@ -573,7 +540,7 @@ g AS (SELECT id, q, o, a, q <> '' AND len(o) = 4 AND a IS NOT NULL AS good FROM
 SELECT id, CASE WHEN good THEN length(q) END::BIGINT AS question_chars, CASE WHEN good THEN array_to_string(o, '|') END AS options, CASE WHEN good THEN a END AS answer, CASE WHEN good THEN 0.8 END::DOUBLE AS confidence FROM g
 UNION ALL SELECT id, NULL, NULL, NULL, NULL FROM bodies WHERE id % 12 = 4""",
     "parse_json_object": f"""WITH {QUESTIONS_SQL}, n AS (SELECT q.id, text IS NULL AS none, t, o, answer, q.id % 6 <> 0 AND len(o) = 4 AND answer <> 'E' AND text IS NOT NULL AS good FROM q JOIN documents d ON d.doc_id = q.id)
-SELECT id, CASE WHEN good THEN substr(t, 1, 40) END AS question, CASE WHEN good THEN 4 END::BIGINT AS n_options, CASE WHEN good THEN answer END AS answer FROM n""",
+SELECT id, CASE WHEN good THEN t END AS question, CASE WHEN good THEN 4 END::BIGINT AS n_options, CASE WHEN good THEN answer END AS answer FROM n""",
     "parse_options_section": rf"""WITH {QUESTIONS_SQL}, x AS (SELECT id, answer, chr(10) || array_to_string(list_transform(o, lambda x: translate(x, chr(10) || chr(13), '  ')), chr(10)) AS s FROM q),
 m AS (SELECT id, answer, regexp_extract_all(regexp_replace(s, '\n([A-D]\))', chr(1) || chr(10) || '\1', 'g') || chr(1), '([A-D]\)(?:{_W}|\x01)*[^\n\r\x01]+?)\x01', 1) AS o FROM x),
 g AS (SELECT id, o, answer, len(o) = 4 AND answer <> 'E' AND id % 2 = 0 AS good FROM m)

@@ -122,20 +122,8 @@ FROM spine LEFT JOIN (SELECT CAST(hour(ts) AS INT) AS hh, {_N} AS n, CAST(count(
     "health_indicators_24h": _health(DAY),
     "error_patterns": f"SELECT error_type, {_N} AS n, sum(count(*)) OVER () > 10 AS spike FROM error_metrics WHERE {_last(DAY)} GROUP BY error_type HAVING count(*) > 5",
     "error_patterns_10m": f"SELECT error_type, {_N} AS n FROM error_metrics WHERE {_last("'10' MINUTE")} GROUP BY error_type HAVING count(*) > 5",
-    "error_stats": f"""SELECT 'type' AS kind, error_type AS name, {_N} AS n FROM error_metrics GROUP BY error_type
-UNION ALL SELECT 'hour', CAST(hour(ts) AS VARCHAR(2)), {_N} FROM error_metrics GROUP BY hour(ts)
-UNION ALL SELECT 'total', 'all', {_N} FROM error_metrics
-UNION ALL SELECT 'retryable', 'all', {_N} FROM error_metrics WHERE error_type NOT IN ('configuration_error', 'validation_failure')
-UNION ALL SELECT 'recent', '1h', {_N} FROM error_metrics WHERE {_last(HOUR)}""",
     "recent_errors_by_type": f"SELECT error_type, {_N} AS n FROM error_metrics WHERE {_last("'5' MINUTE")} GROUP BY error_type",
     "retention_newest_n": "SELECT id, topic, success, ms FROM gen_metrics ORDER BY ts DESC, id LIMIT 1000",
-    "cost_summary": "SELECT "
-    + ", ".join(
-        f"coalesce(round(CAST(sum(CASE WHEN {_last(span)}{api} THEN cost END) AS DOUBLE), 8), 0) AS {name}_{col}"
-        for name, span in (("daily", DAY), ("weekly", "'7' DAY"), ("monthly", "'30' DAY"))
-        for col, api in (("openrouter", " AND api_type = 'openrouter'"), ("huggingface", " AND api_type = 'huggingface'"), ("total", ""))
-    )
-    + " FROM usage_records",
     "cost_by_operation": f"SELECT operation, round(CAST(sum(cost) AS DOUBLE), 8) AS cost, {_N} AS n, round(CAST(sum(cost) AS DOUBLE) / count(*), 10) AS avg_cost FROM usage_records WHERE {_last(DAY)} GROUP BY operation",
     "cost_by_api": f"SELECT api_type, round(CAST(sum(cost) AS DOUBLE), 8) AS cost FROM usage_records WHERE {_last(DAY)} GROUP BY api_type",
     "cost_by_hour": f"SELECT lpad(CAST(hour(ts) AS VARCHAR(2)), 2, '0') AS hour_of_day, round(CAST(sum(cost) AS DOUBLE), 8) AS cost FROM usage_records WHERE {_last(DAY)} GROUP BY hour(ts)",
@@ -153,14 +141,11 @@ LEFT JOIN (SELECT api_type, slot, {_N} AS n FROM (SELECT api_type, 23 - CAST(flo
     "backoff_delay": "SELECT h + 1 AS attempt, CAST(least(2000 * power(2, h), 30000) AS BIGINT) AS model_ms, CAST(least(1000 * power(2, h), 10000) AS BIGINT) AS refine_ms, CASE h WHEN 0 THEN 1000 WHEN 1 THEN 2000 WHEN 2 THEN 5000 ELSE 10000 END AS table_ms FROM spine WHERE h < 10",
     "affordability": f"SELECT l.api_type, round(CAST(CAST(day_cost AS DECIMAL(12, 4)) - coalesce(cost, 0) AS DOUBLE), 8) AS remaining, CAST('0.01' AS DECIMAL(12, 4)) <= CAST(day_cost AS DECIMAL(12, 4)) - coalesce(cost, 0) AS can_afford FROM limits l LEFT JOIN (SELECT api_type, CAST(sum(cost) AS DECIMAL(20, 10)) AS cost FROM usage_records WHERE {_last(DAY)} GROUP BY api_type) u ON l.api_type = u.api_type WHERE profile = 'testing'",
     "cleanup_counts": f"SELECT 'gen_metrics' AS log, CAST(count(CASE WHEN NOT ({_last("'7' DAY")}) THEN 1 END) AS BIGINT) AS removed, CAST(count(CASE WHEN {_last("'7' DAY")} THEN 1 END) AS BIGINT) AS kept FROM gen_metrics",
-    "mark_resolved": f"SELECT id, error_type, id % 3 = 0 AS resolved FROM error_metrics WHERE {_last(DAY)}",
     "recovery_suggestions": f"SELECT e.id, e.error_type, coalesce(advice, '{"; ".join(RECOVERY_DEFAULT)}') AS advice FROM error_metrics e LEFT JOIN recovery r ON e.error_type = r.error_type WHERE {_last(DAY)}",
     "topic_catalog": "SELECT topic, display, coalesce(category, 'Other') AS category, hl FROM topic_dim t LEFT JOIN categories c ON t.theme = c.theme",
     "option_topics_filter": "SELECT topic, q AS question_type FROM topic_dim JOIN (VALUES ('multiple-choice'), ('long-answer')) v(q) ON NOT (q = 'multiple-choice' AND theme = 'O')",
     "mask_secret": "SELECT doc_id, CASE WHEN source = '' THEN '' WHEN length(source) <= 4 THEN '****' ELSE concat('****', right(source, 4)) END AS masked FROM documents",
     "truncate_text": "SELECT doc_id, CASE WHEN length(text) > 300 THEN concat(left(text, 300), '...') ELSE text END AS preview FROM documents",
-    "session_stats": f"SELECT CAST(user_id AS BIGINT) AS user_id, {_N} AS n, CAST(sum(CAST(round(value * 200) AS BIGINT)) AS BIGINT) AS total_ms FROM events GROUP BY user_id",
-    "csv_export": "SELECT concat_ws(',', CAST(id AS VARCHAR(20)), topic, CASE WHEN success THEN 'true' ELSE 'false' END, CAST(ms AS VARCHAR(20))) AS line FROM gen_metrics",
 }
 _SPARK["sec"], _OTHER["sec"] = "unix_seconds_exact", "epoch"
 
@@ -170,8 +155,7 @@ def _spark_sql(sql: str) -> str:
 
     text = _dialect(_whole(sql), _SPARK)
     # seconds with their fraction; the tables' timestamps have no zone
-    text = re.sub(r"unix_seconds_exact\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)", r"(unix_micros(CAST(\1 AS TIMESTAMP)) / 1000000.0)", text)
-    return re.sub(r"min\(ts\) AS TIMESTAMP\)\) / 1000000.0\) OVER m", "min(ts) OVER m AS TIMESTAMP)) / 1000000.0)", text)
+    return re.sub(r"unix_seconds_exact\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)", r"(unix_micros(CAST(\1 AS TIMESTAMP)) / 1000000.0)", text)
 
 
 def _query(name: str):
@@ -224,9 +208,10 @@ FROM t"""
 QUERIES["jsonl_repair"] = _jsonl_repair
 ORACLES["jsonl_repair"] = _jsonl_repair_sql()
 
+from . import operations as _operations  # noqa: E402
 from . import questions as _questions  # noqa: E402
 from . import records as _records  # noqa: E402
 
-for _module in (_questions, _records):
+for _module in (_questions, _records, _operations):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
