@@ -14,10 +14,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free, read, text_key
+from .common import cut, free, read, store, text_key
 
 SEED = 42
 RADIUS = 3
@@ -30,6 +30,8 @@ BANDS, ROWS = 24, 5
 MINIMA = 120
 #: Texts are compared if so many minima agree in two bits: at 0.8, by the formula, 1 in 100,000 pairs has fewer.
 AGREE = 84
+#: Rows of a band from which on it may be split over several tasks.
+LEAST_BAND = 500
 #: Bytes of a sketch: two bits for each minimum, in whole words.
 SKETCH = 32
 _LOW = np.uint64(0x5555555555555555)
@@ -137,7 +139,7 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     return met.distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root`` (smallest node reachable) of every node that has a link.
 
     Alternates large-star and small-star steps: every round is two aggregations and joins over the links; the
@@ -147,7 +149,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     parts = max(LEAST_FILES, -(-edges.count() // LINKS_A_FILE))
     seen = None
-    for _ in range(max_rounds):
+    while True:  # the roots only ever get smaller, so the state comes to stay
         # large-star: larger neighbours go to the smallest of the neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -161,7 +163,6 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
-    raise RuntimeError("components did not settle")
 
 
 def classes(fps: DataFrame) -> DataFrame:
@@ -213,24 +214,24 @@ def unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _star(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows ``h``, ``f``, ``k1``, ``k2``, ``sketch``, sorted: each of a shared ``h`` with each of the first ``k`` before it.
+    """Rows ``h``, ``salt``, ``f``, ``k1``, ``k2``, ``sketch``, ``copy``, sorted: each of a shared ``h`` with each of the first ``k`` before it.
 
-    ``j`` numbers these (``a1``, ``a2``); ``late`` rows come after the first ``k``.  Only pairs whose sketches may be
-    near are given.  Each row has one of ``j`` 0, with its sketch and with nulls where there is no pair.
+    Of a band that is split over salts, every salt has copies of the first ``k``, which are compared with but not given
+    themselves.  ``j`` numbers the first ones (``a1``, ``a2``); ``late`` rows come after the first ``k``.  Only pairs
+    whose sketches may be near are given.  Each row has one of ``j`` 0, with its sketch and with nulls where there is no pair.
     """
 
-    def links(own: np.ndarray, todo: np.ndarray, starts: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at = np.arange(own.shape[1]) - starts[group]
+    def links(own: np.ndarray, todo: np.ndarray, rank: np.ndarray, heads: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
         for j in range(k):
-            some = np.flatnonzero(todo & (at > j) if j else todo)
+            some = np.flatnonzero(todo & (rank > j) if j else todo)
             if not len(some):
                 break
-            head = starts[group[some]] + j
-            none = (at[some] == 0) | unlike(own[4:, some], own[4:, head])
+            head = heads[np.minimum(first[some] + j, len(heads) - 1)]
+            none = (rank[some] == 0) | unlike(own[6:, some], own[6:, head])
             if j:
                 some, head, none = some[~none], head[~none], none[~none]
-            cols = [*own[:4, some], *[pa.array(x, mask=none) for x in own[2:4, head]], at[some] >= k, np.full(len(some), j, "i4")]
-            raw = np.ascontiguousarray(own[4:, some].T).tobytes()
+            cols = [own[0, some], *own[2:5, some], *[pa.array(x, mask=none) for x in own[3:5, head]], rank[some] >= k, np.full(len(some), j, "i4")]
+            raw = np.ascontiguousarray(own[6:, some].T).tobytes()
             sketch = pa.nulls(len(some), "binary") if j else pa.array([raw[i : i + SKETCH] for i in range(0, len(raw), SKETCH)], "binary")
             yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], sketch], ["h", "f", "k1", "k2", "a1", "a2", "late", "j", "sketch"])
 
@@ -240,22 +241,43 @@ def _star(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]])
-            own = np.concatenate([own, np.frombuffer(b"".join(batch.column(4).to_pylist()), "i8").reshape(batch.num_rows, -1).T])
+            own = np.stack([c.cast("int64").to_numpy(zero_copy_only=False) for c in batch.columns[:6]])
+            own = np.concatenate([own, np.frombuffer(b"".join(batch.column(6).to_pylist()), "i8").reshape(batch.num_rows, -1).T])
             own = own if held is None else np.concatenate([held, own], axis=1)
-            new = np.ones(own.shape[1], bool)
-            new[1:] = own[0, 1:] != own[0, :-1]
-            starts, group = np.flatnonzero(new), np.cumsum(new) - 1
-            size = np.diff(np.append(starts, own.shape[1]))
-            todo = size[group] > 1
+            opens, differs = np.ones(own.shape[1], bool), np.ones(own.shape[1], bool)
+            opens[1:] = (own[:2, 1:] != own[:2, :-1]).any(axis=0)
+            differs[1:] = opens[1:] | (own[2:5, 1:] != own[2:5, :-1]).any(axis=0)  # else the row that a copy stands for
+            group = np.cumsum(opens) - 1
+            place = np.cumsum(differs) - 1
+            heads = np.flatnonzero(differs)
+            first = place[np.flatnonzero(opens)]  # by group
+            size = np.diff(np.append(first, len(heads)))
+            shared = (size > 1) | (np.bincount(group, own[5]) > 0)
+            todo = shared[group] & (own[5] == 0)
             todo[:given] = False
-            yield from links(own, todo, starts, group)
-            held = own[:, starts[-1] : starts[-1] + k]
-            given = held.shape[1] if size[-1] > 1 else 0
+            yield from links(own, todo, place - first[group], heads, first[group])
+            held = own[:, heads[first[-1] : first[-1] + k]]
+            given = held.shape[1] if shared[-1] else 0
 
     return run
 
 
+def _dealt(left: DataFrame, k: int, parts: int) -> DataFrame:
+    """Rows of bands with a ``salt``: bands of many rows are split, and each salt gets copies of the band's first ``k`` rows."""
+    n = left.count()
+    limit = max(LEAST_BAND, n // (8 * parts))
+    sizes = left.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+    hot = store(sizes.select("h", F.ceil(F.col("n") / limit).cast("int").alias("salts")))  # of known size: sent if small
+    rows = left.join(hot, "h", "left").withColumn("copy", F.lit(0))
+    order = Window.partitionBy("h").orderBy("f", "k1", "k2")
+    heads = left.join(hot, "h").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k)  # each task keeps k rows of a band
+    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("copy", F.lit(1))
+    cols = ["h", "salt", "f", "k1", "k2", "copy", "sketch"]
+    rows = rows.withColumn("salt", F.coalesce(F.pmod("k1", F.col("salts").cast("long")), F.lit(0)).cast("int")).select(*cols)
+    dealt = rows.unionByName(heads.select(*cols)).repartition(parts, "h", "salt")
+    return dealt.sortWithinPartitions("h", "salt", "f", "k1", "k2", F.desc("copy"))
+
+
 def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without near copies of rows that stay, columns as they were.
 
@@ -263,7 +285,8 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
     more with one that stays before it.  Texts that share a band are compared by their shingles.  Of rows that share
     an id and near-equal texts one stays; rows without id come last.  Null counts as an empty text.
 
-    Each round compares the texts of a band with its first ones.  A text that is among the first in all of its bands
+    Each round compares the texts of a band with its first ones; a band of many texts is split over tasks, and its first
+    texts are sent to each.  A text that is among the first in all of its bands
     and near none before it stays, and those near it go; the others meet again, with more first ones.
     """
     names, own = docs.columns, ["k1", "k2"]
@@ -274,16 +297,10 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [(h.tobytes(), sketch) for h, sketch in (bands(t.as_py(), width) for t in batch.column(0))]
-            hs, sketches = [pa.array([x[i] for x in both], "binary") for i in (0, 1)]
+            both = [bands(t.as_py(), width) for t in batch.column(0)]
+            hs, sketches = pa.array([h.view("i8") for h, _ in both], pa.list_(pa.int64())), pa.array([x for _, x in both], "binary")
             yield pa.RecordBatch.from_arrays([hs, sketches, *batch.columns[1:]], ["hs", "sketch", "doc", *own])
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hs = np.frombuffer(b"".join(batch.column(0).to_pylist()), "i8")
-            rest = batch.select([1, 2, 3, 4]).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
-            yield pa.RecordBatch.from_arrays([pa.array(hs), *rest.columns], ["h", "f", *own, "sketch"])
-
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [jaccard(a.as_py(), b.as_py(), width) >= similarity for a, b in zip(batch.column(4), batch.column(5), strict=True)]
@@ -291,12 +308,12 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
 
     rows = tagged.select(F.col(text_col).alias("_text"), F.col(first).alias("doc"), *[F.col(k).alias(o) for k, o in zip(key, own)])
     # Texts stay where they are: their keys and bands alone are grouped.
-    texts = rows.mapInArrow(banded, "hs binary, sketch binary, doc long, k1 long, k2 long")
+    texts = rows.mapInArrow(banded, "hs array<long>, sketch binary, doc long, k1 long, k2 long")
     texts = cut(texts.groupBy(*own).agg(F.min("doc").alias("_first"), F.first("hs").alias("hs"), F.first("sketch").alias("sketch")))
-    left = texts.select("hs", "_first", *own, "sketch").mapInArrow(dealt, "h long, f long, k1 long, k2 long, sketch binary")
+    left = texts.select(F.explode("hs").alias("h"), F.col("_first").alias("f"), *own, "sketch")
     k, bodies, gone = 1, None, None
     while True:
-        met = left.repartition(parts, "h").sortWithinPartitions("h", "f", *own).mapInArrow(
+        met = _dealt(left, k, parts).mapInArrow(
             _star(k), "h long, f long, k1 long, k2 long, a1 long, a2 long, late boolean, j int, sketch binary"
         )
         met = cut(met)
