@@ -305,20 +305,6 @@ def test_language_held_out(spark, edge, empty):
     assert not language_id.predict(empty, none).collect()
 
 
-def test_phrases_are_longest_matches():
-    model = language_id.Model(["x"], "abcdefghij", [], [])
-    own = np.random.default_rng(0).integers(2, 6, 300).astype("u1")
-    model.tables, model.sizes = [language_id.automaton(own)], [300]
-    text = np.random.default_rng(1).integers(2, 7, 900).astype("u1")
-    ref, n, i = own.tobytes(), 0, 0
-    while i < len(text):
-        k = 1
-        while i + k < len(text) and text[i : i + k + 1].tobytes() in ref:
-            k += 1
-        n, i = n + 1, i + k
-    assert language_id.phrases(model, [text])[0, 0] == n
-
-
 def distance(item, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):
