@@ -1,6 +1,7 @@
 """PII surrogates: keyed, type-consistent replacements that keep format, gender, script, distinctness and coreference.
 
-An entity is its type and canonical value, so every mention of it gets one surrogate, whatever its format.  Values
+An entity is its type and canonical value, so every mention of it gets one surrogate, whatever its format or, for
+family names, its gender.  A name known from a mention with a title is replaced wherever else the text has it.  Values
 are drawn from a keyed hash.  Two entities with one surrogate, or a surrogate that is itself a real value, are a
 collision: those that collide draw again until none is left.
 """
@@ -16,12 +17,8 @@ from .common import cut, let, read, store
 
 #: The setting that holds the key of the query, and the key of tests, which is public.
 KEY_SETTING, TEST_KEY = "spark.loomstat.pii.key", "public key of tests"
-#: Entities that drew again, if so few, are sent to the tasks; more are joined by a shuffle.
-SENT_EXCEPTIONS = 100_000
-ROUNDS = 32
-
-_MALE = "Mr|Sir|Herr|Herrn|Señor|Sr|Monsieur|Don|г-н|господин"
-_FEMALE = "Mrs|Ms|Miss|Frau|Señora|Sra|Srta|Madame|Mme|Mlle|Doña|г-жа|госпожа"
+_MALE = "Mr|Sir|Herrn|Herr|Señor|Sr|Monsieur|Don|г-н|господин|κύριος|Κύριος|κ"
+_FEMALE = "Mrs|Ms|Miss|Frau|Señora|Sra|Srta|Madame|Mme|Mlle|Doña|г-жа|госпожа|κυρία|Κυρία|κα"
 _TITLE = rf"(?:{_FEMALE}|{_MALE})\.?\s"
 _NAME = r"\p{Lu}\p{Ll}+"
 _SECRET_KEY = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
@@ -31,11 +28,12 @@ PATTERNS = {
     "secret": rf"{_SECRET_KEY}[^\s\"',;]{{6,}}+|(?<![0-9A-Za-z])[0-9a-f]{{32,}}+(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:ghp|sk|pk)[_-][A-Za-z0-9]{20,}+",
     "iban": r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])",
+    "ip6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?i:fe80|f[cd][0-9a-f]{2}|[23][0-9a-f]{3})(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)",
     "phone": r"\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"
-    r"|(?<!\d)(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
+    r"|(?<!\d)(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d.,-])0(?:\d{2,4}[ /-]\d{5,8}|\d(?: \d{2}){4})(?![\d.,-]?\d)",
     "name": rf"(?<!\p{{L}}){_TITLE}{_NAME}(?:\s{_NAME})?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -45,6 +43,7 @@ GATES = {
     "email": "@",
     "secret": r"(?i:password|passwd|pwd|secret|token|api[_-]?key)|[0-9a-f]{16}|AKIA[0-9A-Z]|(?<![0-9A-Za-z])(?:ghp|sk|pk)[_-][A-Za-z0-9]{20}",
     "iban": r"[A-Z]{2}\d{2} ?[A-Z0-9]{4}",
+    "ip6": r"[0-9A-Fa-f]{4}:",
     "ip": _DIGITS,
     "ssn": _DIGITS,
     "card": _DIGITS,
@@ -56,15 +55,37 @@ MAYBE = "|".join(dict.fromkeys(g for t in PATTERNS for g in [GATES[t]] if g != _
 GIVEN = {
     ("m", "latin"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Marco Noah Oscar Paul Quentin Robert Simon Tomas Victor Walter".split(),
     ("f", "latin"): "Anna Berta Clara Diana Emma Fiona Greta Helena Irene Julia Karin Laura Maria Nora Olga Paula Rosa Sara Teresa Ursula Vera Wanda".split(),
+    ("m", "greek"): "Αλεξης Βασιλης Γιωργος Δημητρης Ηλιας Θανος Κωστας Λευτερης Μανος Νικος Παυλος Σπυρος Τασος Φωτης".split(),
+    ("f", "greek"): "Αννα Βασω Γεωργια Δεσποινα Ελενη Ζωη Ιωαννα Κατερινα Λενα Μαρια Νικη Ολγα Σοφια Χριστινα".split(),
     ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Леонид Максим Никита Олег Павел Роман Сергей Тимур".split(),
     ("f", "cyrillic"): "Алла Белла Вера Галина Дарья Елена Жанна Зоя Ирина Клара Лидия Мария Нина Ольга Раиса Софья".split(),
 }
 SYLLABLES = {
+    "greek": "βαλ γορ δεν ζαν θαλ καρ λεμ μαρ νικ παν ροδ σιμ ταλ φιλ χαρ".split(),
     "latin": "bal cor den fal gar hol jen kal lor mar nel por ras sol tam vel wes zan ber dun".split(),
     "cyrillic": "бал вор ген дал зор кал лем мар нов пет рад сол тур фед хар".split(),
 }
 
 
+#: Endings of family names: of women, of men, and what they follow.
+ENDINGS = [
+    ("а", "", "(?:ов|ев|ёв|ин|ын)", "ов"),
+    ("ая", "ий", "(?:ск|цк)", "ск"),
+    ("a", "i", "(?:sk|ck)", "sk"),
+    ("ová", "", r"\p{L}\p{L}", ""),
+    ("ου", "ος", r"\p{L}\p{L}", ""),
+    ("η", "ης", r"\p{L}\p{L}", ""),
+    ("α", "ας", r"\p{L}\p{L}", ""),
+]
+#: Letters of scripts, for values that are mapped letter by letter; domains that stand for any other.
+ALPHABETS = {"cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+DOMAINS = {"cyrillic": "пример.испытание", "greek": "παράδειγμα.δοκιμή"}
+
+
+def _is(script: str, c: Column) -> Column:
+    return c.rlike(rf"\p{{Is{script.capitalize()}}}")
+
+
 def _array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -77,8 +98,11 @@ def _typed(m: Column) -> Column:
     return kind
 
 
-def _parts(m: Column) -> Column:
-    """A mention as parts ``before`` (kept), ``value`` and ``type``; a name has a part for each word."""
+def _parts(m: Column, known: Column | None = None) -> Column:
+    """A mention as parts ``before`` (kept), ``value`` and ``type``; a name has a part for each word.
+
+    A name without a title has the type of the part of ``known`` that it equals.
+    """
     part = lambda before, value, kind: F.struct(before.alias("before"), value.alias("value"), kind.alias("type"))
 
     def name(m: Column) -> Column:
@@ -87,9 +111,10 @@ def _parts(m: Column) -> Column:
         gender = F.when(title.rlike(rf"^(?:{_FEMALE})\b"), "f").otherwise("m")
         family = lambda before, value: part(before, value, F.lit("family"))
         given = part(title, F.get(own, 0), F.concat(F.lit("given_"), gender))
-        return F.when(F.size(own) > 1, F.array(given, family(F.lit(" "), F.get(own, 1)))).otherwise(
-            F.array(family(title, F.get(own, 0)))
-        )
+        titled = F.when(F.size(own) > 1, F.array(given, family(F.lit(" "), F.get(own, 1)))).otherwise(F.array(family(title, F.get(own, 0))))
+        if known is None:
+            return titled
+        return F.when(title != "", titled).otherwise(F.array(part(F.lit(""), m, F.get(F.filter(known, lambda x: x["value"] == m), F.lit(0))["type"])))
 
     def by_type(kind: Column) -> Column:
         key = F.when(kind == "secret", F.regexp_extract(m, rf"^({_SECRET_KEY})", 1)).otherwise(F.lit(""))
@@ -99,13 +124,19 @@ def _parts(m: Column) -> Column:
     return let(_typed(m), by_type)
 
 
+def known_names(text: Column) -> Column:
+    """The words of names that the text mentions with a title, as parts."""
+    titled = F.when(text.rlike(_TITLE), F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0)))
+    parts = F.flatten(F.transform(F.coalesce(titled, F.array().cast("array<string>")), lambda m: _parts(m)))
+    return F.array_distinct(F.transform(parts, lambda p: F.struct(p["value"].alias("value"), p["type"].alias("type"))))
+
+
 def mentions(text: Column) -> Column:
     """``parts`` in order, each with the text before it, and the ``tail`` after the last."""
-    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    gaps = F.split(text, PATTERN, -1)
 
-    def lay(gaps: Column) -> Column:
-        own = F.zip_with(F.slice(gaps, 1, F.size(gaps) - 1), found, lambda g, m: F.struct(g.alias("g"), _parts(m).alias("p")))
+    def lay(known: Column, pattern: Column, gaps: Column) -> Column:
+        found = F.regexp_extract_all(text, pattern, F.lit(0))
+        own = F.zip_with(F.slice(gaps, 1, F.size(gaps) - 1), found, lambda g, m: F.struct(g.alias("g"), _parts(m, known).alias("p")))
         flat = F.flatten(
             F.transform(
                 own,
@@ -121,7 +152,26 @@ def mentions(text: Column) -> Column:
         )
         return F.struct(flat.alias("parts"), F.element_at(gaps, -1).alias("tail"))
 
-    return let(gaps, lay)
+    def with_known(known: Column) -> Column:
+        bare = F.concat(F.lit(PATTERN + r"|(?<!\p{L})(?:"), F.array_join(known["value"], "|"), F.lit(r")(?!\p{L})"))
+        pattern = F.when(F.size(known) > 0, bare).otherwise(PATTERN)
+        return let(pattern, lambda p: let(F.split(text, p, -1), lambda gaps: lay(known, p, gaps)))
+
+    return let(known_names(text), with_known)
+
+
+def _family(value: Column) -> Column:
+    """A family name in lower case, as men bear it; Greek without accents."""
+    low = F.lower(value)
+    low = F.when(_is("greek", low), F.translate(low, "άέήίόύώϊϋΐΰ", "αεηιουωιυιυ")).otherwise(low)
+
+    def man(x: Column) -> Column:
+        out = x
+        for woman, of, after, _ in reversed(ENDINGS):
+            out = F.when(x.rlike(rf"{after}{woman}\z"), F.concat(F.left(x, F.length(x) - len(woman)), F.lit(of))).otherwise(out)
+        return out
+
+    return let(low, man)
 
 
 def canonical(kind: Column, value: Column) -> Column:
@@ -130,10 +180,17 @@ def canonical(kind: Column, value: Column) -> Column:
         F.when(kind.isin("phone", "card", "ssn"), digits)
         .when(kind == "iban", F.replace(value, F.lit(" "), F.lit("")))
         .when(kind.isin("secret", "ip"), value)
+        .when(kind == "family", _family(value))
         .otherwise(F.lower(value))
     )
 
 
+def _mod97(text: Column) -> Column:
+    """The remainder of digits and letters (A: 10) read as one number."""
+    step = lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), step)
+
+
 def _luhn(digits: Column) -> Column:
     """Sum of a Luhn test of digits whose last one is the check digit."""
     n = F.length(digits)
@@ -172,17 +229,25 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
 
             def one(c: Column, i: Column) -> Column:
                 new = F.when(c.rlike(r"\p{Nd}"), digit(i + at)).when(
-                    c.rlike(r"\p{L}"), F.when(hexed, alphabet(i + at, F.lit(6))).otherwise(alphabet(i + at, F.lit(26)))
+                    c.rlike(r"\p{L}"),
+                    F.when(hexed, alphabet(i + at, F.lit(6)))
+                    .when(_is("cyrillic", c), F.substr(F.lit(ALPHABETS["cyrillic"]), byte(i + at) % 32 + 1, F.lit(1)))
+                    .when(_is("greek", c), F.substr(F.lit(ALPHABETS["greek"]), byte(i + at) % 24 + 1, F.lit(1)))
+                    .otherwise(alphabet(i + at, F.lit(26))),
                 )
                 return F.coalesce(F.when(c.rlike(r"\p{Lu}"), F.upper(new)).otherwise(new), c)
 
             return F.array_join(F.transform(chars(s), one), "")
 
+        def hexed_groups(s: Column) -> Column:
+            one = lambda c, i: F.when(c == ":", c).otherwise(F.lower(F.hex(byte(i) % 15 + 1)))
+            return F.array_join(F.transform(chars(s), one), "")
+
         def digits(canon: Column) -> Column:
             """The first digit stays; a card number stays valid if it was."""
             n = F.length(canon)
             # short numbers fill their space: those that collide on and on get further digits
-            all_ = n + F.when((kind == "phone") & (attempt > 3), F.least(attempt - 3, F.lit(12))).otherwise(0)
+            all_ = n + F.when((kind == "phone") & (attempt > 3), F.least(attempt - 3, F.lit(12))).when(attempt > 16, F.least(attempt - 16, F.lit(12))).otherwise(0)
             keep = F.when(kind == "ssn", 0).otherwise(1)
             own = F.array_join(
                 F.transform(F.sequence(F.lit(1), all_), lambda i: F.when(i <= keep, F.substr(canon, i, F.lit(1))).otherwise(digit(i))), ""
@@ -224,9 +289,19 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
             mapped(local, F.lit(0)),
             more,
             F.lit("@"),
-            F.array_join(F.concat(sub, F.array(F.lit("example"), F.when(tld.isin("com", "net", "org"), tld).otherwise("com"))), "."),
+            F.array_join(
+                F.concat(
+                    sub,
+                    F.array(
+                        F.when(_is("cyrillic", tld), DOMAINS["cyrillic"])
+                        .when(_is("greek", tld), DOMAINS["greek"])
+                        .otherwise(F.concat(F.lit("example."), F.when(tld.isin("com", "net", "org"), tld).otherwise("com")))
+                    ),
+                ),
+                ".",
+            ),
         )
-        cyrillic = value.rlike(r"\p{IsCyrillic}")
+        by_script = lambda one: F.when(_is("cyrillic", value), one("cyrillic")).when(_is("greek", value), one("greek")).otherwise(one("latin"))
         pick = lambda values, i: F.get(_array(values), byte(i) * 256 + byte(i + 1) - F.floor((byte(i) * 256 + byte(i + 1)) / len(values)).cast("int") * len(values))
 
         def given(gender: str) -> Column:
@@ -234,17 +309,38 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
             own = lambda script: F.array_join(
                 F.transform(F.sequence(F.lit(0), attempt), lambda i: pick(GIVEN[(gender, script)], i * 2)), "-"
             )
-            return F.when(cyrillic, own("cyrillic")).otherwise(own("latin"))
+            return by_script(own)
 
         stem = lambda script: F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.least(3 + attempt, F.lit(6))), lambda i: pick(SYLLABLES[script], i * 2)), ""))
-        family = F.when(cyrillic, stem("cyrillic")).otherwise(stem("latin"))
+        # a name that tells the gender by its ending keeps that: the man's form of the surrogate is one for both
+        low = F.when(_is("greek", value), F.translate(F.lower(value), "άέήίόύώϊϋΐΰ", "αεηιουωιυιυ")).otherwise(F.lower(value))
+        ending = F.lit("")
+        for woman, man, after, before in reversed(ENDINGS):
+            gendered = F.when(low.rlike(rf"{after}{woman}\z"), before + woman)
+            ending = (gendered.when(low.rlike(rf"{after}{man}\z"), before + man) if man or before else gendered).otherwise(ending)
+        family = F.concat(by_script(stem), ending)
+
+        def iban(canon: Column) -> Column:
+            country, own = F.left(canon, F.lit(2)), F.substr(canon, F.lit(5))
+            new = mapped(own, F.lit(0))
+            sound = _mod97(F.concat(own, F.left(canon, F.lit(4)))) == 1
+            check = let(new, lambda n: F.when(sound, F.lpad((98 - _mod97(F.concat(n, country, F.lit("00")))).cast("string"), 2, "0")).otherwise(F.substr(canon, F.lit(3), F.lit(2))))
+            return F.concat(country, check, new)
+
+        def spaced(new: Column) -> Column:
+            bare = lambda i: F.length(F.replace(F.left(value, i + 1), F.lit(" "), F.lit("")))
+            return F.array_join(F.transform(chars(value), lambda c, i: F.when(c == " ", c).otherwise(F.substr(new, bare(i), F.lit(1)))), "")
+
+        # the first group tells the kind of an address
+        ip6 = F.concat(F.regexp_extract(value, "^([0-9A-Fa-f]+:)", 1), hexed_groups(F.regexp_replace(value, "^[0-9A-Fa-f]+:", "")))
         named = F.when(kind == "given_f", given("f")).when(kind == "given_m", given("m")).otherwise(family)
         return (
             F.when(kind.isin("phone", "card", "ssn"), let(digits(canon), fill))
             .when(kind == "ip", ip)
             .when(kind == "email", email)
             .when(kind == "secret", F.concat(mapped(value, F.lit(0)), more))
-            .when(kind == "iban", mapped(value, F.lit(0)))
+            .when(kind == "iban", let(iban(canon), spaced))
+            .when(kind == "ip6", ip6)
             .otherwise(named)
         )
 
@@ -262,7 +358,7 @@ def exceptions(texts: DataFrame, key: str) -> DataFrame:
         .distinct()
         .withColumn("attempt", F.lit(0))
     )
-    for _ in range(ROUNDS):
+    while True:  # surrogates grow with the attempt, so that in the end none collide
         # Compared as they would be recognised again.
         drawn = cut(entities.withColumn("s", canonical(kind, surrogate(kind, canon, F.col("attempt"), key))))
         shared = drawn.groupBy("type", "s").agg(F.min(F.struct("attempt", "canon")).alias("w"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -273,13 +369,10 @@ def exceptions(texts: DataFrame, key: str) -> DataFrame:
         taken = drawn.join(real, ["type", "s"], "left_semi").select("type", "canon")
         bad = cut(losers.unionByName(taken).distinct().withColumn("again", F.lit(1)))
         if not bad.count():
-            break
+            return entities.filter("attempt > 0")
         entities = cut(
             entities.join(bad, ["type", "canon"], "left").select("type", "canon", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
         )
-    else:
-        raise RuntimeError("surrogates still collide")
-    return entities.filter("attempt > 0")
 
 
 def replace(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,37 +384,17 @@ def replace(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     may = F.coalesce(F.col("text").rlike(MAYBE), F.lit(False))
     # Mentions are found once, and written.
-    found = store(rows.filter(may).select("doc_id", mentions(F.col("text")).alias("m")))
+    found = store(rows.filter(may).select("doc_id", mentions(F.col("text")).alias("m"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")))
     again = exceptions(found.select("m"), key)
-    n = again.count()
-    plain = rows.filter(~may).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"))
-    if not n:
-        new = F.transform("m.parts", lambda p: F.concat(p["before"], surrogate(p["type"], p["value"], F.lit(0), key)))
-        done = found.select("doc_id", F.concat(F.array_join(new, ""), "m.tail").alias("text"), F.size("m.parts").cast("long").alias("n_entities"))
-        return plain.unionByName(done)
-    # Some drew again: mentions go to their entity, and back to their row with what stands before them.
-    if n <= SENT_EXCEPTIONS:
-        again = F.broadcast(again)
-    tagged = found.select("doc_id", "m", F.xxhash64("m").alias("h1"), F.xxhash64(F.lit(1), "m").alias("h2"))
-    # Rows that are equal in all stand for one another: ``times`` tells how many they are.
-    own = tagged.groupBy("doc_id", "h1", "h2").agg(F.first("m").alias("m"), F.count(F.lit(1)).alias("times"))
-    part = own.select("doc_id", "h1", "h2", "times", F.col("m.tail").alias("tail"), F.posexplode_outer("m.parts").alias("i", "p"))
-    part = part.withColumns({"type": F.col("p.type"), "canon": canonical(F.col("p.type"), F.col("p.value"))})
-    part = part.join(again, ["type", "canon"], "left")
-    new = F.concat("p.before", surrogate(F.col("type"), F.col("p.value"), F.coalesce("attempt", F.lit(0)), key))
-    back = (
-        part.select("doc_id", "h1", "h2", "times", "tail", "i", new.alias("new"))
-        .groupBy("doc_id", "h1", "h2", "times", "tail")
-        .agg(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "new")))).alias("x"))
-        .select(
-            "doc_id",
-            F.concat(F.array_join(F.transform("x", lambda e: e["new"]), ""), "tail").alias("text"),
-            F.size("x").cast("long").alias("n_entities"),
-            F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy"),
-        )
-        .drop("copy")
-    )
-    return plain.unionByName(back)
+    # Where entities drew again, their places in the texts that mention them: equal texts have them at the same places.
+    part = found.select("h1", "h2", F.posexplode_outer("m.parts").alias("i", "p")).filter("i IS NOT NULL")
+    part = part.withColumns({"type": F.col("p.type"), "canon": canonical(F.col("p.type"), F.col("p.value"))}).join(again, ["type", "canon"])
+    places = store(part.groupBy("h1", "h2").agg(F.map_from_entries(F.collect_set(F.struct("i", "attempt"))).alias("attempts")))
+    done = found.join(places, ["h1", "h2"], "left")  # places are few, and are sent if they are small
+    attempt = lambda i: F.coalesce(F.element_at("attempts", i), F.lit(0))
+    new = F.transform("m.parts", lambda p, i: F.concat(p["before"], surrogate(p["type"], p["value"], attempt(i), key)))
+    done = done.select("doc_id", F.concat(F.array_join(new, ""), "m.tail").alias("text"), F.size("m.parts").cast("long").alias("n_entities"))
+    return rows.filter(~may).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities")).unionByName(done)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
