@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, free, read
+from .common import SPACE, cut, free, read, store
 
 #: Target shares are the observed ones to these powers, normalised: below 1 lifts what is rare.
 POWERS = {"source": 0.5, "lang": 0.6, "topic": 0.8}
@@ -113,23 +113,36 @@ def rake(cells: DataFrame, dims: list[str], *, stalled: int = STALLED, tolerance
 
 
 def rates(dims: DataFrame, names: dict[str, str], powers: dict[str, float], targets: Targets | None, fraction: float, tokens: str) -> DataFrame:
-    """A row for each cell of the dimensions (columns ``names``): ``weight`` and ``probability``."""
+    """A row for each cell of the dimensions (columns ``names``): ``weight``, ``probability`` and ``residual``.
+
+    The residual is the largest relative error that a marginal is left with, the same in all rows.  The table is
+    written, so that its size is known: joins send it where it is small, and shuffle it where it is not.
+    """
     cells = cut(dims.groupBy(*names.values()).agg(F.sum(tokens).alias("n")).select(*[F.col(c).alias(d) for d, c in names.items()], "n"))
     total = cells.agg(F.sum("n")).first()[0]
     if not total:
-        raked = cells.withColumn("w", F.lit(0.0))
+        raked, residual = cells.withColumn("w", F.lit(0.0)), 0.0
     else:
         start = cells.withColumn("w", F.col("n") * F.lit(fraction))
         for d in names:
-            start = start.join(F.broadcast(aims(cells, d, powers[d], (targets or {}).get(d), fraction * total)), d)
-        raked = rake(start, list(names))[0]
+            start = start.join(store(aims(cells, d, powers[d], (targets or {}).get(d), fraction * total)), d)
+        raked, residual = rake(start, list(names))
     rate = F.col("w") / F.col("n")
-    return raked.select(*[F.col(d).alias(c) for d, c in names.items()], (rate / F.lit(fraction)).alias("weight"), F.least(rate, F.lit(1.0)).alias("probability"))
+    return store(
+        raked.select(
+            *[F.col(d).alias(c) for d, c in names.items()], (rate / F.lit(fraction)).alias("weight"), F.least(rate, F.lit(1.0)).alias("probability"), F.lit(residual).alias("residual")
+        )
+    )
+
+
+def draw(id_col: str, content: list[str], seed: int = SEED) -> Column:
+    """A number from 0 to 1 that is the same in every run: by the id of a row, else by its content."""
+    own = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))).otherwise(F.xxhash64(F.lit(~seed), *content))
+    return F.shiftrightunsigned(own, 11) / F.lit(float(1 << 53))
 
 
-def draw(id_col: str = "doc_id", seed: int = SEED) -> Column:
-    """A number from 0 to 1 for a document that is the same in every run."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), 11) / F.lit(float(1 << 53))
+def _content(docs: DataFrame, text_col: str) -> list[str]:
+    return [text_col, *[c for c in ("source", "lang", "topic") if c in docs.columns]]
 
 
 def mix(
@@ -143,19 +156,21 @@ def mix(
     text_col: str = "text",
     topic_of: Callable[[Column], Column] = topic,
 ) -> DataFrame:
-    """Id, dimensions, ``n_tokens``, ``weight``, ``probability`` and ``sampled`` of each document.
+    """Id, dimensions, ``n_tokens``, ``weight``, ``probability``, ``sampled`` and ``residual`` of each document.
 
     ``targets`` gives shares of all tokens by dimension (``source``, ``lang``, ``topic``) and value; what it leaves
     open follows ``powers``.  Null sources and languages are a value of their own; null, empty and wordless texts
-    count one token; rows that share an id are drawn together, rows without id too; an empty table gives an empty
-    result; other columns are not read.
+    count one token; rows that share an id are drawn together, rows without id one by one by what they hold (equal ones
+    together); an empty table gives an empty result; other columns are not read.  ``residual`` tells how far the
+    marginals are from what was aimed at.
     """
     names = {"source": "source", "lang": "lang", "topic": "topic"}
     own = dimensions(docs, text_col, topic_of)
-    dims = cut(docs.select(F.col(id_col).alias("id"), *[c.alias(d) for d, c in own.items()], n_tokens(F.col(text_col)).alias("n_tokens")))
-    out = dims.join(F.broadcast(rates(dims, names, powers, targets, fraction, "n_tokens")), list(names))
+    drawn = draw(id_col, _content(docs, text_col), seed)
+    dims = cut(docs.select(F.col(id_col).alias("id"), *[c.alias(d) for d, c in own.items()], n_tokens(F.col(text_col)).alias("n_tokens"), drawn.alias("drawn")))
+    out = dims.join(rates(dims, names, powers, targets, fraction, "n_tokens"), list(names))
     return out.select(
-        F.col("id").alias(id_col), *names, "n_tokens", "weight", "probability", (draw("id", seed) < F.col("probability")).alias("sampled")
+        F.col("id").alias(id_col), *names, "n_tokens", "weight", "probability", (F.col("drawn") < F.col("probability")).alias("sampled"), "residual"
     )
 
 
@@ -173,11 +188,11 @@ def sample(
     """The sampled rows of ``docs``, all columns as they were, whatever their names; else as :func:`mix`."""
     own = dimensions(docs, text_col, topic_of)
     names = free(docs, *own)
-    tokens, weight, probability = free(docs, "tokens", "weight", "probability").values()
+    tokens, weight, probability, residual = free(docs, "tokens", "weight", "probability", "residual").values()
     dims = docs.withColumns({names[d]: c for d, c in own.items()})
     cells = rates(dims.withColumn(tokens, n_tokens(F.col(text_col))), names, powers, targets, fraction, tokens)
-    cells = cells.withColumnsRenamed({"weight": weight, "probability": probability})
-    return dims.join(F.broadcast(cells), list(names.values())).filter(draw(id_col, seed) < F.col(probability)).select(*docs.columns)
+    cells = cells.withColumnsRenamed({"weight": weight, "probability": probability, "residual": residual})
+    return dims.join(cells, list(names.values())).filter(draw(id_col, _content(docs, text_col), seed) < F.col(probability)).select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

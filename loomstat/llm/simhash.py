@@ -30,10 +30,13 @@ BANDS, ROWS = 24, 5
 MINIMA = 120
 #: Texts are compared if so many minima agree in two bits: at 0.8, by the formula, 1 in 100,000 pairs has fewer.
 AGREE = 84
-#: Rows of a band from which on it may be split over several tasks.
-LEAST_BAND = 500
-#: Bytes of a sketch: two bits for each minimum, in whole words.
-SKETCH = 32
+#: Rows of a band from which on it may be split over several tasks; rows of all bands that one task can have.
+LEAST_BAND, WHOLE = 500, 50_000
+#: Bands by which followers of the very first texts are found before all others meet.
+EARLY = 4
+#: Bytes of a sketch: two bits for each minimum, in whole words; then 32 bits of each band, which tell where two texts meet first.
+BITS = 32
+SKETCH = BITS + 4 * BANDS
 _LOW = np.uint64(0x5555555555555555)
 _XORS = np.random.default_rng(SEED).integers(0, 1 << 63, MINIMA, "u8") * np.uint64(2) + np.uint64(1)
 _FACTORS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, MINIMA, "u8") * np.uint64(2) + np.uint64(1)
@@ -192,7 +195,7 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_i
 
 
 def bands(text: str | None, width: int) -> tuple[np.ndarray, bytes]:
-    """``BANDS`` hashes of ``ROWS`` minima each over the hashed shingles, and two bits of each of ``MINIMA`` minima.
+    """``BANDS`` hashes of ``ROWS`` minima each over the hashed shingles, and their sketch.
 
     Two texts share a hash with probability 1 - (1 - J^ROWS)^BANDS.
     """
@@ -201,24 +204,34 @@ def bands(text: str | None, width: int) -> tuple[np.ndarray, bytes]:
     for i in range(0, len(hs), 1024):
         least = np.minimum(least, ((hs[i : i + 1024, None] ^ _XORS) * _FACTORS).min(axis=0))
     hashes = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least[: BANDS * ROWS].reshape(BANDS, ROWS))]
-    bits = np.zeros(4 * SKETCH, "u1")
+    bits = np.zeros(4 * BITS, "u1")
     bits[: len(least)] = (least >> np.uint64(24)).astype("u1") & 3
     packed = bits[0::4] | bits[1::4] << 2 | bits[2::4] << 4 | bits[3::4] << 6
-    return np.array(hashes, "u8"), packed.tobytes()
+    hashes = np.array(hashes, "u8")
+    return hashes, packed.tobytes() + hashes.astype("<u4").tobytes()
 
 
 def unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether sketches (rows of words) agree in too few minima for a similarity of 0.8."""
-    x = (a ^ b).view("u8")
+    x = (a[: BITS // 8] ^ b[: BITS // 8]).view("u8")
     return np.bitwise_count((x | x >> np.uint64(1)) & _LOW).sum(axis=0) > MINIMA - AGREE
 
 
+def elsewhere(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sketches that meet in the bands ``h`` meet in an earlier band as well, where their pair is given."""
+    x, y = (np.ascontiguousarray(s[BITS // 8 :].T).view("<u4") for s in (a, b))
+    if not len(x):
+        return np.zeros(0, bool)
+    first = (x == y).argmax(axis=1)
+    return x[np.arange(len(x)), first] != (h & 0xFFFFFFFF).astype("u4")
+
+
 def _star(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows ``h``, ``salt``, ``f``, ``k1``, ``k2``, ``sketch``, ``copy``, sorted: each of a shared ``h`` with each of the first ``k`` before it.
 
     Of a band that is split over salts, every salt has copies of the first ``k``, which are compared with but not given
     themselves.  ``j`` numbers the first ones (``a1``, ``a2``); ``late`` rows come after the first ``k``.  Only pairs
-    whose sketches may be near are given.  Each row has one of ``j`` 0, with its sketch and with nulls where there is no pair.
+    whose sketches may be near are given, and in the first band that they share alone.  Each row has one of ``j`` 0, with its sketch and with nulls where there is no pair.
     """
 
     def links(own: np.ndarray, todo: np.ndarray, rank: np.ndarray, heads: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -228,6 +241,8 @@ def _star(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
                 break
             head = heads[np.minimum(first[some] + j, len(heads) - 1)]
             none = (rank[some] == 0) | unlike(own[6:, some], own[6:, head])
+            near = np.flatnonzero(~none)
+            none[near] = elsewhere(own[0, some[near]], own[6:, some[near]], own[6:, head[near]])
             if j:
                 some, head, none = some[~none], head[~none], none[~none]
             cols = [own[0, some], *own[2:5, some], *[pa.array(x, mask=none) for x in own[3:5, head]], rank[some] >= k, np.full(len(some), j, "i4")]
@@ -264,18 +279,21 @@ def _star(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
 
 def _dealt(left: DataFrame, k: int, parts: int) -> DataFrame:
     """Rows of bands with a ``salt``: bands of many rows are split, and each salt gets copies of the band's first ``k`` rows."""
-    n = left.count()
-    limit = max(LEAST_BAND, n // (8 * parts))
-    sizes = left.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
-    hot = store(sizes.select("h", F.ceil(F.col("n") / limit).cast("int").alias("salts")))  # of known size: sent if small
-    rows = left.join(hot, "h", "left").withColumn("copy", F.lit(0))
-    order = Window.partitionBy("h").orderBy("f", "k1", "k2")
-    heads = left.join(hot, "h").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k)  # each task keeps k rows of a band
-    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("copy", F.lit(1))
     cols = ["h", "salt", "f", "k1", "k2", "copy", "sketch"]
-    rows = rows.withColumn("salt", F.coalesce(F.pmod("k1", F.col("salts").cast("long")), F.lit(0)).cast("int")).select(*cols)
-    dealt = rows.unionByName(heads.select(*cols)).repartition(parts, "h", "salt")
-    return dealt.sortWithinPartitions("h", "salt", "f", "k1", "k2", F.desc("copy"))
+    rows = left.withColumns({"salt": F.lit(0), "copy": F.lit(0)}).select(*cols)
+    n = left.count()
+    if n > WHOLE:  # else one task can have them all
+        limit = max(LEAST_BAND, n // (8 * parts))
+        sizes = left.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+        hot = store(sizes.select("h", F.ceil(F.col("n") / limit).cast("int").alias("salts")))  # of known size: sent if small
+        if not hot.isEmpty():
+            salt = F.coalesce(F.pmod("k1", F.col("salts").cast("long")), F.lit(0)).cast("int")
+            rows = left.join(hot, "h", "left").withColumns({"salt": salt, "copy": F.lit(0)}).select(*cols)
+            order = Window.partitionBy("h").orderBy("f", "k1", "k2")
+            heads = left.join(hot, "h").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k)  # each task keeps k rows of a band
+            heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("copy", F.lit(1))
+            rows = rows.unionByName(heads.select(*cols))
+    return rows.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt", "f", "k1", "k2", F.desc("copy"))
 
 
 def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,8 +303,8 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
     more with one that stays before it.  Texts that share a band are compared by their shingles.  Of rows that share
     an id and near-equal texts one stays; rows without id come last.  Null counts as an empty text.
 
-    Each round compares the texts of a band with its first ones; a band of many texts is split over tasks, and its first
-    texts are sent to each.  A text that is among the first in all of its bands
+    First, what is near a text that is the first in all of its bands goes, as a few bands tell.  Then each round compares
+    the texts of a band with its first ones; a band of many texts is split over tasks, and its first texts are sent to each.  A text that is among the first in all of its bands
     and near none before it stays, and those near it go; the others meet again, with more first ones.
     """
     names, own = docs.columns, ["k1", "k2"]
@@ -311,31 +329,50 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
     texts = rows.mapInArrow(banded, "hs array<long>, sketch binary, doc long, k1 long, k2 long")
     texts = cut(texts.groupBy(*own).agg(F.min("doc").alias("_first"), F.first("hs").alias("hs"), F.first("sketch").alias("sketch")))
     left = texts.select(F.explode("hs").alias("h"), F.col("_first").alias("f"), *own, "sketch")
-    k, bodies, gone = 1, None, None
-    while True:
-        met = _dealt(left, k, parts).mapInArrow(
-            _star(k), "h long, f long, k1 long, k2 long, a1 long, a2 long, late boolean, j int, sketch binary"
-        )
-        met = cut(met)
-        if met.isEmpty():
-            break
+    bodies, gone = None, None
+
+    def closest(met: DataFrame) -> DataFrame:
+        """The pairs of ``met`` that are near by their shingles."""
+        nonlocal bodies
         pairs = met.filter("a1 IS NOT NULL").select(*own, "a1", "a2").distinct()
         if bodies is None:
             # Only texts that meet others travel, one of each: its first row, so that copies of a text go to many tasks.
             wanted = cut(met.select(F.col("f").alias("doc"), *own).distinct())
-            bodies = cut(rows.join(wanted, [*own, "doc"]).dropDuplicates([*own, "doc"]).select(*own, "_text"))
-        heads = bodies.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("_text").alias("_head_text"))
-        pairs = pairs.join(bodies, own).join(heads, ["a1", "a2"]).select(*own, "a1", "a2", "_text", "_head_text")
-        close = cut(pairs.mapInArrow(near, "k1 long, k2 long, a1 long, a2 long"))
+            here = cut(rows.join(wanted, [*own, "doc"]).dropDuplicates([*own, "doc"]).select(*own, "_text"))
+        else:
+            here = bodies
+        bodies = here if met is not early else None
+        heads = here.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("_text").alias("_head_text"))
+        pairs = pairs.join(here, own).join(heads, ["a1", "a2"]).select(*own, "a1", "a2", "_text", "_head_text")
+        return cut(pairs.mapInArrow(near, "k1 long, k2 long, a1 long, a2 long"))
+
+    # A text that is the first in all of its bands stays, whatever else there is.  In a large group of copies that is its
+    # first one, and a few bands are enough to find most of the others, which then need no further look.
+    met_schema = "h long, f long, k1 long, k2 long, a1 long, a2 long, late boolean, j int, sketch binary"
+    some = texts.select(F.explode(F.slice("hs", 1, EARLY)).alias("h"), F.col("_first").alias("f"), *own, "sketch")
+    early = cut(_dealt(some, 1, parts).mapInArrow(_star(1), met_schema))
+    close = closest(early)
+    heads = close.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).distinct()
+    theirs = texts.join(heads, own, "left_semi").select(F.explode("hs").alias("h"), *own)
+    leaders = left.groupBy("h").agg(F.min(F.struct("f", *own)).alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    late = theirs.join(leaders, "h").filter((F.col("leader.k1") != F.col("k1")) | (F.col("leader.k2") != F.col("k2")))
+    sure = heads.join(late, own, "left_anti").select(F.col("k1").alias("a1"), F.col("k2").alias("a2"))
+    gone = cut(close.join(sure, ["a1", "a2"], "left_semi").select(*own).distinct())
+    left = left.join(gone, own, "left_anti")
+    k = 1
+    while True:
+        met = cut(_dealt(left, k, parts).mapInArrow(_star(k), met_schema))
+        if met.isEmpty():
+            break
+        close = closest(met)
         stay = met.groupBy(*own).agg(F.max("late").alias("late")).filter("NOT late").join(close, own, "left_anti")
         stay = cut(stay.select(F.col("k1").alias("a1"), F.col("k2").alias("a2")))
         go = cut(close.join(stay, ["a1", "a2"], "left_semi").select(*own).distinct())
         settled = go.unionByName(stay.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")))
         left = met.filter("j = 0").join(settled, own, "left_anti").select("h", "f", *own, "sketch")
-        gone = go if gone is None else gone.unionByName(go)
-        k *= 4
-    if gone is not None:
-        texts = texts.join(gone, own, "left_anti")
+        gone = gone.unionByName(go)
+        k *= 16
+    texts = texts.join(gone, own, "left_anti")
     texts = texts.select(F.col("_first").alias(first), *[F.col(o).alias(n) for n, o in zip(key, own)])
     kept = tagged.join(texts, [*key, first])
     # Equal rows: one stays.

@@ -508,12 +508,12 @@ def test_star_streams_groups_over_batches():
     rnd = random.Random(9)
     rows = sorted((rnd.choice([1, 2, 2, 2, 3, 5, 9]) * 7 + rnd.randint(0, 1), i, i, -i) for i in range(300))
     sketch = bytes(simhash.SKETCH)
-    names = ["h", "f", "k1", "k2", "sketch"]
+    names = ["h", "salt", "f", "k1", "k2", "copy", "sketch"]
     for k in (1, 4):
         outs = []
         for size in (1, 3, 50, 300):
             parts = [rows[i : i + size] for i in range(0, 300, size)]
-            made = simhash._star(k)(pa.RecordBatch.from_arrays([*[pa.array(c, "int64") for c in zip(*p, strict=True)], pa.array([sketch] * len(p), "binary")], names) for p in parts)
+            made = simhash._star(k)(pa.RecordBatch.from_arrays([*[pa.array(c, "int64") for c in zip(*[(r[0], 0, *r[1:], 0) for r in p], strict=True)], pa.array([sketch] * len(p), "binary")], names) for p in parts)
             outs.append(sorted(repr(r) for b in made for r in b.to_pylist()))
         assert all(o == outs[-1] for o in outs)
         groups = Counter(r[0] for r in rows)

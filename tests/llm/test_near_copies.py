@@ -10,6 +10,7 @@ MET = "h long, f long, k1 long, k2 long, a1 long, a2 long, late boolean, j int,
 
 def met(spark, rows, k, least, monkeypatch):
     monkeypatch.setattr(simhash, "LEAST_BAND", least)
+    monkeypatch.setattr(simhash, "WHOLE", 0)
     df = spark.createDataFrame(rows, LEFT)
     return [tuple(r) for r in simhash._dealt(df, k, 4).mapInArrow(simhash._star(k), MET).collect()]
 
@@ -33,6 +34,7 @@ def test_five_thousand_unlike_texts_in_one_band(spark, monkeypatch):
 
 def test_a_third_are_near_copies(spark, monkeypatch):
     monkeypatch.setattr(simhash, "LEAST_BAND", 10)
+    monkeypatch.setattr(simhash, "WHOLE", 0)
     words = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(words) + f" tail{i}") for i in range(300)] + [(1000 + i, " ".join(f"u{i}x{j}" for j in range(30))) for i in range(100)]
     left = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
