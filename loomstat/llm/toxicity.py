@@ -131,7 +131,7 @@ def _counted(make):
 
 def _candidates(text: str | None) -> set[str]:
     ws = set(fold(text).split())
-    return {w + " " for w in ws if 2 <= len(w) <= 40} | {w[:n] for w in ws for n in PREFIXES if len(w) >= n}
+    return {w + " " for w in ws if len(w) >= 2} | {w[:n] for w in ws for n in PREFIXES if len(w) >= n}
 
 
 def _g2(t: int, c: int, n_t: int, n_c: int) -> float:
