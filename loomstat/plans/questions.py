@@ -13,14 +13,14 @@ from ..functions import dims
 from ..functions.columns import BLANKS, strip
 from ..functions.dims import TOPICS, values
 from ..operators import parsing, validation
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 _TOPIC_NAMES = [t[0] for t in TOPICS]
 
 
 def questions(docs: DataFrame) -> DataFrame:
     """``id``, ``topic``, ``question_text``, ``options`` and ``answer``; one in ten has unlabelled options."""
-    own = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
+    own = spread(docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text"))
     bare = F.transform(F.slice(F.split(F.coalesce("text", F.lit("")), r"\. ", -1), 1, 4), strip)
     opts = F.when(F.pmod("id", F.lit(10)) == 3, bare).otherwise(F.transform(bare, lambda x, i: F.concat(F.char(i + 65), F.lit(") "), x)))
     return own.select(

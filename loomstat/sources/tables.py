@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where its files make fewer parts than there are cores; other inputs stay as they lie.
+
+    Files of one row group are one task, however long their rows take; a large input has parts enough and is never moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_settings(spark: SparkSession, path: str, defaults: dict[str, str]) -> DataFrame:
     """One row of settings; keys that the JSON document lacks, or holds empty, have their default."""
     schema = ", ".join(f"`{k}` string" for k in defaults)
