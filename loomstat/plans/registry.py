@@ -208,6 +208,7 @@ FROM t"""
 QUERIES["jsonl_repair"] = _jsonl_repair
 ORACLES["jsonl_repair"] = _jsonl_repair_sql()
 
+from . import expected as _expected  # noqa: E402
 from . import operations as _operations  # noqa: E402
 from . import questions as _questions  # noqa: E402
 from . import records as _records  # noqa: E402
@@ -215,3 +216,4 @@ from . import records as _records  # noqa: E402
 for _module in (_questions, _records, _operations):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
+ORACLES |= _expected.ORACLES
