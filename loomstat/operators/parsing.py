@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import all_of, let, strings, strip
+from ..functions.columns import all_of, let, strip
 
 _S = r"[ \t\n\r\f\x0b]"
 _OPTION = r"[A-D][).:]"

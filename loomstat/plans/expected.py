@@ -43,6 +43,11 @@ _ADVICE = " ".join(f"WHEN {_quoted(k)} THEN {_quoted('; '.join(v))}" for k, v in
 _THEMES = {theme: category for theme, category in CATEGORIES}
 _BY_API = ", ".join(_quoted(a) for a in dict.fromkeys(m[1] for m in METERED))
 
+_CATALOG = (
+    "(VALUES "
+    + ", ".join(f"({i}, {_quoted(t)}, {_quoted(d)}, {_quoted(_THEMES.get(theme, 'Other'))}, {str(bool(hl)).lower()}, {str(theme == 'O').lower()})" for i, (t, d, theme, hl) in enumerate(TOPICS))
+    + ") v(ord, topic, display, category, hl, optional)"
+)
 ORACLES: dict[str, str] = {
     "topic_analysis": f"""WITH {_EVENTS_SQL}, {_ERRORS_SQL},
 c AS (SELECT t.topic, error_type, count(*) AS n, min(ts) AS since FROM err JOIN topics t ON t.ord = user_id % 29 GROUP BY ALL),
@@ -84,12 +89,12 @@ SELECT a.api_type, s.slot, count(u.slot)::BIGINT AS requests FROM a CROSS JOIN s
 SELECT api_type, round(rest::DOUBLE, 8) AS remaining, rest >= 0.01 AS can_afford FROM r""",
     "cleanup_counts": f"WITH t AS (SELECT {_SINCE(_NOW, '7 DAY')} AS live FROM events) SELECT 'gen_metrics' AS log, (SELECT count(*) FROM t WHERE NOT live)::BIGINT AS removed, (SELECT count(*) FROM t WHERE live)::BIGINT AS kept",
     "recovery_suggestions": f"WITH {_ERRORS_SQL} SELECT id, error_type, CASE error_type {_ADVICE} ELSE {_quoted('; '.join(RECOVERY_DEFAULT))} END AS advice FROM err WHERE {_DAY}",
-    "topic_catalog": "SELECT * FROM (VALUES "
-    + ", ".join(f"({_quoted(t)}, {_quoted(d)}, {_quoted(_THEMES.get(theme, 'Other'))}, {str(bool(hl)).lower()})" for t, d, theme, hl in TOPICS)
-    + ") v(topic, display, category, hl)",
-    "option_topics_filter": "SELECT * FROM (VALUES "
-    + ", ".join(f"({_quoted(t)}, '{q}')" for t, _, theme, _ in TOPICS for q in ("multiple-choice", "long-answer") if theme != "O" or q == "long-answer")
-    + ") v(topic, question_type)",
+    "topic_catalog": f"SELECT event_id AS id, topic, display, category, hl FROM events JOIN {_CATALOG} ON ord = user_id % 29",
+    "option_topics_filter": f"""SELECT event_id AS id, topic, 'long-answer' AS question_type FROM events JOIN {_CATALOG} ON ord = user_id % 29 WHERE event_id % 2 = 1
+UNION ALL SELECT event_id, topic, 'multiple-choice' FROM events JOIN {_CATALOG} ON ord = user_id % 29 WHERE event_id % 2 = 0 AND NOT optional""",
+    "backoff_delay": """WITH a AS (SELECT e.event_id AS id, count(o.event_id)::INTEGER AS attempt FROM events e JOIN events o ON o.user_id = e.user_id AND o.ts::DATE = e.ts::DATE AND (o.ts, o.event_id) <= (e.ts, e.event_id) AND o.event_type = 'error'
+  WHERE e.event_type = 'error' GROUP BY 1)
+SELECT id, attempt, CASE WHEN attempt > 4 THEN 30000 ELSE 1000 * (1 << attempt) END::BIGINT AS model_ms, CASE WHEN attempt > 4 THEN 10000 ELSE 500 * (1 << attempt) END::BIGINT AS refine_ms, coalesce([1000, 2000, 5000][attempt], 10000)::INTEGER AS table_ms FROM a""",
     "mask_secret": "SELECT doc_id, CASE WHEN source = '' THEN '' ELSE '****' || CASE WHEN length(source) > 4 THEN source[-4:] ELSE '' END END AS masked FROM documents",
     "truncate_text": "SELECT doc_id, text[1:300] || CASE WHEN text[301:] <> '' THEN '...' ELSE '' END AS preview FROM documents",
 }

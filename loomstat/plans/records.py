@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
-from ..functions.columns import hits, let, strings, told
-from ..functions.dims import ENVIRONMENTS, LEGACY_TOPICS, LIMITS, METERED, MODEL_SETTINGS, OPERATION_COSTS, TOPICS, values
+from ..functions.columns import hits, let, strings
+from ..functions.dims import LIMITS, METERED, OPERATION_COSTS, TOPICS, values
 from ..operators import parsing, providers, records, trailing, validation
 from ..sources.tables import table
 from . import questions as Q
-from .questions import _BLANKS, _TOPICS_SQL, _W, QUESTIONS_SQL, _joined, _list
+from .questions import _BLANKS, _TOPICS_SQL, _W, QUESTIONS_SQL, _joined
 
 _LIMIT_COLUMNS = "profile string, api_type string, rpm int, rpd int, tpm long, tpd long, token_cost string, day_cost string"
 _US = 1_000_000
@@ -207,12 +207,6 @@ def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("id", "x.valid", F.col("x.error").alias("error"), "x.topic", "x.difficulty", "x.type")
 
 
-def legacy_topic_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [*LEGACY_TOPICS, "Mechanics", "ELECTRICITY", "unknown"]
-    dim = F.create_map(*[F.lit(x) for kv in LEGACY_TOPICS.items() for x in kv])
-    return spark.createDataFrame([(n,) for n in names], "alias string").select("alias", F.coalesce(dim[F.lower("alias")], F.lit("kinematics")).alias("topic"))
-
-
 def error_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = F.get(strings(["llama", "openrouter", "refinement", "validation", ""]), (F.col("event_id") % 5).cast("int"))
     message = F.get(strings(["request timeout", "quota reached", "rate limit", "socket closed", "401 Unauthorized", "API key not valid"]), (F.col("user_id") % 6).cast("int"))
@@ -262,19 +256,6 @@ def json_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", parsing.json_tail(F.concat(head, body)).alias("tail"))
 
 
-def prompt_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prompt of a topic, what a stored record of it looks like, and what the prompt's own rules find."""
-    rows = spark.createDataFrame([(t, d) for t, d, _, _ in TOPICS], "topic string, display string")
-    row = lambda out: F.to_json(F.struct(F.lit("Generate an IB Physics Paper 1 style multiple-choice question.").alias("instruction"), F.concat(F.lit("Topic: "), "display").alias("input"), F.lit(out).alias("output")))
-    p = rows.select("topic", row("").alias("prompt"), row("What?").alias("record"))
-    n = F.length("prompt")
-    return p.select("topic", "prompt", "record", _joined(told(
-        (~F.col("prompt").contains("TOPIC:"), F.lit("Missing topic specification")), (~F.col("prompt").contains("DIFFICULTY:"), F.lit("Missing difficulty level")),
-        (~F.col("prompt").contains("FORMAT YOUR RESPONSE"), F.lit("Missing format instructions")), (n < 200, F.lit("Prompt too short - may lack sufficient context")),
-        (n > 2000, F.lit("Prompt too long - may exceed model context limits")),
-    )).alias("errors"))
-
-
 def text_download(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text and the file name that a question is saved under."""
     q = validation.with_topics(Q.questions(table(spark, sf_dir, "documents")))
@@ -306,56 +287,6 @@ def generate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- settings and limits ----------------------------------------------------------------------------------------
 
 
-def config_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    limits = _limits(spark)
-    price, most = F.col("token_cost").cast("double"), F.col("day_cost").cast("double")
-    rules = told(
-        (F.col("rpm") <= 0, F.lit("requestsPerMinute must be positive")), (F.col("rpd") <= 0, F.lit("requestsPerDay must be positive")),
-        (F.col("tpm") <= 0, F.lit("tokensPerMinute must be positive")), (F.col("tpd") <= 0, F.lit("tokensPerDay must be positive")),
-        (price < 0, F.lit("costPerToken cannot be negative")), (most <= 0, F.lit("maxDailyCost must be positive")),
-        (F.col("rpm") * 1440 < F.col("rpd"), F.lit("requestsPerDay exceeds theoretical maximum based on requestsPerMinute")),
-        (F.col("tpm") * 1440 < F.col("tpd"), F.lit("tokensPerDay exceeds theoretical maximum based on tokensPerMinute")),
-    )
-    return limits.select("profile", "api_type", (F.size(rules) == 0).alias("valid"), _joined(rules).alias("errors"))
-
-
-def model_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings by environment, replaced by those of the model where it has its own, with what their rules say."""
-    env = spark.createDataFrame(ENVIRONMENTS, "environment string, retries int, timeout_ms int, temperature double, max_tokens int")
-    ids = spark.createDataFrame([(f"owner/{m}",) for m, *_ in MODEL_SETTINGS] + [("other-model",)], "model_id string")
-    own = records.model_settings(ids).withColumnsRenamed({"temperature": "t2", "max_tokens": "m2"})
-    both = env.crossJoin(own)  # three environments by three models
-    t, m, p = F.coalesce("t2", "temperature"), F.coalesce("m2", "max_tokens"), F.coalesce("top_p", F.lit(0.9))
-    ok = F.col("retries").between(1, 10) & F.col("timeout_ms").between(5000, 120000) & t.between(0, 2) & m.between(100, 2000) & p.between(0.1, 1.0)
-    return both.select("environment", "model_id", F.col("retries").cast("long").alias("retries"), t.alias("temperature"), m.cast("long").alias("max_tokens"), p.alias("top_p"), ok.alias("valid"))
-
-
-def env_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Limits of the profile that an environment names, with numbers from its variables where they are numbers."""
-    env = [("production", "default", "15", "7.5"), ("test", "testing", "", "abc"), ("development", "development", None, "0"), ("other", "default", "9", None)]
-    names = spark.createDataFrame(env, "environment string, fallback string, rpm_var string, cost_var string")
-    profile = F.when(F.col("environment") == "production", "production").when(F.col("environment") == "development", "development").when(F.col("environment") == "test", "testing").otherwise("default")
-    own = names.withColumn("profile", profile).join(F.broadcast(_limits(spark)), "profile")
-    rpm, cost = F.expr("try_cast(nullif(rpm_var, '') AS INT)"), F.expr("try_cast(nullif(cost_var, '') AS DOUBLE)")
-    return own.select("environment", "profile", "api_type", F.coalesce(rpm, "rpm").cast("long").alias("rpm"), F.coalesce(cost, F.col("day_cost").cast("double")).alias("day_cost"))
-
-
-def usage_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Limits by usage pattern: those of a profile, merged with the pattern's own daily costs."""
-    own = [("light", "development", "0.25"), ("medium", "default", "1.50"), ("heavy", "production", "7.50")]
-    p = spark.createDataFrame(own, "pattern string, profile string, hf string").join(F.broadcast(_limits(spark)), "profile")
-    cols = records.merged({"day_cost": F.col("day_cost")}, {"day_cost": F.when(F.col("api_type") == "huggingface", F.col("hf"))})
-    return p.select("pattern", "api_type", F.col("rpm").cast("long").alias("rpm"), F.col("rpd").cast("long").alias("rpd"), cols["day_cost"].cast("double").alias("day_cost"))
-
-
-def monthly_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cost of a month of 100 questions a day (400 and 450 tokens each) against thirty daily budgets."""
-    tokens = F.when(F.col("api_type") == "openrouter", 400).otherwise(450) * 100 * 30
-    own = _limits(spark).select("profile", "api_type", (tokens * F.col("token_cost").cast("decimal(10,7)")).alias("cost"), (F.col("day_cost").cast("decimal(10,2)") * 30).alias("budget"))
-    by = own.groupBy("profile").agg(*[F.sum(F.when(F.col("api_type") == a, F.col("cost"))).alias(a) for a in ("openrouter", "huggingface")], F.sum("cost").alias("total"), F.sum("budget").alias("budget"))
-    return by.select("profile", *[F.col(c).cast("double").alias(c) for c in ("openrouter", "huggingface", "total")], (F.col("total") <= F.col("budget")).alias("within_budget"))
-
-
 def cost_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimated against real cost, by operation of the log (static estimates by kind of operation)."""
     dim = spark.createDataFrame(OPERATION_COSTS, "kind string, estimate string")
@@ -492,7 +423,6 @@ FROM q LEFT JOIN n ON q.topic = n.topic LEFT JOIN bank b ON b.topic = q.topic AN
     "request_validation": f"""WITH {QUESTIONS_SQL} SELECT id, id % 9 IN (0, 1, 6, 7) AS valid, CASE id % 9 WHEN 2 THEN 'Difficulty must be "standard" or "higher"' WHEN 3 THEN 'Type must be "multiple-choice" or "long-answer"' WHEN 4 THEN 'Topic is required' WHEN 5 THEN 'Invalid topic. Must be one of: ' || (SELECT string_agg(topic, ', ' ORDER BY ord) FROM topics) WHEN 8 THEN 'Invalid request body' END AS error,
   CASE id % 9 WHEN 0 THEN topic WHEN 1 THEN topic WHEN 6 THEN CASE id % 4 WHEN 1 THEN 'wave-model' WHEN 2 THEN 'thermal-energy-transfers' ELSE 'kinematics' END WHEN 7 THEN 'kinematics' END AS topic,
   CASE id % 9 WHEN 0 THEN 'standard' WHEN 1 THEN 'higher' WHEN 6 THEN 'standard' WHEN 7 THEN 'standard' END AS difficulty, CASE id % 9 WHEN 0 THEN 'multiple-choice' WHEN 1 THEN 'long-answer' WHEN 6 THEN 'multiple-choice' WHEN 7 THEN 'long-answer' END AS type FROM q""",
-    "legacy_topic_map": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{t}')" for a, t in [*LEGACY_TOPICS.items(), ("Mechanics", "kinematics"), ("ELECTRICITY", "current-circuits"), ("unknown", "kinematics")]) + ") v(alias, topic)",
     "error_normalisation": """WITH e AS (SELECT event_id AS id, ['llama', 'openrouter', 'refinement', 'validation', ''][event_id % 5 + 1] AS stage, CASE WHEN event_id % 7 <> 0 THEN ['request timeout', 'quota reached', 'rate limit', 'socket closed', '401 Unauthorized', 'API key not valid'][user_id % 6 + 1] END AS m FROM events)
 SELECT id, CASE WHEN stage IN ('openrouter', 'refinement') THEN 'openrouter_failure' WHEN stage = 'validation' THEN 'validation_failure' WHEN m IN ('quota reached', 'rate limit') THEN 'api_limit' ELSE 'llama_failure' END AS error_type,
   'Generation failed at ' || stage || ': ' || coalesce(m, 'Unknown error') AS text, NOT (stage IN ('llama', '') AND coalesce(m IN ('quota reached', 'rate limit'), false)) AS retryable, coalesce(m IN ('401 Unauthorized', 'API key not valid'), false) AS abort FROM e""",
@@ -502,23 +432,11 @@ SELECT id, CASE WHEN stage IN ('openrouter', 'refinement') THEN 'openrouter_fail
     "json_envelope": "SELECT doc_id, text AS content FROM documents WHERE doc_id IS NOT NULL AND coalesce(text, '') <> '' UNION ALL SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '{\"results\":[{\"text\":\"\"}]}' WHEN 1 THEN '{\"generated_text\":\"\"}' WHEN 2 THEN '{\"output\":[{\"text\":\"\"}]}' WHEN 3 THEN '{\"output\":[{\"generated_text\":\"\"}]}' WHEN 4 THEN '{\"data\":[{\"text\":\"\"}]}' END FROM documents WHERE doc_id IS NOT NULL AND coalesce(text, '') = ''",
     "json_tail": f"""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{{}}', '()') AS t FROM documents WHERE doc_id IS NOT NULL)
 SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CASE WHEN trim(t, {_BLANKS}) = '' THEN NULL ELSE trim(t, {_BLANKS}) END WHEN 1 THEN 'inner' WHEN 2 THEN trim(t, {_BLANKS}) ELSE t END AS tail FROM d""",
-    "prompt_json": f"""WITH t(topic, display) AS (VALUES {_THREE}), p AS (SELECT topic, '{{"instruction":"Generate an IB Physics Paper 1 style multiple-choice question.","input":"Topic: ' || display || '","output":"' AS h FROM t)
-SELECT topic, h || '"}}' AS prompt, h || 'What?"}}' AS record, 'Missing topic specification|Missing difficulty level|Missing format instructions|Prompt too short - may lack sufficient context' AS errors FROM p""",
     "text_download": f"""WITH {QUESTIONS_SQL} SELECT id, md5('Topic: ' || topic || chr(10) || chr(10) || 'Question: ' || t || chr(10) || chr(10) || 'Options:' || chr(10) || array_to_string(list_transform(o, lambda x, i: chr(64 + i::INT) || ') ' || x || chr(10)), '')
   || chr(10) || 'Correct Answer: ' || answer || chr(10) || chr(10)) AS text_md5, 'physics-question-' || replace(lower(display), ' ', '-') || '.txt' AS file, array_to_string(list_transform(string_split(topic, '-'), lambda x: upper(x[1]) || x[2:]), ' ') AS title FROM q""",
     "telemetry_export": f"""WITH {USAGE_SQL}, newest AS (SELECT string_agg(event_id, ',' ORDER BY ts, event_id) AS x FROM (SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 10))
 SELECT '{{"generations":{{"n":' || (SELECT count(*) FROM events) || ',"ok":' || (SELECT count(*) FROM events WHERE event_type <> 'error') || '}},"costs":{{"tokens":' || sum(tokens) || ',"cost":"' || sum(cost)::DECIMAL(18, 6) || '"}},"newest":"' || (SELECT x FROM newest) || '"}}' AS document FROM use""",
     "generate_batch": f"WITH {QUESTIONS_SQL} SELECT id, 'ok' AS status, 'offline' AS provider, 1::BIGINT AS attempts, 'What is central to ' || display || '?' AS question_text, 'B' AS answer, CASE WHEN contains(display, 'zzz') THEN 1.0 ELSE 0.8 END AS confidence FROM q",
-    "config_check": f"""WITH l(profile, api_type, rpm, rpd, tpm, tpd, token_cost, day_cost) AS ({values(LIMITS)})
-SELECT profile, api_type, day_cost::DOUBLE > 0 AND rpm * 1440 >= rpd AND tpm * 1440 >= tpd AS valid, array_to_string({_list(("rpm <= 0", "'requestsPerMinute must be positive'"), ("rpd <= 0", "'requestsPerDay must be positive'"), ("tpm <= 0", "'tokensPerMinute must be positive'"), ("tpd <= 0", "'tokensPerDay must be positive'"), ("token_cost::DOUBLE < 0", "'costPerToken cannot be negative'"), ("day_cost::DOUBLE <= 0", "'maxDailyCost must be positive'"), ("rpd > rpm * 1440", "'requestsPerDay exceeds theoretical maximum based on requestsPerMinute'"), ("tpd > tpm * 1440", "'tokensPerDay exceeds theoretical maximum based on tokensPerMinute'"))}, '|') AS errors FROM l""",
-    "model_config": """SELECT environment, model_id, retries::BIGINT AS retries, coalesce(t2, temperature)::DOUBLE AS temperature, coalesce(m2, max_tokens)::BIGINT AS max_tokens, coalesce(p2, 0.9)::DOUBLE AS top_p, true AS valid
-FROM (VALUES ('development', 2, 0.8, 500), ('production', 3, 0.7, 500), ('testing', 1, 0.5, 200)) e(environment, retries, temperature, max_tokens), (VALUES ('owner/ib-physics-question-generator', 0.7, 500, 0.9), ('owner/ib-physics-question-generator-v2', 0.6, 600, 0.85), ('other-model', NULL, NULL, NULL)) m(model_id, t2, m2, p2)""",
-    "env_config": f"""WITH l(profile, api_type, rpm, rpd, tpm, tpd, token_cost, day_cost) AS ({values(LIMITS)}), e(environment, profile, r, c) AS (VALUES ('production', 'production', 15, 7.5), ('test', 'testing', NULL, NULL), ('development', 'development', NULL, 0), ('other', 'default', 9, NULL))
-SELECT environment, e.profile, api_type, coalesce(r, rpm)::BIGINT AS rpm, coalesce(c::DOUBLE, day_cost::DOUBLE) AS day_cost FROM e JOIN l ON e.profile = l.profile""",
-    "usage_patterns": f"""WITH l(profile, api_type, rpm, rpd, tpm, tpd, token_cost, day_cost) AS ({values(LIMITS)})
-SELECT CASE profile WHEN 'development' THEN 'light' WHEN 'default' THEN 'medium' ELSE 'heavy' END AS pattern, api_type, rpm::BIGINT AS rpm, rpd::BIGINT AS rpd, CASE WHEN api_type = 'openrouter' THEN 0 WHEN profile = 'development' THEN 0.25 WHEN profile = 'default' THEN 1.5 ELSE 7.5 END::DOUBLE AS day_cost FROM l WHERE profile <> 'testing'""",
-    "monthly_projection": f"""WITH l(profile, api_type, rpm, rpd, tpm, tpd, token_cost, day_cost) AS ({values(LIMITS)}), c AS (SELECT profile, api_type, CASE api_type WHEN 'openrouter' THEN 1200000 ELSE 1350000 END * token_cost::DECIMAL(10, 7) AS cost, 30 * day_cost::DECIMAL(10, 2) AS budget FROM l)
-SELECT profile, max(cost) FILTER (WHERE api_type = 'openrouter')::DOUBLE AS openrouter, max(cost) FILTER (WHERE api_type = 'huggingface')::DOUBLE AS huggingface, sum(cost)::DOUBLE AS total, sum(cost) <= sum(budget) AS within_budget FROM c GROUP BY profile""",
     "cost_estimates": f"""WITH {USAGE_SQL}, k AS (SELECT CASE operation WHEN 'purchase' THEN 'batchGeneration' WHEN 'view' THEN 'validation' ELSE 'questionGeneration' END AS kind, cost FROM use)
 SELECT kind, count(*)::BIGINT AS n, round(sum(cost)::DOUBLE, 8) AS cost, round(count(*) * CASE kind WHEN 'batchGeneration' THEN 0.0008 WHEN 'validation' THEN 0.00002 ELSE 0.0001 END, 8)::DOUBLE AS estimated FROM k GROUP BY kind""",
     "settings_merge": "SELECT event_id AS id, 'litUrl=http://' || event_type || ';llamaModelId=' || user_id || ';theme=dark' AS settings FROM events",

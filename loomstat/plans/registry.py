@@ -1,7 +1,6 @@
-"""Named queries as declarative SQL over views of the driver's tables; Catalyst plans them.
+"""Named queries as declarative SQL over the tables; Catalyst plans them.
 
-Each query is written once in the common subset of Spark SQL and ANSI SQL.  ``{{dialect}}`` marks (``[[...]]``) name
-the few functions whose names or arguments differ.  "Now" is the latest event.
+"Now" is the latest event.  Marks (``[[...]]``) stand for what is long to write.  Expected SQL is in ``expected``.
 """
 
 from __future__ import annotations
@@ -11,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.dims import CATEGORIES, ERROR_TYPES, LIMITS, METERED, PLACEHOLDER_OPTIONS, RECOVERY, RECOVERY_DEFAULT, TOPICS, values
 from ..sources.tables import TABLES, table
 
-_SPARK = {"rx": "regexp_like", "g": "", "split": "split", "num": "try_cast", "len": "size", "k": "get_json_object(props, '$.k')"}
-_OTHER = {"rx": "regexp_matches", "g": ", 'g'", "split": "string_split", "num": "try_cast", "len": "len", "k": "json_extract_string(props, '$.k')"}
+_MARKS = {"k": "get_json_object(props, '$.k')", "sec": "unix_seconds_exact"}
 
 
 def _dialect(sql: str, words: dict[str, str]) -> str:
@@ -49,13 +47,6 @@ WITH = {
 }
 
 
-def _flat(sql: str) -> str:
-    """``[[flat]](x)``: line breaks as spaces."""
-    import re
-
-    return re.sub(r"\[\[flat\]\]\((\w+)\)", r"replace(\1, chr(10), ' ')", sql)
-
-
 def _needs(sql: str) -> list[str]:
     """Names of common tables that a text uses, in the order they build on one another."""
     import re
@@ -74,7 +65,7 @@ def _needs(sql: str) -> list[str]:
 
 def _whole(sql: str) -> str:
     parts = [f"{n}({WITH[n][0]}) AS ({WITH[n][1]})" for n in _needs(sql)]
-    return _flat(("WITH " + ",\n".join(parts) + "\n" if parts else "") + sql)
+    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + sql
 
 
 def _last(interval: str) -> str:
@@ -138,22 +129,21 @@ FROM limits l LEFT JOIN (SELECT api_type, {_N} AS n, CAST(sum(tokens) AS BIGINT)
     "usage_stats": f"SELECT api_type, {_N} AS requests, CAST(sum(tokens) AS BIGINT) AS tokens, round(CAST(sum(cost) AS DOUBLE), 8) AS cost, round(CAST(sum(tokens) AS DOUBLE) / count(*), 6) AS avg_tokens FROM usage_records WHERE {_last(DAY)} GROUP BY api_type",
     "usage_hourly_slots": f"""SELECT a.api_type, a.h AS slot, coalesce(n, 0) AS requests FROM (SELECT DISTINCT api_type, h FROM limits JOIN spine ON true) a
 LEFT JOIN (SELECT api_type, slot, {_N} AS n FROM (SELECT api_type, 23 - CAST(floor((unix_ - ts_) / 3600.0) AS INT) AS slot FROM (SELECT api_type, [[sec]](ts) AS ts_, [[sec]]((SELECT as_of FROM now)) AS unix_ FROM usage_records WHERE {_last(DAY)}) x) y WHERE slot >= 0 GROUP BY api_type, slot) u ON a.api_type = u.api_type AND a.h = u.slot""",
-    "backoff_delay": "SELECT h + 1 AS attempt, CAST(least(2000 * power(2, h), 30000) AS BIGINT) AS model_ms, CAST(least(1000 * power(2, h), 10000) AS BIGINT) AS refine_ms, CASE h WHEN 0 THEN 1000 WHEN 1 THEN 2000 WHEN 2 THEN 5000 ELSE 10000 END AS table_ms FROM spine WHERE h < 10",
+    "backoff_delay": "SELECT id, h AS attempt, CAST(least(2000 * power(2, h - 1), 30000) AS BIGINT) AS model_ms, CAST(least(1000 * power(2, h - 1), 10000) AS BIGINT) AS refine_ms, CASE h WHEN 1 THEN 1000 WHEN 2 THEN 2000 WHEN 3 THEN 5000 ELSE 10000 END AS table_ms"
+    " FROM (SELECT event_id AS id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS h FROM events WHERE event_type = 'error') x",
     "affordability": f"SELECT l.api_type, round(CAST(CAST(day_cost AS DECIMAL(12, 4)) - coalesce(cost, 0) AS DOUBLE), 8) AS remaining, CAST('0.01' AS DECIMAL(12, 4)) <= CAST(day_cost AS DECIMAL(12, 4)) - coalesce(cost, 0) AS can_afford FROM limits l LEFT JOIN (SELECT api_type, CAST(sum(cost) AS DECIMAL(20, 10)) AS cost FROM usage_records WHERE {_last(DAY)} GROUP BY api_type) u ON l.api_type = u.api_type WHERE profile = 'testing'",
     "cleanup_counts": f"SELECT 'gen_metrics' AS log, CAST(count(CASE WHEN NOT ({_last("'7' DAY")}) THEN 1 END) AS BIGINT) AS removed, CAST(count(CASE WHEN {_last("'7' DAY")} THEN 1 END) AS BIGINT) AS kept FROM gen_metrics",
     "recovery_suggestions": f"SELECT e.id, e.error_type, coalesce(advice, '{"; ".join(RECOVERY_DEFAULT)}') AS advice FROM error_metrics e LEFT JOIN recovery r ON e.error_type = r.error_type WHERE {_last(DAY)}",
-    "topic_catalog": "SELECT topic, display, coalesce(category, 'Other') AS category, hl FROM topic_dim t LEFT JOIN categories c ON t.theme = c.theme",
-    "option_topics_filter": "SELECT topic, q AS question_type FROM topic_dim JOIN (VALUES ('multiple-choice'), ('long-answer')) v(q) ON NOT (q = 'multiple-choice' AND theme = 'O')",
+    "topic_catalog": "SELECT event_id AS id, topic, display, coalesce(category, 'Other') AS category, hl FROM events JOIN topic_dim t ON ord = user_id % 29 LEFT JOIN categories c ON t.theme = c.theme",
+    "option_topics_filter": "SELECT event_id AS id, topic, CASE WHEN event_id % 2 = 0 THEN 'multiple-choice' ELSE 'long-answer' END AS question_type FROM events JOIN topic_dim ON ord = user_id % 29 WHERE NOT (event_id % 2 = 0 AND theme = 'O')",
     "mask_secret": "SELECT doc_id, CASE WHEN source = '' THEN '' WHEN length(source) <= 4 THEN '****' ELSE concat('****', right(source, 4)) END AS masked FROM documents",
     "truncate_text": "SELECT doc_id, CASE WHEN length(text) > 300 THEN concat(left(text, 300), '...') ELSE text END AS preview FROM documents",
 }
-_SPARK["sec"], _OTHER["sec"] = "unix_seconds_exact", "epoch"
-
 
 def _spark_sql(sql: str) -> str:
     import re
 
-    text = _dialect(_whole(sql), _SPARK)
+    text = _dialect(_whole(sql), _MARKS)
     # seconds with their fraction; the tables' timestamps have no zone
     return re.sub(r"unix_seconds_exact\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)", r"(unix_micros(CAST(\1 AS TIMESTAMP)) / 1000000.0)", text)
 
@@ -174,7 +164,7 @@ def _query(name: str):
 
 
 QUERIES = {name: _query(name) for name in SQL}
-ORACLES: dict[str, str] = {name: _dialect(_whole(sql), _OTHER) for name, sql in SQL.items()}
+ORACLES: dict[str, str] = {}
 
 
 def _jsonl_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,8 +202,9 @@ from . import expected as _expected  # noqa: E402
 from . import operations as _operations  # noqa: E402
 from . import questions as _questions  # noqa: E402
 from . import records as _records  # noqa: E402
+from . import settings as _settings  # noqa: E402
 
-for _module in (_questions, _records, _operations):
+for _module in (_questions, _records, _operations, _settings):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
 ORACLES |= _expected.ORACLES

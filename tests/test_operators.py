@@ -3,7 +3,7 @@ import json
 import pytest
 
 from loomstat.operators.jsonl import repair
-from loomstat.operators import parsing, providers, records, trailing, validation
+from loomstat.operators import parsing, providers, records, validation
 from loomstat.sources import tables
 from loomstat.streaming import streams
 
