@@ -20,6 +20,8 @@ STOP_WORDS = (
 #: EM stops after this many rounds, or when no parameter moves by more than TOLERANCE.
 ROUNDS, TOLERANCE = 25, 1e-4
 SMOOTHING = 1.0
+#: A word of letters alone, with what may stand around it.
+PLAIN = r"^[(\"'«¿¡]*\p{L}[\p{L}\p{M}'’-]*[.,;:!?)\"'»]*\z"
 KEEP_AT = 0.5
 
 
@@ -60,7 +62,8 @@ def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
             F.size(ws).cast("long").alias("n_words"),
             n_repeat_words(ws).alias("n_repeat_words"),
             F.size(F.filter(ws, lambda w: w.isin(STOP_WORDS))).cast("long").alias("n_stop"),
-            F.size(F.filter(ws, lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_alpha"),
+            F.size(F.filter(ws, lambda w: w.rlike(PLAIN))).cast("long").alias("n_plain"),
+            F.size(F.filter(ws, lambda w, i: w == F.get(ws, i - 1))).cast("long").alias("n_same"),
             F.size(F.filter(ws, lambda w: w.rlike(r"\p{Lu}\p{Lu}"))).cast("long").alias("n_upper"),
         ),
     )
@@ -72,6 +75,7 @@ def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
             line.alias("_l"),
             F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
             count(SYMBOLS).alias("n_symbols"),
+            F.length(F.regexp_replace(text, r"\P{L}+", "")).cast("long").alias("n_letters"),
         )
         .select(
             id_col,
@@ -81,31 +85,36 @@ def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
             (F.col("_l.n") - F.col("_l.d")).cast("long").alias("n_dup_lines"),
             "_w.n_repeat_words",
             "_w.n_stop",
-            "_w.n_alpha",
+            "_w.n_plain",
+            "_w.n_same",
             "_w.n_upper",
+            "n_letters",
             F.col("_l.n").cast("long").alias("n_lines"),
         )
     )
 
 
 def votes() -> dict[str, Column]:
-    """The rules: 1 for good, -1 for bad, 0 to abstain."""
+    """The rules: 1 for good, -1 for bad, 0 to abstain.  What every text has says nothing good of it, so some only find fault."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     share = lambda c: F.col(c) / n
 
-    def rule(good: Column, bad: Column) -> Column:
-        return F.when(bad, -1).when(good, 1).otherwise(0)
+    def rule(good: Column | None, bad: Column) -> Column:
+        return F.when(bad, -1).when(F.lit(False) if good is None else good, 1).otherwise(0)
 
     mean = F.col("word_chars") / n
+    letters = F.col("n_letters") / F.greatest(F.col("word_chars"), F.lit(1))
     return {
         "length": rule(n >= 60, n < 30),
-        "word_length": rule(mean.between(3, 10), (mean < 2) | (mean > 15)),
+        "word_length": rule(None, (mean < 2) | (mean > 15)),
         "symbols": rule(F.col("n_symbols") <= 0.02 * n, F.col("n_symbols") > 0.1 * n),
-        "repeats": rule(share("n_repeat_words") <= 0.05, share("n_repeat_words") > 0.2),
-        "dup_lines": rule(F.col("n_dup_lines") == 0, F.col("n_dup_lines") > 0.3 * F.col("n_lines")),
-        "stop_words": rule(share("n_stop") >= 0.06, (share("n_stop") < 0.02)),
-        "alphabetic": rule(share("n_alpha") >= 0.9, share("n_alpha") < 0.7),
-        "upper_case": rule(share("n_upper") <= 0.1, share("n_upper") > 0.4),
+        "repeats": rule(None, share("n_repeat_words") > 0.2),
+        "dup_lines": rule(None, F.col("n_dup_lines") > 0.3 * F.col("n_lines")),
+        "stop_words": rule(share("n_stop") >= 0.06, share("n_stop") < 0.02),
+        "plain_words": rule(share("n_plain") >= 0.9, share("n_plain") < 0.7),
+        "upper_case": rule(None, share("n_upper") > 0.4),
+        "letters": rule(letters >= 0.9, letters < 0.8),
+        "same_words": rule(None, share("n_same") > 0.2),
     }
 
 
@@ -113,7 +122,7 @@ Model = tuple[float, dict[str, dict[int, tuple[float, float]]]]
 
 
 def posterior(model: Model) -> Column:
-    """Probability of good quality given the votes, from P(vote | good) and P(vote | bad) of each rule."""
+    """Probability of good quality given the votes, from P(vote | good) and P(vote | bad) of each rule, abstaining being a third vote."""
     prior, rules = model
     odds = F.lit(math.log(prior / (1 - prior)))
     for name, by in rules.items():
@@ -145,13 +154,11 @@ def fit(voted: DataFrame) -> Model:
         rules = {}
         for x in names:
             by = {}
-            for kind in "gb":
-                cast = s[f"{kind}1_{x}"] + s[f"{kind}-1_{x}"] + 2 * SMOOTHING
-                # A rule is never believed to point the wrong way: its right vote keeps half the weight at least.
-                right = (s[f"{kind}{1 if kind == 'g' else -1}_{x}"] + SMOOTHING) / cast
-                right = min(max(right, 0.5), 0.98)
-                by[kind] = {1: right, -1: 1 - right} if kind == "g" else {1: 1 - right, -1: right}
-            rules[x] = {v: (by["g"][v], by["b"][v]) for v in (-1, 1)}
+            for v in (-1, 1):
+                good, bad = ((s[f"{kind}{v}_{x}"] + SMOOTHING) / (s[of] + 3 * SMOOTHING) for kind, of in (("g", "good"), ("b", "bad")))
+                # A rule is never believed to point the wrong way.
+                by[v] = (good, min(good, bad)) if v == 1 else (min(good, bad), bad)
+            rules[x] = by
         last, model = model, (prior, rules)
         if last and _moved(last, model) < TOLERANCE:
             break

@@ -97,9 +97,10 @@ def test_quality_em_matches_numpy(spark, docs):
     last = None
     for _ in range(quality.ROUNDS):
         prior = (q.sum() + 1) / (len(q) + 2)
-        right = lambda m, w: np.clip(((w[:, None] * (v == m)).sum(0) + 1) / ((w[:, None] * (v != 0)).sum(0) + 2), 0.5, 0.98)
-        g, b = right(1, q), right(-1, 1 - q)
-        odds = np.log(prior / (1 - prior)) + ((v == 1) * np.log(g / (1 - b)) + (v == -1) * np.log((1 - g) / b)).sum(1)
+        share = lambda m, w: ((w[:, None] * (v == m)).sum(0) + 1) / (w.sum() + 3)
+        g, b = share(1, q), share(-1, 1 - q)
+        wrong_b, wrong_g = np.minimum(share(1, 1 - q), g), np.minimum(share(-1, q), b)
+        odds = np.log(prior / (1 - prior)) + ((v == 1) * np.log(g / wrong_b) + (v == -1) * np.log(wrong_g / b)).sum(1)
         now = np.concatenate([[prior], g, b])
         q = 1 / (1 + np.exp(-odds))
         if last is not None and np.abs(now - last).max() < quality.TOLERANCE:
@@ -108,6 +109,15 @@ def test_quality_em_matches_numpy(spark, docs):
     assert np.allclose(q, [r["quality"] for r in rows if not r["base_failed"]], atol=1e-3)
 
 
+def test_quality_against_labels(spark):
+    """Of bad documents that pass the base filter a quarter stay at most, of good ones all but a few."""
+    at = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{at}/labels.parquet").withColumnRenamed("quality", "label")
+    rows = quality.op3_quality_rules(spark, at).select("doc_id", "kept", "base_failed").join(labels, "doc_id").filter("NOT base_failed").select("kept", "label").collect()
+    bad, good = ([k for k, label in rows if label == x] for x in (0, 1))
+    assert len(bad) > 20 and sum(bad) <= len(bad) / 4 and sum(good) >= 0.99 * len(good)
+
+
 def test_line_dedup_hot_line_over_partitions(spark, edge, empty):
     rows = [(i, f"the common line\nown line of {i}\n The COMMON line ") for i in range(400)]
     df = spark.createDataFrame(rows, SCHEMA)
