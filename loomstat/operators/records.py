@@ -184,3 +184,32 @@ def luminance(r: Column, g: Column, b: Column) -> Column:
 def contrast(one: Column, two: Column) -> Column:
     """Contrast ratio of two luminances."""
     return (F.greatest(one, two) + 0.05) / (F.least(one, two) + 0.05)
+
+
+_SHOWN = "questionText string, options array<string>, correctAnswer string"
+_BODY = f"success boolean, question string, formatted struct<question:string,options:array<string>,correct:double>, {_SHOWN}"
+
+
+def shown_question(body: Column) -> Column:
+    """Struct of question_text, options and correct_answer that a client shows of an answer's body; null where there is no text.
+
+    The question lies under ``question`` if the answer succeeded, if it is nested once more or if nothing tells of success;
+    else the body is the question itself.  A ``formatted`` part that comes with it goes before what the question says.
+    """
+
+    def show(x: Column) -> Column:
+        nested = F.coalesce(F.get_json_object(x["question"], "$.question"), F.lit("")) != ""
+        inside = x["question"].isNotNull() & (F.coalesce(x["success"], F.lit(True)) | nested)
+        own = F.when(inside, F.from_json(x["question"], _SHOWN)).otherwise(F.struct(x["questionText"].alias("questionText"), x["options"].alias("options"), x["correctAnswer"].alias("correctAnswer")))
+        form = F.when(inside, x["formatted"])
+        lettered = F.transform(form["options"], lambda o, i: F.concat(F.char(i + 65), F.lit(") "), o))
+
+        def with_form(own: Column) -> Column:
+            text = F.coalesce(F.nullif(form["question"], F.lit("")), own["questionText"])
+            options = F.when(F.size(form["options"]) > 0, lettered).otherwise(own["options"])
+            answer = F.coalesce(F.char(form["correct"].cast("int") + 65), own["correctAnswer"])
+            return F.when(F.coalesce(text, F.lit("")) != "", F.struct(text.alias("question_text"), options.alias("options"), answer.alias("correct_answer")))
+
+        return let(own, with_form)
+
+    return let(F.from_json(body, _BODY), show)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import strings
 from ..functions.dims import ENVIRONMENTS, MODEL_SETTINGS
-from ..operators import queueing, trailing
+from ..operators import queueing, records, trailing
 from ..sources import sinks
 from ..sources.tables import table
 from .records import _ERRORS_SQL, _EVENTS_SQL, _US, USAGE_SQL, _errors, _topics_of_events, _usage
@@ -191,6 +191,25 @@ def services_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(doc.alias("document"))
 
 
+def response_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a client shows of answers in six shapes, whose question is the text of a document."""
+    d = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("t"))
+    q = F.struct(F.col("t").alias("questionText"), strings(["a", "b"]).alias("options"), F.lit("C").alias("correctAnswer"))
+    said = lambda **kv: F.to_json(F.struct(*[v.alias(k) for k, v in kv.items()]))
+    form = F.struct(F.lit("F").alias("question"), strings(["x", "y"]).alias("options"), F.lit(1).alias("correct"))
+    k = F.pmod("id", F.lit(6))
+    body = (
+        F.when(k == 0, said(success=F.lit(True), question=q, formatted=form))
+        .when(k == 1, said(success=F.lit(True), question=q))
+        .when(k == 2, said(success=F.lit(False), question=F.struct(F.lit("n").alias("question"), F.col("t").alias("questionText")), formatted=F.struct(F.lit(2).alias("correct"))))
+        .when(k == 3, said(question=q))
+        .when(k == 4, said(success=F.lit(False), question=q))
+        .otherwise(said(questionText=F.col("t"), options=strings(["p"]), correctAnswer=F.lit("A")))
+    )
+    r = d.select("id", records.shown_question(body).alias("x"))
+    return r.select("id", F.md5(F.col("x.question_text").cast("binary")).alias("question_md5"), F.array_join("x.options", "|").alias("options"), "x.correct_answer")
+
+
 # --- exports ----------------------------------------------------------------------------------------------------
 
 _ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
@@ -329,6 +348,9 @@ a AS (SELECT count(*) FILTER (WHERE user_id % 2 = 0) AS o, count(*) FILTER (WHER
 m AS (SELECT count(*) AS n, count(*) FILTER (WHERE success) AS ok, coalesce(sum(ms) FILTER (WHERE success), 0) AS ms FROM ev)
 SELECT '{{"llamaService":{{"modelId":"{MODEL_SETTINGS[0][0]}","requests":' || h || '}},"refinementService":' || CASE WHEN o > 0 THEN '{{"provider":"openrouter","status":"configured"' ELSE '{{"provider":"none","status":"not_configured"' END
   || ',"requests":' || o || '}},"config":{{"maxRetries":3,"timeoutMs":60000}},"metrics":{{"totalGenerations":' || n || ',"successes":' || ok || ',"totalMs":' || ms || ',"errorsByType":{{' || errors || '}}}}}}' AS document FROM m, a, j""",
+    "response_view": """WITH d AS (SELECT doc_id AS id, doc_id % 6 AS k, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL)
+SELECT id, CASE WHEN k = 0 THEN md5('F') WHEN k = 4 OR t = '' THEN NULL ELSE md5(t) END AS question_md5, CASE WHEN k = 0 THEN 'A) x|B) y' WHEN k IN (1, 3) AND t <> '' THEN 'a|b' WHEN k = 5 AND t <> '' THEN 'p' END AS options,
+  CASE WHEN k = 0 THEN 'B' WHEN k = 4 OR t = '' THEN NULL WHEN k = 5 THEN 'A' ELSE 'C' END AS correct_answer FROM d""",
     "csv_export": f"""WITH {_EVENTS_SQL} SELECT -1 AS line_no, 'timestamp,topic,success,processingTime' AS line
 UNION ALL SELECT id, {_ISO_SQL("ts")} || ',' || topic || ',' || CASE WHEN success THEN 'true' ELSE 'false' END || ',' || ms FROM ev""",
     "cost_csv_export": f"""WITH {USAGE_SQL} SELECT -1 AS line_no, 'timestamp,apiType,operation,tokens,cost,metadata' AS line
