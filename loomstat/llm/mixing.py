@@ -92,13 +92,15 @@ def rake(cells: DataFrame, dims: list[str], *, stalled: int = STALLED, tolerance
     ``cells`` has the dimensions, ``n``, a start ``w`` and the aims ``t_``.  A step scales the cells of a value to its
     aim, each to ``n`` at most; sweeps go on until every aim is met, or until the error has not fallen by a thousandth
     in ``stalled`` sweeps, which tells aims that empty or full combinations put out of reach.  Sums are windows over
-    the cells, never joins with their own aggregate, so a plan grows with the sweeps of a job alone.
+    the cells, never joins with their own aggregate, so a plan grows with the sweeps of a job alone.  Cells that one task
+    can have are one part, and no window shuffles them.
     """
     parts = max(1, -(-cells.count() // CELLS_A_TASK))
-    cells = cut(cells.coalesce(parts))  # one part needs no shuffle for any window
+    cells = cut(cells.coalesce(parts))
     best, since, nearest = float("inf"), 0, cells
     while True:
-        out, rest = cells, [c for c in cells.columns if c != "w"]
+        # told anew, as a written table does not say that it is one part
+        out, rest = cells.coalesce(1) if parts == 1 else cells, [c for c in cells.columns if c != "w"]
         for _ in range(SWEEPS):
             for d in dims:
                 scaled = F.col("w") * F.col(f"t_{d}") / F.sum("w").over(Window.partitionBy(d))
