@@ -69,3 +69,27 @@ def test_backoff_rules(spark):
     wait, jitter = operations.backoff(F.col("kind"), F.col("status"), F.col("hint"), F.col("status").cast("string"))
     got = spark.createDataFrame(rows, "kind string, status int, hint int").select(wait.alias("w"), jitter.alias("j")).collect()
     assert [r["w"] for r in got] == [7000, 5000, 5000, 60000, 10000, 1000] and all(0 <= r["j"] < 1000 for r in got) and got[0]["j"] == got[2]["j"]
+
+
+def test_calls_have_a_limit_and_go_side_by_side(spark):
+    import time
+
+    from loomstat.operators import providers
+
+    def stuck(prompt):
+        import time
+
+        time.sleep(30)
+
+    def slow(prompt):
+        import time
+
+        time.sleep(0.3)
+        return "a long enough answer"
+
+    df = spark.createDataFrame([(i, "p") for i in range(8)], "id long, prompt string")
+    began = time.time()
+    got = providers.generate(df, [("stuck", stuck), ("slow", slow)], partitions=2, concurrency=4, retries=1, seconds=1.5).collect()
+    assert {(r["status"], r["provider"], r["attempts"]) for r in got} == {("ok", "slow", 2)} and len(got) == 8
+    assert time.time() - began < 25
+    assert {r["status"] for r in providers.generate(df, [("stuck", stuck)], concurrency=8, retries=1, seconds=0.2).collect()} == {"timeout"}
