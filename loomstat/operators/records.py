@@ -12,6 +12,8 @@ from ..functions.dims import FALLBACK_OPTIONS, FALLBACKS, LEGACY_TOPICS, MODEL_S
 ALLOWED = ("litUrl", "litToken", "litProxyUrl", "huggingfaceApiKey", "googleApiKey", "openRouterApiKey", "llamaModelId", "refinementProvider", "useOwnerCredits")
 _TOPIC_IDS = [t[0] for t in TOPICS]
 
+# The messages, codes and texts of solutions in this module.
+
 
 def truthy(x: Column) -> Column:
     """Present and not empty."""

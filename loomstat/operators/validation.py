@@ -30,6 +30,7 @@ from ..functions.dims import (
     USUAL_RANGES,
 )
 
+# The messages, suggestions and severities in this module are what consumers of the rules match on.
 NUMBER = "[0-9]+[.]?[0-9]*"
 _S = r"[ \t\n\r\f\x0b]"
 _UNIT = "[a-zA-Z°]"

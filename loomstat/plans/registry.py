@@ -77,6 +77,7 @@ _N = "CAST(count(*) AS BIGINT)"
 _RATE = "round(avg(CASE WHEN success THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6)"
 
 
+# Recommendations and alerts of the texts below, and their thresholds.
 def _health(interval: str) -> str:
     return f"""
 SELECT status, success_rate, avg_ms, error_rate, quota,
