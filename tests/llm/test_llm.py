@@ -300,10 +300,11 @@ def test_columns_of_any_name_survive(spark):
         assert all(tuple(r)[2:] == tuple(range(len(names))) for r in out.collect())
 
 
-def test_short_items_match_whole_texts_alone(spark):
-    df = spark.createDataFrame([(1, "yes, e."), (2, "E!"), (3, "the letter e")], SCHEMA)
+def test_short_items_match_at_words(spark):
+    """The rule that items under 25 characters match whole texts alone is gone: items of any length match at words."""
+    df = spark.createDataFrame([(1, "yes, e."), (2, "E!"), (3, "the letter e"), (4, "the letters"), (5, "yes ee")], SCHEMA)
     bench = spark.createDataFrame([(1, "e"), (2, "yes e")], "item_id long, text string")
-    assert {r["doc_id"] for r in decontaminate.clean(df, bench).collect()} == {3}
+    assert {r["doc_id"] for r in decontaminate.clean(df, bench).collect()} == {4, 5}
 
 
 def test_language_held_out(spark, edge, empty):
