@@ -28,6 +28,8 @@ SLOTS = 1 << 22
 BIN, BINS_A_PARTITION, MOST_BINS = 250_000, 4, 16
 #: Bytes of text that are held as words at once (more only for a piece that is longer), and words that a task counts before it sends them.
 CHUNK, VOCABULARY = 4 << 20, 300_000
+#: Chunks of all languages together, and languages whose words are numbered, that a task holds.
+HELD_CHUNKS, MOST_LANGS = 4, 200
 UNKNOWN = "und"
 #: Pieces end at these; blanks part words.  After the translation a break is a line feed and a blank a space.
 _TABLE = bytearray(range(256))
@@ -63,6 +65,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes
                 at = end + 1
                 if size[lang] > CHUNK:
                     yield lang, tokens(lang)
+                elif size.total() > HELD_CHUNKS * CHUNK:  # many languages
+                    most = max(size, key=size.get)
+                    yield most, tokens(most)
     for lang in list(held):
         yield lang, tokens(lang)
 
@@ -82,6 +87,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen.setdefault(lang, Counter()).update(words)
         if len(seen[lang]) > VOCABULARY:
             yield flush(lang)
+        while sum(map(len, seen.values())) > 3 * VOCABULARY:
+            yield flush(max(seen, key=lambda x: len(seen[x])))
     for lang in list(seen):
         yield flush(lang)
 
@@ -98,9 +105,9 @@ class _Words:
         self.sketch, self.n = sketch, 2
         # Spark's xxhash64 chains columns: the hash of the language is the seed of the word's
         self.seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-        self.f = np.zeros(1 << 16, "u4")
-        self.h = np.zeros(1 << 16, "u8")
-        self.text = np.empty(1 << 16, object)
+        self.f = np.zeros(1 << 12, "u4")
+        self.h = np.zeros(1 << 12, "u8")
+        self.text = np.empty(1 << 12, object)
         self.text[:2] = b""
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
@@ -173,8 +180,10 @@ def _route(sketch, n_bins: int, a_bin: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, _Words] = {}
         for lang, words in _chunks(batches):
+            if sum(x.n for x in known.values()) > 4 * VOCABULARY or len(known) > MOST_LANGS:
+                known.clear()
             w = known.get(lang)
-            if w is None or w.n > 4 * VOCABULARY:
+            if w is None:
                 w = known[lang] = _Words(sketch.value, lang)
             out: list[list] = [[] for _ in range(7)]
             for bin_, split, stream, left, right, weight in _fragments(w, words, n_bins, a_bin):

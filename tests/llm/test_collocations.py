@@ -90,3 +90,20 @@ def test_defined_cases(spark):
     got = rows_of(collocations.collocations(spark.createDataFrame(rows, SCHEMA)))
     assert got == naive(rows, 30, 2000, 80) and {r[0] for r in got} == {"und"}
     assert not collocations.collocations(spark.createDataFrame([], SCHEMA)).collect()
+
+
+def test_many_languages(monkeypatch):
+    """More languages than a task holds at once: what it holds is bounded, what it counts is the same."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(collocations, "CHUNK", 400)
+    monkeypatch.setattr(collocations, "VOCABULARY", 50)
+    rng = random.Random(8)
+    rows = [(f"l{rng.randrange(40)}", " ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(40)))) for _ in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["lang", "text"])
+    got = Counter()
+    for out in collocations._count_words([batch]):
+        assert out.num_rows <= 200
+        for lang, word, n in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            got[lang, word] += n
+    assert got == Counter((lang, w) for lang, text in rows for w in text.split())
