@@ -45,19 +45,20 @@ def paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     state = nodes.join(parents, (F.col("t") == F.col("bt")) & (F.col("p") == F.col("bv")), "left")
     state = cut(state.select("t", "v", F.col("bv").alias("up"), F.col("s").alias("sum"), F.lit(1).cast("long").alias("len")))
     leaves = state.select("t", "v").join(state.select("t", F.col("up").alias("v")), ["t", "v"], "left_anti")
-    done, left, levels, last = state.filter("up IS NULL"), state.filter("up IS NOT NULL"), [], -1
+    levels, last = [], -1
     while True:
+        left = state.filter("up IS NOT NULL")
         n = left.count()
         if n in (0, last):  # all are at a root; or what is left goes round in rings, else the nearest ones had ended
             break
         levels.append(left.select("t", "v", "up"))
         last = n
-        above = left.unionByName(done).select(*[F.col(c).alias(f"b{c}") for c in state.columns])
+        above = state.select(*[F.col(c).alias(f"b{c}") for c in state.columns])
         # rows that are at a root go no further
         far = left.join(above, (F.col("t") == F.col("bt")) & (F.col("up") == F.col("bv")))
-        far = cut(far.select("t", "v", F.col("bup").alias("up"), *[(F.col(c) + F.col(f"b{c}")).alias(c) for c in ("sum", "len")]))
-        done, left = done.unionByName(far.filter("up IS NULL")), far.filter("up IS NOT NULL")
-    ends = done.join(leaves, ["t", "v"], "left_semi")
+        far = far.select("t", "v", F.col("bup").alias("up"), *[(F.col(c) + F.col(f"b{c}")).alias(c) for c in ("sum", "len")])
+        state = cut(state.filter("up IS NULL").unionByName(far))
+    ends = state.filter("up IS NULL").join(leaves, ["t", "v"], "left_semi")
     ends = ends.select("t", F.col("v").alias("leaf"), "v", (F.col("len") - 1).alias("pos"), (F.col("sum") / F.col("len")).alias("score"))
     best = Window.partitionBy("t").orderBy(F.desc("score"), F.desc("pos"), "leaf")
     marks = cut(ends.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= keep))
