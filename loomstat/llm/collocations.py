@@ -341,8 +341,8 @@ WITH d AS (SELECT coalesce(lang, 'und') AS lang, doc_id, translate(coalesce(text
 p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
 q AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
 g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM q, (VALUES (1), (2), (3), (4)) t(m) WHERE len(w) >= m),
-f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL),
-o AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, a FROM f WHERE a >= 30),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL),
+o AS MATERIALIZED (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, a FROM f WHERE a >= 30),
 n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY 1),
 c AS (SELECT o.*, t.k FROM o, (VALUES (1), (2), (3)) t(k) WHERE t.k < o.m),
 s AS (SELECT c.lang, c.phrase, c.m, c.a, c.k, x.a AS l, y.a AS r, ((2000000::HUGEINT * c.a) // (x.a::HUGEINT + y.a))::BIGINT AS score FROM c
