@@ -341,18 +341,15 @@ WITH d AS (SELECT coalesce(lang, 'und') AS lang, doc_id, translate(coalesce(text
 p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
 q AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
 g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM q, (VALUES (1), (2), (3), (4)) t(m) WHERE len(w) >= m),
-f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL),
-o AS MATERIALIZED (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, a FROM f WHERE a >= 30),
-n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY 1),
-c AS (SELECT o.*, t.k FROM o, (VALUES (1), (2), (3)) t(k) WHERE t.k < o.m),
-s AS (SELECT c.lang, c.phrase, c.m, c.a, c.k, x.a AS l, y.a AS r, ((2000000::HUGEINT * c.a) // (x.a::HUGEINT + y.a))::BIGINT AS score FROM c
-  JOIN o x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ') JOIN o y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:c.m], ' ')),
-b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
-i AS (SELECT o.lang, array_to_string(o.w[u:u + v - 1], ' ') AS phrase, o.a FROM o, (VALUES (1), (2), (3)) t(u), (VALUES (2), (3)) s(v) WHERE v < m AND u + v - 1 <= m),
-h AS (SELECT lang, phrase, max(a) AS a FROM i GROUP BY 1, 2),
-z AS (SELECT b.* FROM b LEFT JOIN h USING (lang, phrase) WHERE h.a IS NULL OR 100::HUGEINT * h.a < 80::HUGEINT * b.a),
-r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z)
-SELECT r.lang, rank, phrase, a, l, r.r, n.n, score FROM r JOIN n USING (lang) WHERE rank <= 2000
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(a) FILTER (WHERE m = 1)::BIGINT AS n, list({'p': phrase, 'm': m, 'a': a}) FILTER (WHERE a >= 30) AS often, map(list(phrase) FILTER (WHERE a >= 30), list(a) FILTER (WHERE a >= 30)) AS f FROM f GROUP BY lang),
+o AS (SELECT lang, n, f, often, unnest(often) AS c FROM t),
+k AS (SELECT lang, n, f, c.p AS phrase, c.a AS a, string_split(c.p, ' ') AS w,
+  list_max(list_transform(list_filter(often, lambda q: q.m > c.m AND contains(' ' || q.p || ' ', ' ' || c.p || ' ')), lambda q: q.a)) AS b FROM o WHERE c.m > 1),
+s AS (SELECT lang, n, phrase, a, list_sort(list_transform(range(1, len(w)), lambda i: {'score': ((2000000::HUGEINT * a) // (f[array_to_string(w[1:i], ' ')]::HUGEINT + f[array_to_string(w[i + 1:], ' ')]))::BIGINT, 'k': i,
+  'l': f[array_to_string(w[1:i], ' ')], 'r': f[array_to_string(w[i + 1:], ' ')]}))[1] AS x FROM k WHERE b IS NULL OR 100::HUGEINT * b < 80::HUGEINT * a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY x.score DESC, a DESC, phrase) AS rank FROM s)
+SELECT lang, rank, phrase, a, x.l AS l, x.r AS r, n, x.score AS score FROM r WHERE rank <= 2000
 """
 QUERIES = {"op12_collocations": op12_collocations}
 ORACLES = {"op12_collocations": ORACLE}
