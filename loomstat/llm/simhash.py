@@ -32,11 +32,11 @@ MINIMA = 120
 AGREE = 84
 #: Rows of a band from which on it may be split over several tasks; rows of all bands that one task can have.
 LEAST_BAND, WHOLE = 500, 50_000
-#: Bands by which followers of the very first texts are found before all others meet.
-EARLY = 4
-#: Bytes of a sketch: two bits for each minimum, in whole words; then 32 bits of each band, which tell where two texts meet first.
+#: The class of linked fingerprints and four bands: by them followers of the very first texts are found before all others meet.
+EARLY = 1 + 4
+#: Bytes of a sketch: two bits for each minimum, in whole words; then the class and 32 bits of each band, which tell where two texts meet first.
 BITS = 32
-SKETCH = BITS + 4 * BANDS
+SKETCH = BITS + 8 + 4 * BANDS
 _LOW = np.uint64(0x5555555555555555)
 _XORS = np.random.default_rng(SEED).integers(0, 1 << 63, MINIMA, "u8") * np.uint64(2) + np.uint64(1)
 _FACTORS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, MINIMA, "u8") * np.uint64(2) + np.uint64(1)
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_i
 
 
 def bands(text: str | None, width: int) -> tuple[np.ndarray, bytes]:
-    """``BANDS`` hashes of ``ROWS`` minima each over the hashed shingles, and their sketch.
+    """``BANDS`` hashes of ``ROWS`` minima each over the hashed shingles, and their sketch, still without a class.
 
     Two texts share a hash with probability 1 - (1 - J^ROWS)^BANDS.
     """
@@ -211,6 +211,16 @@ def bands(text: str | None, width: int) -> tuple[np.ndarray, bytes]:
     return hashes, packed.tobytes() + hashes.astype("<u4").tobytes()
 
 
+def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts the class (``h``) before the bands (``hs``), and in the sketch before theirs."""
+    for batch in batches:
+        hs = [[h, *bs] for h, bs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        own = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
+        sketches = [s[:BITS] + h.tobytes() + s[BITS:] for h, s in zip(own, batch.column(2).to_pylist(), strict=True)]
+        cols = [pa.array(hs, pa.list_(pa.int64())), pa.array(sketches, "binary"), *batch.columns[3:]]
+        yield pa.RecordBatch.from_arrays(cols, ["hs", "sketch", *batch.schema.names[3:]])
+
+
 def unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether sketches (rows of words) agree in too few minima for a similarity of 0.8."""
     x = (a[: BITS // 8] ^ b[: BITS // 8]).view("u8")
@@ -300,10 +310,12 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
     """``docs`` without near copies of rows that stay, columns as they were.
 
     In order of their ids, a text stays unless its set of word shingles has a Jaccard similarity of ``similarity`` or
-    more with one that stays before it.  Texts that share a band are compared by their shingles.  Of rows that share
+    more with one that stays before it.  Texts whose SimHash fingerprints are linked (:func:`classes`) are compared by
+    their shingles, and then those that share a band of minima, which finds copies beyond the radius.  Of rows that share
     an id and near-equal texts one stays; rows without id come last.  Null counts as an empty text.
 
-    First, what is near a text that is the first in all of its bands goes, as a few bands tell.  Then each round compares
+    A class of linked fingerprints is the first band of its texts.  First, what is near a text that is the first in all
+    of its bands goes, as the class and a few bands tell.  Then each round compares
     the texts of a band with its first ones; a band of many texts is split over tasks, and its first texts are sent to each.  A text that is among the first in all of its bands
     and near none before it stays, and those near it go; the others meet again, with more first ones.
     """
@@ -317,7 +329,8 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
         for batch in batches:
             both = [bands(t.as_py(), width) for t in batch.column(0)]
             hs, sketches = pa.array([h.view("i8") for h, _ in both], pa.list_(pa.int64())), pa.array([x for _, x in both], "binary")
-            yield pa.RecordBatch.from_arrays([hs, sketches, *batch.columns[1:]], ["hs", "sketch", "doc", *own])
+            fps = pa.array([_signed(fingerprint(t.as_py())) for t in batch.column(0)], "int64")
+            yield pa.RecordBatch.from_arrays([hs, sketches, fps, *batch.columns[1:]], ["hs", "sketch", "fp", "doc", *own])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,8 +339,12 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
 
     rows = tagged.select(F.col(text_col).alias("_text"), F.col(first).alias("doc"), *[F.col(k).alias(o) for k, o in zip(key, own)])
     # Texts stay where they are: their keys and bands alone are grouped.
-    texts = rows.mapInArrow(banded, "hs array<long>, sketch binary, doc long, k1 long, k2 long")
-    texts = cut(texts.groupBy(*own).agg(F.min("doc").alias("_first"), F.first("hs").alias("hs"), F.first("sketch").alias("sketch")))
+    texts = rows.mapInArrow(banded, "hs array<long>, sketch binary, fp long, doc long, k1 long, k2 long")
+    texts = cut(texts.groupBy(*own).agg(F.min("doc").alias("_first"), *[F.first(c).alias(c) for c in ("hs", "sketch", "fp")]))
+    # A class is named by its least fingerprint, as rows without id have no other name.
+    linked = classes(texts.select(F.col("fp").alias("doc"), "fp"))
+    named = texts.join(linked, "fp").select(F.xxhash64(F.lit("class"), "component_id").alias("h"), "hs", "sketch", "_first", *own)
+    texts = cut(named.mapInArrow(_classed, "hs array<long>, sketch binary, _first long, k1 long, k2 long"))
     left = texts.select(F.explode("hs").alias("h"), F.col("_first").alias("f"), *own, "sketch")
     bodies, gone = None, None
 

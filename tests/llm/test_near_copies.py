@@ -1,7 +1,12 @@
 """Bands that are split over tasks give what whole ones give."""
 
+import itertools
+import random
+
 import numpy as np
+import xxhash
 
+import corpus_pipeline
 from loomstat.llm import simhash
 
 LEFT = "h long, f long, k1 long, k2 long, sketch binary"
@@ -39,3 +44,36 @@ def test_a_third_are_near_copies(spark, monkeypatch):
     rows = [(i, " ".join(words) + f" tail{i}") for i in range(300)] + [(1000 + i, " ".join(f"u{i}x{j}" for j in range(30))) for i in range(100)]
     left = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
     assert sorted(r["doc_id"] for r in left) == [0, *range(1000, 1100)]
+
+
+def test_the_stage_finds_candidates_by_fingerprints(spark, monkeypatch):
+    """With bands that no two texts share, copies within the radius are found all the same; no others are."""
+    plain, rnd = simhash.bands, random.Random(5)
+
+    def apart(text, width):
+        hashes, sketch = plain(text, width)
+        hashes = np.array([xxhash.xxh64_intdigest(text, b) for b in range(len(hashes))], "u8")  # of the text as a whole
+        return hashes, sketch[: simhash.BITS] + hashes.astype("<u4").tobytes()
+
+    monkeypatch.setattr(simhash, "bands", apart)
+    word = lambda: f"w{rnd.randrange(10**9)}"
+    rows = []
+    for _ in range(60):
+        text = [word() for _ in range(300)]
+        copy = list(text)
+        for i in rnd.sample(range(300), rnd.randint(1, 6)):
+            copy[i] = word()
+        rows += [" ".join(text), " ".join(copy)]
+    rows = list(enumerate(rows))
+    fps = [simhash.fingerprint(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for a, b in itertools.combinations(root[:], 2):
+        if (fps[a] ^ fps[b]).bit_count() <= simhash.RADIUS:
+            root = [root[a] if r == root[b] else r for r in root]
+    want = []
+    for i, t in rows:
+        if all(root[i] != root[j] or simhash.jaccard(t, rows[j][1], 5) < 0.8 for j in want):
+            want.append(i)
+    assert 60 < len(want) < 115
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == want
