@@ -35,6 +35,8 @@ LONGER = (128, LENGTH)
 INDEX_BYTES, CROWDED_BYTES = 1 << 18, 1 << 20
 #: One row in so many tells where anchors are cut into partitions; results do not depend on it.
 LOOK_AT = 64
+#: Rows of snippets that are given on together, and a text's more at most.
+ROWS = 1 << 15
 #: Bytes that are looked at together for anchors; a text's windows are dealt out in parts of this size.
 PART = 1 << 20
 _POSITION = np.uint64((1 << 22) - 1)
@@ -85,7 +87,13 @@ def _snippets(length: int, bounds: list[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, names = np.array(bounds, "i8"), ["a", "s", "k1", "k2", "lo", "hi", "part"]
+
+        def together(cols: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)], names)
+
         for batch in batches:
+            held: list[tuple[np.ndarray, ...]] = []
+            size = 0
             keys = (batch.column(i).to_pylist() for i in (0, 1, 3))
             for k1, k2, salt, text in zip(*keys, batch.column(2), strict=True):
                 raw = text.as_buffer()
@@ -99,8 +107,13 @@ def _snippets(length: int, bounds: list[int]):
                     s = np.array([digest(view[i : j + length]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], "u8")
                     m, low = len(a), np.searchsorted(cuts, a, "left")
                     part = low + salt // LOOK_AT % (np.searchsorted(cuts, a, "right") - low + 1)
-                    cols = [a, s.view("i8"), np.full(m, k1, "i8"), np.full(m, k2, "i8"), lo.astype("i4"), hi.astype("i4"), part.astype("i4")]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+                    held.append((a, s.view("i8"), np.full(m, k1, "i8"), np.full(m, k2, "i8"), lo.astype("i4"), hi.astype("i4"), part.astype("i4")))
+                    size += m
+                    if size >= ROWS:
+                        yield together(held)
+                        held, size = [], 0
+            if held:
+                yield together(held)
 
     return run
 
@@ -138,11 +151,15 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         reach *= 2
 
 
-def common_prefix(t: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Bytes that agree from places ``p`` and ``q``, ``most`` at most."""
-    n = len(t)
+def eights(t: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as a number."""
     padded = np.concatenate([t, np.zeros(8, "u1")])
-    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view("<u8").ravel()
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view("<u8").ravel()
+
+
+def common_prefix(words: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Bytes that agree from places ``p`` and ``q`` of a text (its :func:`eights`), ``most`` at most."""
+    n = len(words) - 1
     out = np.zeros(len(p), "i8")
     live = np.arange(len(p))
     while len(live):
@@ -150,11 +167,8 @@ def common_prefix(t: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray)
         ok = (a < n) & (b < n) & (out[live] < most[live])
         live, a, b = live[ok], a[ok], b[ok]
         x = words[a] ^ words[b]
-        same = x == 0
-        low = x & (~x + np.uint64(1))
-        zeros = np.where(same, 8, np.log2(np.maximum(low, np.uint64(1)).astype("f8")).astype("i8") // 8)
-        out[live] += zeros
-        live = live[same]
+        out[live] += np.bitwise_count(~x & (x - np.uint64(1))) >> 3  # zeros below the lowest one, in bytes
+        live = live[x == 0]
     return np.minimum(out, most)
 
 
@@ -171,29 +185,31 @@ class RunIndex:
         bwt = t[sa - 1]  # cyclic: what stands before the first suffix is the last symbol
         self.heads = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
         tails = np.append(self.heads[1:], len(t)) - 1
+        first, last = np.zeros(len(t), bool), np.zeros(len(t), bool)
+        first[self.heads] = last[tails] = True
         # The suffix before a run's first and after a run's last; the text's own start is sampled too.
         zero = int(np.flatnonzero(sa == 0)[0])
-        above = np.unique(np.append(self.heads, [zero, *([zero + 1] if zero + 1 < len(t) else [])]))
-        below = np.unique(np.append(tails, [zero, *([zero - 1] if zero else [])]))
-        self.up = self._sampled(sa[above], np.where(above > 0, sa[above - 1], -1))
-        self.down = self._sampled(sa[below], np.where(below + 1 < len(t), sa[np.minimum(below + 1, len(t) - 1)], -1))
+        first[zero : zero + 2] = last[max(zero - 1, 0) : zero + 1] = True
+        above, below = np.flatnonzero(first), np.flatnonzero(last)
+        self.up = self._sampled(len(t), sa[above], np.where(above > 0, sa[above - 1], -1))
+        self.down = self._sampled(len(t), sa[below], np.where(below + 1 < len(t), sa[np.minimum(below + 1, len(t) - 1)], -1))
 
     @staticmethod
-    def _sampled(at: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(at)
-        return at[order], near[order]
+    def _sampled(n: int, at: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        by_place = np.full(n, -2)
+        by_place[at] = near
+        at = np.flatnonzero(by_place > -2)
+        return at, by_place[at]
 
     def matching_statistics(self, most: int) -> np.ndarray:
         """For each place, how far it agrees with some other place (``most`` at least where it is longer)."""
         n = len(self.t)
-        out = self.reach.copy()
-        place = np.arange(n)
+        out, words = self.reach.copy(), eights(self.t)
         for at, near in (self.up, self.down):
             room = np.diff(np.append(at, n))  # a sample serves the places up to the next one
-            length = np.where(near >= 0, common_prefix(self.t, at, np.maximum(near, 0), room + most), 0)
-            last = np.searchsorted(at, place, side="right") - 1
-            own = np.where(last >= 0, length[np.maximum(last, 0)] - (place - at[np.maximum(last, 0)]), 0)
-            out = np.maximum(out, own)
+            length = np.where(near >= 0, common_prefix(words, at, np.maximum(near, 0), room + most), 0)
+            own = np.repeat(at + length, room) - np.arange(at[0], n)
+            np.maximum(out[at[0] :], own, out=out[at[0] :])
         return out
 
 
@@ -213,6 +229,8 @@ def repeated_windows(snippets: list[bytes], counts: list[int], length: int) -> l
 def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
     if not len(starts):
         return []
+    if starts[-1] - starts[0] == len(starts) - 1:
+        return [(int(starts[0]), int(starts[-1]))]
     cut_ = np.flatnonzero(np.diff(starts) > 1)
     return list(zip(starts[np.append(0, cut_ + 1)].tolist(), starts[np.append(cut_, len(starts) - 1)].tolist(), strict=True))
 
