@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free, read, store, text_key
+from .common import cut, free, read, store, swept, text_key
 
 SEED = 42
 RADIUS = 3
@@ -306,24 +306,24 @@ def _dealt(left: DataFrame, k: int, parts: int) -> DataFrame:
     return rows.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt", "f", "k1", "k2", F.desc("copy"))
 
 
-def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without near copies of rows that stay, columns as they were.
-
-    In order of their ids, a text stays unless its set of word shingles has a Jaccard similarity of ``similarity`` or
-    more with one that stays before it.  Texts whose SimHash fingerprints are linked (:func:`classes`) are compared by
-    their shingles, and then those that share a band of minima, which finds copies beyond the radius.  Of rows that share
-    an id and near-equal texts one stays; rows without id come last.  Null counts as an empty text.
+def _meeting(texts: DataFrame) -> DataFrame:
+    """``texts`` that share a band with others, and of their bands (``hs``, ``early``: of the first ``EARLY``) those that they share.
 
-    A class of linked fingerprints is the first band of its texts.  First, what is near a text that is the first in all
-    of its bands goes, as the class and a few bands tell.  Then each round compares
-    the texts of a band with its first ones; a band of many texts is split over tasks, and its first texts are sent to each.  A text that is among the first in all of its bands
-    and near none before it stays, and those near it go; the others meet again, with more first ones.
+    Most bands have one text alone, which needs no sketch to be told: bands travel without them, by half of the text's key.
+    Texts that have this half in common are told apart by their own bands.
     """
-    names, own = docs.columns, ["k1", "k2"]
-    first, *key = free(docs, "first", "key1", "key2").values()
-    last = F.lit(2**63 - 1)  # rows without id come last
-    tagged = docs.withColumns(dict(zip(key, text_key(F.col(text_col)))) | {first: F.coalesce(F.col(id_col).cast("long"), last)})
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    every = texts.select(F.explode("hs").alias("h"), "k1")
+    several = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    shared = every.join(several, "h", "left_semi").groupBy("k1").agg(F.collect_list("h").alias("shared"))
+    early = F.array_intersect(F.slice("hs", 1, EARLY), "shared").alias("early")
+    here = texts.join(shared, "k1").select(F.array_intersect("hs", "shared").alias("hs"), early, "sketch", "_first", "k1", "k2")
+    return cut(here)
+
+
+def _staying(rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``k1``, ``k2`` and ``_first`` (least ``doc``) of the texts that stay, of rows ``_text``, ``doc``, ``k1``, ``k2``."""
+    own = ["k1", "k2"]
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,7 +337,6 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
             good = [jaccard(a.as_py(), b.as_py(), width) >= similarity for a, b in zip(batch.column(4), batch.column(5), strict=True)]
             yield batch.select([0, 1, 2, 3]).filter(pa.array(good, "bool"))
 
-    rows = tagged.select(F.col(text_col).alias("_text"), F.col(first).alias("doc"), *[F.col(k).alias(o) for k, o in zip(key, own)])
     # Texts stay where they are: their keys and bands alone are grouped.
     texts = rows.mapInArrow(banded, "hs array<long>, sketch binary, fp long, doc long, k1 long, k2 long")
     texts = cut(texts.groupBy(*own).agg(F.min("doc").alias("_first"), *[F.first(c).alias(c) for c in ("hs", "sketch", "fp")]))
@@ -345,7 +344,8 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
     linked = classes(texts.select(F.col("fp").alias("doc"), "fp"))
     named = texts.join(linked, "fp").select(F.xxhash64(F.lit("class"), "component_id").alias("h"), "hs", "sketch", "_first", *own)
     texts = cut(named.mapInArrow(_classed, "hs array<long>, sketch binary, _first long, k1 long, k2 long"))
-    left = texts.select(F.explode("hs").alias("h"), F.col("_first").alias("f"), *own, "sketch")
+    meeting = _meeting(texts)
+    left = meeting.select(F.explode("hs").alias("h"), F.col("_first").alias("f"), *own, "sketch")
     bodies, gone = None, None
 
     def closest(met: DataFrame) -> DataFrame:
@@ -366,11 +366,11 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
     # A text that is the first in all of its bands stays, whatever else there is.  In a large group of copies that is its
     # first one, and a few bands are enough to find most of the others, which then need no further look.
     met_schema = "h long, f long, k1 long, k2 long, a1 long, a2 long, late boolean, j int, sketch binary"
-    some = texts.select(F.explode(F.slice("hs", 1, EARLY)).alias("h"), F.col("_first").alias("f"), *own, "sketch")
+    some = meeting.select(F.explode("early").alias("h"), F.col("_first").alias("f"), *own, "sketch")
     early = cut(_dealt(some, 1, parts).mapInArrow(_star(1), met_schema))
     close = closest(early)
     heads = close.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).distinct()
-    theirs = texts.join(heads, own, "left_semi").select(F.explode("hs").alias("h"), *own)
+    theirs = meeting.join(heads, own, "left_semi").select(F.explode("hs").alias("h"), *own)
     leaders = left.groupBy("h").agg(F.min(F.struct("f", *own)).alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     late = theirs.join(leaders, "h").filter((F.col("leader.k1") != F.col("k1")) | (F.col("leader.k2") != F.col("k2")))
     sure = heads.join(late, own, "left_anti").select(F.col("k1").alias("a1"), F.col("k2").alias("a2"))
@@ -389,7 +389,29 @@ def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_
         left = met.filter("j = 0").join(settled, own, "left_anti").select("h", "f", *own, "sketch")
         gone = gone.unionByName(go)
         k *= 16
-    texts = texts.join(gone, own, "left_anti")
+    return cut(texts.select("_first", *own).join(gone, own, "left_anti"))
+
+
+def one_of_each(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without near copies of rows that stay, columns as they were.
+
+    In order of their ids, a text stays unless its set of word shingles has a Jaccard similarity of ``similarity`` or
+    more with one that stays before it.  Texts whose SimHash fingerprints are linked (:func:`classes`) are compared by
+    their shingles, and then those that share a band of minima, which finds copies beyond the radius.  Of rows that share
+    an id and near-equal texts one stays; rows without id come last.  Null counts as an empty text.
+
+    A class of linked fingerprints is the first band of its texts.  First, what is near a text that is the first in all
+    of its bands goes, as the class and a few bands tell.  Then each round compares
+    the texts of a band with its first ones; a band of many texts is split over tasks, and its first texts are sent to each.  A text that is among the first in all of its bands
+    and near none before it stays, and those near it go; the others meet again, with more first ones.
+    """
+    names, own = docs.columns, ["k1", "k2"]
+    first, *key = free(docs, "first", "key1", "key2").values()
+    last = F.lit(2**63 - 1)  # rows without id come last
+    tagged = docs.withColumns(dict(zip(key, text_key(F.col(text_col)))) | {first: F.coalesce(F.col(id_col).cast("long"), last)})
+    rows = tagged.select(F.col(text_col).alias("_text"), F.col(first).alias("doc"), *[F.col(k).alias(o) for k, o in zip(key, own)])
+    with swept(docs.sparkSession):
+        texts = _staying(rows, width, similarity)
     texts = texts.select(F.col("_first").alias(first), *[F.col(o).alias(n) for n, o in zip(key, own)])
     kept = tagged.join(texts, [*key, first])
     # Equal rows: one stays.

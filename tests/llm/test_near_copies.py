@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import xxhash
@@ -77,3 +78,52 @@ def test_the_stage_finds_candidates_by_fingerprints(spark, monkeypatch):
     assert 60 < len(want) < 115
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5), "")
     assert sorted(r["doc_id"] for r in got.collect()) == want
+
+
+def test_sketches_travel_for_shared_bands_alone(spark, monkeypatch):
+    """Of 200 texts two are near copies: their common bands are dealt out, no band of another text."""
+    plain, dealt = simhash._dealt, []
+
+    def counted(left, k, parts):
+        dealt.append([r["k1"] for r in left.select("k1").collect()])
+        return plain(left, k, parts)
+
+    monkeypatch.setattr(simhash, "_dealt", counted)
+    rnd = random.Random(9)
+    texts = [" ".join(f"w{rnd.randrange(10**9)}" for _ in range(120)) for _ in range(199)]
+    rows = list(enumerate([*texts, texts[50] + " end"]))
+    left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert sorted(r["doc_id"] for r in left.collect()) == list(range(199))
+    assert dealt[0] and all(len(set(keys)) <= 2 for keys in dealt)
+
+
+def test_bands_of_texts_with_half_a_key_in_common(spark):
+    """What one of them shares with a third text is not given to the other."""
+    rows = [([1, 2, 3], b"a", 0, 7, 1), ([4, 5, 6], b"b", 1, 7, 2), ([1, 9, 5], b"c", 2, 8, 3), ([10], b"d", 3, 9, 4)]
+    got = simhash._meeting(spark.createDataFrame(rows, "hs array<long>, sketch binary, _first long, k1 long, k2 long")).collect()
+    assert sorted((r["_first"], r["hs"], r["early"], bytes(r["sketch"])) for r in got) == [(0, [1], [1], b"a"), (1, [5], [5], b"b"), (2, [1, 5], [1, 5], b"c")]
+
+
+def test_shuffle_files_of_the_stage_go(spark):
+    """Variants and bands are not on disk any more when the next query has ended, without a collection of garbage."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        files = disk.getAllFiles()
+        files = [files.apply(i) for i in range(files.size())]
+        return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+    rnd = random.Random(11)
+    rows = [(i, " ".join(f"w{rnd.randrange(10**9)}" for _ in range(40))) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).checkpoint()
+    before, setting = held(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting, None)
+    left = corpus_pipeline.near_dedup(spark, docs, "")
+    for _ in range(100):  # files go in the background
+        rest = sum(n for f, n in held().items() if f not in before)
+        if rest < 100_000:
+            break
+        time.sleep(0.1)
+    assert rest < 100_000  # variants alone are over 1,000,000 bytes
+    assert spark.conf.get(setting, None) == was
+    assert left.count() == 2000 == len(left.collect()) == len(left.collect())  # the frame is read again and again
